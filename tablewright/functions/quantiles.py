@@ -1,41 +1,207 @@
 """Exact quantiles with linear interpolation, for tables of any size.
 
-Spark's ``percentile`` keeps all distinct values of a group in one task.  That
-is fine for a counted, small table; beyond it the quantiles come from bucket
-counts: approximate splitters only decide where the buckets lie, exact counts
-decide which bucket holds a rank, and only the rows of those buckets are looked
-at again.  Equal values are counted before they are shuffled, so one very
-frequent value costs one row.
+Spark's ``percentile`` keeps the distinct values of a group in one task.  That
+is fine for a counted, small table.  Beyond it:
+
+* whole columns narrow a value range around each wanted rank.  A sample proposes
+  the range, one scan counts exactly what lies below, in and on its ends, and
+  only when few values are left do they meet in one task.  The driver holds two
+  numbers per rank, nothing is shuffled, and the sample never decides a result.
+* groups count their values in buckets first.  The counts tell which bucket
+  holds a rank, and only the rows of those buckets are looked at again.
+
+Either way equal values are counted, not moved, so a value that fills a third of
+the table costs no more than any other.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import number, ref
 from tablewright.functions.lookup import lookup_join
+from tablewright.functions.reports import statistics
 
-IN_TASK_ROWS = 2_000_000
+IN_TASK_ROWS = 100_000
+SAMPLE_ROWS = 50_000
+SAMPLE_SEED = 42
+SKETCH_ACCURACY = 10_000
 MAX_CELLS = 10_000
 CELL_ROWS = 1_000_000
 
 
+def column_quantiles(
+    df: DataFrame,
+    columns: list[str],
+    probabilities: list[float],
+    in_task_rows: int | None = None,
+    approx: bool = False,
+) -> dict[str, list[float] | None]:
+    """Quantiles of whole columns on the driver: one short list per column, None without values.
+
+    ``approx`` answers from a sketch in one scan, without interpolation.
+    """
+    if not columns:
+        return {}
+    limit = IN_TASK_ROWS if in_task_rows is None else in_task_rows
+    narrow = df.select(*[number(df, c).alias(c) for c in columns])
+    if approx:
+        return statistics(narrow, {c: F.percentile_approx(ref(c), probabilities, SKETCH_ACCURACY) for c in columns})
+    counts = statistics(narrow, {c: F.count(ref(c)) for c in columns})
+    if max(counts.values()) <= limit:
+        return statistics(narrow, {c: F.percentile(ref(c), probabilities) for c in columns})
+    positions = {c: [p * (counts[c] - 1) for p in probabilities] for c in columns if counts[c]}
+    wanted = {(c, end(x)) for c, places in positions.items() for x in places for end in (math.floor, math.ceil)}
+    values = _order_statistics(narrow, wanted, counts, max(limit, 1))
+    found: dict[str, list[float] | None] = {c: None for c in columns}
+    for c, places in positions.items():
+        found[c] = [_between(values[c, math.floor(x)], values[c, math.ceil(x)], x - math.floor(x)) for x in places]
+    return found
+
+
+def _between(low: float, high: float, share: float) -> float:
+    return low if share == 0 else (1 - share) * low + share * high
+
+
+@dataclass(frozen=True)
+class _Range:
+    """Values of a column strictly between two known ones; None is no bound."""
+
+    column: str
+    low: float | None
+    high: float | None
+    below: int  # values up to and including ``low``
+    inside: int
+
+    def holds(self) -> Column:
+        value = ref(self.column)
+        keep = value.isNotNull()
+        if self.low is not None:
+            keep = keep & (value > self.low)
+        if self.high is not None:
+            keep = keep & (value < self.high)
+        return keep
+
+
+def _order_statistics(
+    narrow: DataFrame, wanted: set[tuple[str, int]], counts: dict[str, int], limit: int
+) -> dict[tuple[str, int], float]:
+    """The values at 0-based ranks of sorted columns."""
+    found: dict[tuple[str, int], float] = {}
+    ranges = {(c, rank): _Range(c, None, None, 0, counts[c]) for c, rank in wanted}
+    sampled = True
+    while ranges:
+        few = {t: r for t, r in ranges.items() if r.inside <= limit}
+        if few:
+            # Ranks of one range share the sorted list; it has at most ``limit`` values.
+            found |= statistics(
+                _rows_in(narrow, few.values()),
+                {
+                    (c, rank): F.sort_array(F.collect_list(F.when(r.holds(), ref(c))))[rank - r.below]
+                    for (c, rank), r in few.items()
+                },
+            )
+            ranges = {t: r for t, r in ranges.items() if t not in few}
+            continue
+        pivots = _pivots(narrow, ranges, sampled)
+        sampled = all(p is not None for p in pivots.values())
+        pivots = {t: p for t, p in pivots.items() if p is not None}
+        for target, outcome in _count_around(narrow, ranges, pivots).items():
+            if isinstance(outcome, _Range):
+                ranges[target] = outcome
+            else:
+                found[target] = outcome
+                del ranges[target]
+    return found
+
+
+def _rows_in(narrow: DataFrame, ranges) -> DataFrame:
+    """Rows in any of the ranges, as a condition Parquet can test."""
+    keep = F.lit(False)
+    for r in set(ranges):
+        if r.low is None and r.high is None:
+            return narrow
+        keep = keep | r.holds()
+    return narrow.where(keep)
+
+
+def _pivots(
+    narrow: DataFrame, ranges: dict[tuple[str, int], _Range], sampled: bool
+) -> dict[tuple[str, int], tuple[float, float] | None]:
+    """Two values around each wanted rank, proposed by a sample of its range."""
+    margin = 2 / math.sqrt(SAMPLE_ROWS)  # four standard errors of a sample median
+    shares: dict[_Range, list[float]] = {}
+    ends = {}
+    for target, r in ranges.items():
+        # Neighbouring ranks round to the same share, hence get the same pivots.
+        share = round((target[1] - r.below + 0.5) / r.inside, 6)
+        ends[target] = max(share - margin, 0.0), min(share + margin, 1.0)
+        listed = shares.setdefault(r, [])
+        listed += [e for e in ends[target] if e not in listed]
+    rows, proposals = _rows_in(narrow, shares), {}
+    chance = {r: SAMPLE_ROWS / r.inside if sampled else 1.0 for r in shares}
+    lucky = rows.withColumn("__u", F.rand(SAMPLE_SEED)).where(F.col("__u") < max(chance.values()))
+    for r, listed in shares.items():
+        keep = r.holds() & (F.col("__u") < chance[r])
+        proposals[r] = F.percentile_approx(F.when(keep, ref(r.column)), listed)
+    found = statistics(lucky, proposals)
+    pivots: dict[tuple[str, int], tuple[float, float] | None] = {}
+    for target, r in ranges.items():
+        at = dict(zip(shares[r], found[r] or []))
+        pivots[target] = tuple(at[e] for e in ends[target]) if at else None
+    return pivots
+
+
+def _count_around(
+    narrow: DataFrame,
+    ranges: dict[tuple[str, int], _Range],
+    pivots: dict[tuple[str, int], tuple[float, float]],
+) -> dict[tuple[str, int], _Range | float]:
+    """Where each rank falls: on a pivot, which then is the value, or in a smaller range."""
+    if not pivots:
+        return {}
+    parts = {}
+    for target, (low, high) in pivots.items():
+        r = ranges[target]
+        value = ref(r.column)
+        parts[r, low, high, 0] = F.count_if(r.holds() & (value < low))
+        parts[r, low, high, 1] = F.count_if(value == low)
+        parts[r, low, high, 2] = F.count_if((value > low) & (value < high))
+        parts[r, low, high, 3] = F.count_if(value == high) if high > low else F.lit(0)
+    counted = statistics(_rows_in(narrow, [ranges[t] for t in pivots]), parts)
+    outcome: dict[tuple[str, int], _Range | float] = {}
+    for target, (low, high) in pivots.items():
+        r = ranges[target]
+        sizes = [counted[r, low, high, i] for i in range(4)]
+        sizes.append(r.inside - sum(sizes))
+        places = [(r.low, low), low, (low, high), high, (high, r.high)]
+        below = r.below
+        for size, place in zip(sizes, places):
+            if target[1] < below + size:
+                outcome[target] = _Range(r.column, *place, below, size) if isinstance(place, tuple) else place
+                break
+            below += size
+    return outcome
+
+
 def quantile_table(
     df: DataFrame,
     columns: list[str],
     probabilities: list[float],
-    by: list[str] | None = None,
+    by: list[str],
     in_task_rows: int | None = None,
 ) -> DataFrame:
-    """One row per group and column: ``(*by, column, n, quantiles)``.
+    """Quantiles per group: ``(*by, column, n, quantiles)``, one row per group and column.
 
     ``n`` counts the values that are not missing; rows with a NULL group key are
-    left out.  A column without any value gives no row in the large case and
-    NULL quantiles in the small one.
+    left out.  A group without any value gives no row in the large case and NULL
+    quantiles in the small one.
     """
-    by = by or []
     limit = IN_TASK_ROWS if in_task_rows is None else in_task_rows
     narrow = df.select(*[ref(k) for k in by], *[number(df, c).alias(c) for c in columns if c not in by])
     for key in by:
@@ -46,18 +212,6 @@ def quantile_table(
     return _by_buckets(narrow, columns, probabilities, by, total)
 
 
-def column_quantiles(
-    df: DataFrame, columns: list[str], probabilities: list[float], in_task_rows: int | None = None
-) -> dict[str, list[float] | None]:
-    """Quantiles of whole columns on the driver: one short list per column."""
-    found: dict[str, list[float] | None] = {name: None for name in columns}
-    if not columns:
-        return found
-    for row in quantile_table(df, columns, probabilities, in_task_rows=in_task_rows).collect():
-        found[row["column"]] = row["quantiles"]
-    return found
-
-
 def _in_task(narrow: DataFrame, columns: list[str], probabilities: list[float], by: list[str]) -> DataFrame:
     packed = F.array(
         *[
@@ -79,38 +233,9 @@ def _in_task(narrow: DataFrame, columns: list[str], probabilities: list[float],
 def _by_buckets(
     narrow: DataFrame, columns: list[str], probabilities: list[float], by: list[str], total: int
 ) -> DataFrame:
-    cells = int(min(MAX_CELLS, max(64, total // CELL_ROWS)))
-    grid = [i / cells for i in range(cells + 1)]
-    row = narrow.agg(*[F.percentile_approx(ref(c), grid, 2 * cells).alias(f"s{i}") for i, c in enumerate(columns)]).first()
-    inf = float("inf")
-    cuts = [sorted({v for v in (found or []) if abs(v) != inf}) for found in row]
-    bucketizer = Bucketizer(
-        inputCols=columns,
-        outputCols=[f"__cell{i}" for i in range(len(columns))],
-        splitsArray=[[-inf, *c, inf] if c else [-inf, 0.0, inf] for c in cuts],
-        handleInvalid="keep",
-    )
     keys = [*by, "column"]
     key_columns = [ref(k) for k in keys]
-    long = (
-        bucketizer.transform(narrow)
-        .select(
-            *[ref(k) for k in by],
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(c).alias("column"),
-                            F.col(f"__cell{i}").cast("int").alias("cell"),
-                            ref(c).alias("value"),
-                        )
-                        for i, c in enumerate(columns)
-                    ]
-                )
-            ),
-        )
-        .where(F.col("value").isNotNull())
-    )
+    long = _with_cells(narrow, columns, by, total)
 
     running = Window.partitionBy(*key_columns).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*key_columns)
@@ -119,10 +244,7 @@ def _by_buckets(
         cell_counts.withColumn("before", F.sum("in_cell").over(running) - F.col("in_cell"))
         .withColumn("n", F.sum("in_cell").over(whole))
         .withColumn("ranks", _needed_ranks(F.col("n"), probabilities))
-        .withColumn(
-            "ranks",
-            F.filter("ranks", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("in_cell"))),
-        )
+        .withColumn("ranks", _ranks_in(F.col("before"), F.col("before") + F.col("in_cell")))
         .where(F.size("ranks") > 0)
         .select(*key_columns, "cell", "before", "n", "ranks")
     )
@@ -134,15 +256,12 @@ def _by_buckets(
         .groupBy(*key_columns, "cell", "before", "n", "ranks", "value")
         .agg(F.count("*").alias("copies"))
         .withColumn("upto", F.col("before") + F.sum("copies").over(in_order))
-        .withColumn(
-            "ranks",
-            F.filter("ranks", lambda r: (r >= F.col("upto") - F.col("copies")) & (r < F.col("upto"))),
-        )
+        .withColumn("ranks", _ranks_in(F.col("upto") - F.col("copies"), F.col("upto")))
         .where(F.size("ranks") > 0)
     )
-    by_rank = values.select(*key_columns, "n", "value", F.explode("ranks").alias("rank"))
     return (
-        by_rank.groupBy(*key_columns, "n")
+        values.select(*key_columns, "n", "value", F.explode("ranks").alias("rank"))
+        .groupBy(*key_columns, "n")
         .agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
         .select(
             *key_columns,
@@ -152,6 +271,39 @@ def _by_buckets(
     )
 
 
+def _with_cells(narrow: DataFrame, columns: list[str], by: list[str], total: int) -> DataFrame:
+    """Long form ``(*by, column, cell, value)``; cells cut each column into pieces of like size.
+
+    The cuts come from a sample.  They only set how evenly the work is spread.
+    """
+    cells = int(min(MAX_CELLS, max(64, total // CELL_ROWS)))
+    grid = [i / cells for i in range(cells + 1)]
+    sample = narrow.sample(min(1.0, 20 * max(cells, SAMPLE_ROWS // 20) / total), SAMPLE_SEED)
+    proposed = statistics(sample, {c: F.percentile_approx(ref(c), grid, 2 * cells) for c in columns})
+    inf = float("inf")
+    cuts = [sorted({v for v in (proposed[c] or []) if abs(v) != inf}) or [0.0] for c in columns]
+    bucketizer = Bucketizer(
+        inputCols=columns,
+        outputCols=[f"__cell{i}" for i in range(len(columns))],
+        splitsArray=[[-inf, *c, inf] for c in cuts],
+        handleInvalid="keep",
+    )
+    cell = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("column"), F.col(f"__cell{i}").cast("int").alias("cell"), ref(c).alias("value")
+            )
+            for i, c in enumerate(columns)
+        ]
+    )
+    bucketed = bucketizer.transform(narrow).select(*[ref(k) for k in by], F.inline(cell))
+    return bucketed.where(F.col("value").isNotNull())
+
+
+def _ranks_in(start: Column, end: Column) -> Column:
+    return F.filter("ranks", lambda r: (r >= start) & (r < end))
+
+
 def _position(n: Column, p: float) -> Column:
     return (n - 1) * F.lit(float(p))
 

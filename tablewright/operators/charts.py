@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.columns import number, numeric_names, ref
 from tablewright.functions.lookup import lookup_join
-from tablewright.functions.quantiles import quantile_table
+from tablewright.functions.quantiles import column_quantiles, quantile_table
 from tablewright.functions.reports import statistics
-from tablewright.operators.outliers import FENCE
+from tablewright.operators.outliers import FENCE, fences
 
 # Fixed value: number of bins per axis.
 BINS = 30
@@ -92,18 +92,26 @@ def _quartiles(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     )
 
 
+_QUARTILE_TYPES = {
+    "n": "bigint", "q1": "double", "median": "double", "q3": "double", "low_fence": "double", "high_fence": "double",
+}
+
+
 def _with_quartiles(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     """``(*by, value)`` rows next to the quartiles of their group."""
     values = df.select(*[ref(k) for k in by], number(df, column).alias("value"))
     values = values.where(F.col("value").isNotNull())
     if by:
         return lookup_join(values, _quartiles(df, column, by), by)
-    one = _quartiles(df, column, []).first()
-    if one is None:
-        one = [None] * 6
-    names = ["n", "q1", "median", "q3", "low_fence", "high_fence"]
-    types = ["bigint"] + ["double"] * 5
-    return values.withColumns({n: F.lit(v).cast(t) for n, v, t in zip(names, one, types)})
+    middle = column_quantiles(df, [column], [0.25, 0.5, 0.75])[column]
+    if middle is None:
+        return values.limit(0).withColumns({n: F.lit(None).cast(t) for n, t in _QUARTILE_TYPES.items()})
+    q1, median, q3 = middle
+    low, high = fences(q1, q3)
+    n = values.count()
+    return values.withColumns(
+        {name: F.lit(v).cast(t) for (name, t), v in zip(_QUARTILE_TYPES.items(), (n, q1, median, q3, low, high))}
+    )
 
 
 def box_stats(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
@@ -184,8 +192,8 @@ def pie(df: DataFrame, column: str) -> DataFrame:
     counted = (
         df.select(ref(column)).where(ref(column).isNotNull()).groupBy(ref(column)).agg(F.count("*").alias("count"))
     )
-    total = df.agg(F.count(ref(column)).alias("total")).first()["total"]
-    return counted.withColumn("share", F.try_divide(F.col("count").cast("double"), F.lit(total)))
+    total = counted.agg(F.sum("count")).scalar()
+    return counted.withColumn("share", F.try_divide(F.col("count").cast("double"), total))
 
 
 def bar(df: DataFrame, x: str, y: str, aggregation: str = "sum", color: str | None = None) -> DataFrame:
@@ -211,6 +219,14 @@ def line(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
     return df.select(*[ref(c) for c in names]).orderBy(*[ref(c) for c in names])
 
 
+def line_buckets(
+    df: DataFrame, x: str, y: str, unit: str = "day", aggregation: str = "mean", color: str | None = None
+) -> DataFrame:
+    """A line of one point per time unit, for more points than a chart can show."""
+    bucket = F.date_trunc(unit, ref(x)).cast(df.schema[x].dataType)
+    return bar(df.withColumn(x, bucket), x, y, aggregation, color)
+
+
 def area(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
     """Stacked area: ``(x, [color], height, stack_low, stack_high)``.
 

@@ -37,8 +37,10 @@ def missing_summary(df: DataFrame) -> DataFrame:
     return row_report(df, rows, "column string, missing_count bigint, missing_pct double")
 
 
-def fill_missing(df: DataFrame, strategy: str = "mean", value: object = None) -> DataFrame:
-    """Fill or drop missing values by one of ``STRATEGIES``."""
+def fill_missing(
+    df: DataFrame, strategy: str = "mean", value: object = None, approx: bool = False
+) -> DataFrame:
+    """Fill or drop missing values by one of ``STRATEGIES``; ``approx`` concerns the median."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown missing value strategy: {strategy!r}")
     if strategy == "drop":
@@ -47,7 +49,7 @@ def fill_missing(df: DataFrame, strategy: str = "mean", value: object = None) ->
         return fill_constant(df, value)
     if strategy == "mode":
         return fill_mode(df)
-    return fill_mean(df) if strategy == "mean" else fill_median(df)
+    return fill_mean(df) if strategy == "mean" else fill_median(df, approx)
 
 
 def drop_missing(df: DataFrame) -> DataFrame:
@@ -70,12 +72,12 @@ def fill_mean(df: DataFrame) -> DataFrame:
     return _fill_numbers(df, fills)
 
 
-def fill_median(df: DataFrame) -> DataFrame:
-    """Numeric columns get their exact median, the midpoint of the two middle values."""
+def fill_median(df: DataFrame, approx: bool = False) -> DataFrame:
+    """Numeric columns get their median: the midpoint of the two middle values, unless ``approx``."""
     names = numeric_names(df)
     gaps = statistics(df, {c: F.count_if(missing(df.schema[c])) for c in names}) if names else {}
     with_gaps = [c for c in names if gaps[c]]
-    medians = column_quantiles(df, with_gaps, [0.5])
+    medians = column_quantiles(df, with_gaps, [0.5], approx=approx)
     return _fill_numbers(df, {c: medians[c] and medians[c][0] for c in with_gaps})
 
 

@@ -73,7 +73,7 @@ def change_types(df: DataFrame, targets: dict[str, str], mode: str = "strict") -
 def _converted(field: T.StructField, target: str, mode: str) -> Column:
     column, source = ref(field.name), field.dataType
     if is_datetime(source) and target in ("bigint", "double"):
-        return epoch_nanos(column).cast(target)
+        return epoch_nanos(field).cast(target)
     if target == "boolean":
         if is_datetime(source):
             raise ValueError(f"datetime column {field.name!r} has no boolean form")
@@ -84,9 +84,21 @@ def _converted(field: T.StructField, target: str, mode: str) -> Column:
     return column.cast(target) if mode == "strict" else column.try_cast(target)
 
 
-def epoch_nanos(column: Column) -> Column:
+def epoch_nanos(field: T.StructField) -> Column:
     """Nanoseconds since 1970-01-01 of a date or timestamp."""
-    return F.unix_micros(column.cast("timestamp")) * 1000
+    return F.expr(epoch_nanos_sql(field))
+
+
+def epoch_nanos_sql(field: T.StructField) -> str:
+    """The same as SQL text.  A wall-clock value counts as UTC whatever the session zone is."""
+    name = "`" + field.name.replace("`", "``") + "`"
+    if isinstance(field.dataType, T.TimestampType):
+        return f"unix_micros({name}) * 1000L"
+    days = f"unix_date(CAST({name} AS DATE)) * 86400000000000L"
+    if isinstance(field.dataType, T.DateType):
+        return days
+    second = f"CAST(extract(SECOND FROM {name}) * 1000000 AS BIGINT) * 1000L"
+    return f"({days} + hour({name}) * 3600000000000L + minute({name}) * 60000000000L + {second})"
 
 
 def drop_columns(df: DataFrame, names: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import missing, number, numeric_names, present, ref
+from tablewright.functions.columns import number, numeric_names, present, ref
 from tablewright.functions.lookup import lookup_join
 from tablewright.functions.ranking import dense_codes
 from tablewright.functions.reports import statistics
@@ -67,17 +67,19 @@ def log_transform(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def category_levels(df: DataFrame, columns: list[str], limit: int = MAX_ONE_HOT) -> dict[str, list[str]]:
     """Sorted distinct values of each column as text; more than ``limit`` is an error."""
-    levels = {}
-    for name in columns:
-        value = ref(name).alias("value")
-        distinct = df.where(~missing(df.schema[name])).select(value).distinct().limit(limit + 1)
-        rows = distinct.select("value", F.col("value").cast("string").alias("level")).collect()
-        if len(rows) > limit:
-            raise ValueError(
-                f"column {name!r} has more than {limit} values: use label_encode or one_hot_vector"
-            )
-        levels[name] = [r["level"] for r in sorted(rows, key=lambda r: r["value"])]
-    return levels
+    if not columns:
+        return {}
+    values = {c: present(df.schema[c]) for c in columns}
+    # The sketch keeps columns far above the bound out of the exact pass.
+    about = statistics(df, {c: F.approx_count_distinct(v) for c, v in values.items()})
+    wide = [c for c in columns if about[c] > 2 * limit]
+    if not wide:
+        pairs = {c: F.collect_set(F.when(v.isNotNull(), F.struct(v.alias("value"), v.cast("string").alias("level")))) for c, v in values.items()}
+        found = statistics(df, {c: F.sort_array(p) for c, p in pairs.items()})
+        wide = [c for c in columns if len(found[c]) > limit]
+    if wide:
+        raise ValueError(f"columns {wide} have more than {limit} values: use label_encode or one_hot_vector")
+    return {c: [pair["level"] for pair in found[c]] for c in columns}
 
 
 def one_hot(df: DataFrame, columns: list[str], drop_first: bool = False, limit: int = MAX_ONE_HOT) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.ml.feature import (
     OneHotEncoder,
     SQLTransformer,
     StringIndexer,
+    StringIndexerModel,
     VectorAssembler,
     VectorSlicer,
 )
@@ -24,9 +25,10 @@ from pyspark.sql import types as T
 from tablewright.functions.columns import is_boolean, is_datetime, is_nested, is_numeric, missing, number, present, ref
 from tablewright.functions.reports import statistics
 from tablewright.functions.values import most_frequent
-from tablewright.operators.columns import epoch_nanos
+from tablewright.operators.columns import epoch_nanos, epoch_nanos_sql
 from tablewright.operators.features import one_hot
 from tablewright.operators.metrics import classification_metrics, regression_metrics
+from tablewright.session import ensure_checkpoint_dir
 
 # Names of the algorithms and the parameters they are trained with.
 ALGORITHMS = ("Linear Regression", "Logistic Regression", "Random Forest", "XGBoost")
@@ -63,7 +65,7 @@ def design_matrix(df: DataFrame, target: str) -> DataFrame:
     missing numbers the column mean; rows without a target are dropped.
     """
     features = [f for f in df.schema.fields if f.name != target]
-    dates = {f.name: epoch_nanos(ref(f.name)) for f in features if is_datetime(f.dataType)}
+    dates = {f.name: epoch_nanos(f) for f in features if is_datetime(f.dataType)}
     source = df.withColumns(dates) if dates else df
     texts = [f.name for f in features if isinstance(f.dataType, T.StringType)]
     wide = one_hot(source, texts, drop_first=True) if texts else source
@@ -193,6 +195,7 @@ def _fit(
         usable = [f for f in usable if f.name in features]
     if not usable:
         raise ValueError("no usable feature column")
+    ensure_checkpoint_dir(rows.sparkSession)  # boosting cuts its lineage there
     stages, names = _feature_stages(rows, usable)
     prepared = PipelineModel(stages).transform(rows)
     fitter = _fit_classifier if problem == "classification" else _fit_regressor
@@ -239,10 +242,8 @@ def _feature_stages(rows: DataFrame, fields: list[T.StructField]) -> tuple[list,
 
     casts = []
     for i, f in enumerate(numbers):
-        name = _quoted(f.name)
-        if is_datetime(f.dataType):
-            name = f"unix_micros(CAST({name} AS TIMESTAMP)) * 1000"
-        casts.append(f"CAST({name} AS DOUBLE) AS `__n{i}`")
+        value = epoch_nanos_sql(f) if is_datetime(f.dataType) else _quoted(f.name)
+        casts.append(f"CAST({value} AS DOUBLE) AS `__n{i}`")
     casts += [f"{_quoted(f.name)} AS `__t{i}`" for i, f in enumerate(texts)]
     stages: list = [SQLTransformer(statement=f"SELECT *, {', '.join(casts)} FROM __THIS__")]
     shaped = stages[0].transform(rows)
@@ -282,22 +283,23 @@ def _feature_stages(rows: DataFrame, fields: list[T.StructField]) -> tuple[list,
 
 def _fit_classifier(prepared: DataFrame, target: str, algorithm: str, seed: int, rounds: int) -> list:
     text_target = prepared.withColumn("__target", ref(target).cast("string"))
-    classes = text_target.select("__target").distinct().limit(MAX_CLASSES + 1).count()
-    if classes > MAX_CLASSES:
+    classes = text_target.groupBy("__target").count().limit(MAX_CLASSES + 1).collect()
+    if len(classes) > MAX_CLASSES:
         raise ValueError(f"target {target!r} has more than {MAX_CLASSES} classes")
-    indexer = StringIndexer(inputCol="__target", outputCol="__label", stringOrderType="alphabetAsc").fit(text_target)
+    labels = sorted(r["__target"] for r in classes)
+    indexer = StringIndexerModel.from_labels(labels, inputCol="__target", outputCol="__label")
     labelled = indexer.transform(text_target).select("__features", "__label")
     common = {"featuresCol": "__features", "labelCol": "__label", "predictionCol": "__raw_prediction"}
     if algorithm == "Logistic Regression":
         # Penalty of a unit-strength L2 term, expressed per training row.
-        strength = 1.0 / max(labelled.count(), 1)
+        strength = 1.0 / sum(r["count"] for r in classes)
         estimator = LogisticRegression(maxIter=MAX_ITERATIONS, regParam=strength, standardization=False, **common)
     elif algorithm == "Random Forest":
         estimator = RandomForestClassifier(numTrees=rounds, seed=seed, **common)
     else:
         boosted = GBTClassifier(maxIter=rounds, stepSize=LEARNING_RATE, seed=seed, **common)
-        estimator = boosted if len(indexer.labels) == 2 else OneVsRest(classifier=boosted, **common)
-    back = IndexToString(inputCol="__raw_prediction", outputCol="__predicted_class", labels=indexer.labels)
+        estimator = boosted if len(labels) == 2 else OneVsRest(classifier=boosted, **common)
+    back = IndexToString(inputCol="__raw_prediction", outputCol="__predicted_class", labels=labels)
     return [estimator.fit(labelled), back]
 
 

@@ -18,16 +18,18 @@ def fences(q1: float, q3: float) -> tuple[float, float]:
     return q1 - reach, q3 + reach
 
 
-def iqr_fences(df: DataFrame, columns: list[str], in_task_rows: int | None = None) -> dict[str, tuple[float, float] | None]:
+def iqr_fences(
+    df: DataFrame, columns: list[str], approx: bool = False
+) -> dict[str, tuple[float, float] | None]:
     """Lower and upper fence per column; None for a column without values."""
-    quartiles = column_quantiles(df, columns, [0.25, 0.75], in_task_rows)
+    quartiles = column_quantiles(df, columns, [0.25, 0.75], approx=approx)
     return {c: fences(*q) if q else None for c, q in quartiles.items()}
 
 
-def outlier_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def outlier_summary(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
     """``(column, num_outliers, pct_outliers)``; the share counts all rows."""
     names = numeric_names(df, columns)
-    limits = iqr_fences(df, names)
+    limits = iqr_fences(df, names, approx)
     rows = []
     for name in names:
         value = number(df, name)
@@ -42,7 +44,7 @@ def outlier_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
 
 def remove_outliers(
-    df: DataFrame, columns: list[str] | None = None, simultaneous: bool = False
+    df: DataFrame, columns: list[str] | None = None, simultaneous: bool = False, approx: bool = False
 ) -> DataFrame:
     """Keep rows inside the fences of every column; a missing value is not inside.
 
@@ -52,10 +54,10 @@ def remove_outliers(
     prune.  ``simultaneous`` takes all fences from the whole table instead.
     """
     names = numeric_names(df, columns)
-    together = iqr_fences(df, names) if simultaneous else {}
+    together = iqr_fences(df, names, approx) if simultaneous else {}
     kept = df
     for name in names:
-        limits = together[name] if simultaneous else iqr_fences(kept, [name])[name]
+        limits = together[name] if simultaneous else iqr_fences(kept, [name], approx)[name]
         if limits is None:
             return kept.where(F.lit(False))
         kept = kept.where(ref(name).between(*limits))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tablewright.functions.columns import is_boolean, missing, number, numeric_names, present, ref
 from tablewright.functions.quantiles import column_quantiles
-from tablewright.functions.reports import row_report
+from tablewright.functions.reports import row_report, statistics
 from tablewright.functions.values import text_counts
 
 SUMMARY_SCHEMA = (
@@ -19,14 +19,17 @@ SUMMARY_SCHEMA = (
 )
 
 
-def numeric_summary(df: DataFrame, columns: list[str] | None = None, digits: int | None = 4) -> DataFrame:
+def numeric_summary(
+    df: DataFrame, columns: list[str] | None = None, digits: int | None = 4, approx: bool = False
+) -> DataFrame:
     """Count, mean, sample deviation, five-number summary, skewness and kurtosis.
 
     Skewness and excess kurtosis are the bias-adjusted sample forms: NULL below
-    three and four values, 0 for a constant column.
+    three and four values, 0 for a constant column.  ``approx`` takes the quartiles
+    from a sketch.
     """
     names = numeric_names(df, columns)
-    quartiles = column_quantiles(df, names, [0.25, 0.5, 0.75])
+    quartiles = column_quantiles(df, names, [0.25, 0.5, 0.75], approx=approx)
     rows = []
     for name in names:
         value = number(df, name)
@@ -138,6 +141,20 @@ def missing_patterns(df: DataFrame, columns: list[str] | None = None) -> DataFra
     return mask.groupBy(*[ref(c) for c in names]).agg(F.count("*").alias("row_count"))
 
 
+def missing_rates(df: DataFrame, along: str, buckets: int = 30) -> DataFrame:
+    """Share of missing cells per column in equal-width buckets of the numeric column ``along``.
+
+    The picture of the mask for tables with more rows than a screen:
+    ``(bucket, row_count, one column per other column)``.
+    """
+    value = number(df, along)
+    found = statistics(df, {"low": F.min(value), "high": F.max(value)})
+    low, width = found["low"] or 0.0, ((found["high"] or 0.0) - (found["low"] or 0.0)) / buckets
+    place = F.least(F.floor((value - low) / F.lit(width)), F.lit(buckets - 1)) if width else F.when(value.isNotNull(), 0)
+    rates = [F.avg(missing(f).cast("double")).alias(f.name) for f in df.schema.fields if f.name != along]
+    return df.groupBy(place.cast("bigint").alias("bucket")).agg(F.count("*").alias("row_count"), *rates)
+
+
 def key_figures(
     df: DataFrame,
     mean_of: str | None = None,
@@ -148,7 +165,7 @@ def key_figures(
 ) -> DataFrame:
     """Row count, column count and missing cells, plus the asked figures, as one row.
 
-    ``approx`` replaces the exact distinct count by a sketch.
+    ``approx`` takes median and distinct count from sketches.
     """
     cells = F.lit(0).cast("bigint")
     for f in df.schema.fields:
@@ -161,7 +178,7 @@ def key_figures(
     if mean_of:
         figures["mean"] = F.avg(number(df, mean_of))
     if median_of:
-        middle = column_quantiles(df, [median_of], [0.5])[median_of]
+        middle = column_quantiles(df, [median_of], [0.5], approx=approx)[median_of]
         figures["median"] = F.lit(middle[0] if middle else None).cast("double")
     if sum_of:
         figures["sum"] = F.coalesce(F.sum(number(df, sum_of)), F.lit(0.0))

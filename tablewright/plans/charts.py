@@ -167,6 +167,18 @@ def line(spark, sf):
     return ops.line(table(spark, sf, "events"), "event_id", "value", "event_type")
 
 
+@query(
+    "v7_line_buckets",
+    """
+    SELECT strftime(ts, '%Y-%m-%d') AS event_day, event_type, round(avg(value), 6) AS height
+    FROM events GROUP BY 1, 2
+    """,
+)
+def line_buckets(spark, sf):
+    points = ops.line_buckets(table(spark, sf, "events"), "ts", "value", "day", color="event_type")
+    return points.select(F.date_format("ts", "yyyy-MM-dd").alias("event_day"), "event_type", F.round("height", 6).alias("height"))
+
+
 @query(
     "v8_area_stacked",
     """

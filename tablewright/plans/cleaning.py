@@ -119,8 +119,9 @@ def duplicates(spark, sf):
     DAYS_SQL
     + """
     SELECT CAST(coalesce(sum(copies), 0) AS BIGINT) AS duplicates FROM (
-      SELECT count(*) AS copies FROM days GROUP BY ALL HAVING count(*) > 1)
-    """.replace("GROUP BY ALL", "GROUP BY o_orderstatus, o_orderpriority, order_day"),
+      SELECT count(*) AS copies FROM days
+      GROUP BY o_orderstatus, o_orderpriority, order_day HAVING count(*) > 1)
+    """,
 )
 def duplicate_count(spark, sf):
     return ops.duplicate_count(order_days(spark, sf))

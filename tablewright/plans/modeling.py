@@ -99,34 +99,59 @@ def linear_metrics(spark, sf):
     )
 
 
-@query("m5_logistic")
-def logistic(spark, sf):
+# A target that leans to another class in each order state.  A classifier that
+# sees the state only must answer with the most frequent class of the state.
+_LEANING = {
+    2: """CASE WHEN (o_custkey % 10 < 7) = (o_orderstatus = 'F') THEN 'yes' ELSE 'no' END""",
+    3: """CASE WHEN o_custkey % 10 < 7 THEN o_orderstatus
+               WHEN o_custkey % 10 < 9 THEN CASE o_orderstatus WHEN 'F' THEN 'O' WHEN 'O' THEN 'P' ELSE 'F' END
+               ELSE CASE o_orderstatus WHEN 'F' THEN 'P' WHEN 'O' THEN 'F' ELSE 'O' END END""",
+}
+
+
+def _majority_sql(classes):
+    return f"""
+    WITH leaning AS (SELECT o_orderstatus, {_LEANING[classes]} AS answer FROM orders),
+    ranked AS (SELECT o_orderstatus, answer, sum(count(*)) OVER (PARTITION BY o_orderstatus) AS n,
+                      row_number() OVER (PARTITION BY o_orderstatus ORDER BY count(*) DESC) AS place
+               FROM leaning GROUP BY o_orderstatus, answer)
+    SELECT o_orderstatus, answer AS prediction, CAST(n AS BIGINT) AS n FROM ranked WHERE place = 1
+    """
+
+
+def _classifier_query(name, algorithm, classes, rounds=ops.ROUNDS):
+    @query(name, _majority_sql(classes))
+    def run(spark, sf):
+        orders = table(spark, sf, "orders")
+        leaning = orders.selectExpr("o_orderstatus", f"{_LEANING[classes]} AS answer")
+        model = ops.fit(leaning, "answer", algorithm, rounds=rounds)
+        scored = model.score(orders.select("o_orderstatus"))
+        return scored.groupBy("o_orderstatus", "prediction").agg(F.count("*").alias("n"))
+
+
+_classifier_query("m5_logistic", "Logistic Regression", 2)
+_classifier_query("m5_logistic_many_classes", "Logistic Regression", 3)
+_classifier_query("m6_forest", "Random Forest", 3, rounds=10)
+_classifier_query("m7_gbt", "XGBoost", 2, rounds=5)
+_classifier_query("m7_gbt_many_classes", "XGBoost", 3, rounds=2)
+
+
+@query("m5_logistic_metrics")
+def logistic_metrics(spark, sf):
     orders = orders_with_gaps(spark, sf)
     return _metric_table(spark, ops.train(orders, "status", "Logistic Regression", split_keys=["o_orderkey"]))
 
 
-@query("m6_forest")
-def forest(spark, sf):
+@query("m6_forest_metrics")
+def forest_metrics(spark, sf):
     events = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
-    classes = ops.train(events, "event_type", "Random Forest", split_keys=["event_id"], rounds=20)
-    numbers = ops.train(events, "value", "Random Forest", split_keys=["event_id"], rounds=20)
-    return _metric_table(spark, classes).unionByName(_metric_table(spark, numbers))
+    return _metric_table(spark, ops.train(events, "value", "Random Forest", split_keys=["event_id"], rounds=20))
 
 
-@query("m7_gbt")
-def gbt(spark, sf):
+@query("m7_gbt_metrics")
+def gbt_metrics(spark, sf):
     parts = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
-    numbers = ops.train(parts, "p_retailprice", "XGBoost", split_keys=["p_partkey"], rounds=5)
-    classes = ops.train(
-        table(spark, sf, "labels"), "toxic", "XGBoost", split_keys=["doc_id"], rounds=5
-    )
-    return _metric_table(spark, numbers).unionByName(_metric_table(spark, classes))
-
-
-@query("m7_gbt_many_classes")
-def gbt_many_classes(spark, sf):
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-    return _metric_table(spark, ops.train(orders, "o_orderstatus", "XGBoost", split_keys=["o_orderkey"], rounds=3))
+    return _metric_table(spark, ops.train(parts, "p_retailprice", "XGBoost", split_keys=["p_partkey"], rounds=5))
 
 
 @query(
@@ -162,8 +187,24 @@ def reg_metrics(spark, sf):
     return found.select(F.round("rmse", 4).alias("rmse"), F.round("r2", 6).alias("r2"))
 
 
-@query("m10_importance")
+@query(
+    "m10_importance",
+    """
+    WITH c AS (SELECT covar_pop(l_quantity, l_extendedprice) AS s1y, covar_pop(l_discount, l_extendedprice) AS s2y,
+                      var_pop(l_quantity) AS s11, var_pop(l_discount) AS s22, covar_pop(l_quantity, l_discount) AS s12
+               FROM lineitem)
+    SELECT 'l_quantity' AS feature, round(abs((s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12)), 3) AS importance FROM c
+    UNION ALL SELECT 'l_discount', round(abs((s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12)), 3) FROM c
+    """,
+)
 def importance(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_extendedprice")
+    found = ops.feature_importance(ops.fit(lines, "l_extendedprice", "Linear Regression"))
+    return found.withColumn("importance", F.round("importance", 3))
+
+
+@query("m10_importance_trees")
+def importance_trees(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_extendedprice")
     return ops.feature_importance(ops.fit(lines, "l_extendedprice", "Random Forest", rounds=10), top=20)
 
@@ -235,6 +276,26 @@ def forecast(spark, sf):
     return series.forecast(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", 30, aggregation="sum")
 
 
+@query(
+    "x1_forecast_days",
+    """
+    WITH days AS (SELECT event_type, CAST(ts AS DATE) AS d FROM events GROUP BY 1, 2)
+    SELECT event_type, count(*) + 14 AS days, strftime(min(d), '%Y-%m-%d') AS first_day,
+           strftime(max(d) + INTERVAL 14 DAY, '%Y-%m-%d') AS last_day, CAST(0 AS BIGINT) AS misplaced
+    FROM days GROUP BY event_type
+    """,
+)
+def forecast_days(spark, sf):
+    """Which days a forecast covers, and that every estimate lies inside its interval."""
+    found = series.forecast(table(spark, sf, "events"), "ts", "value", 14, by=["event_type"])
+    return found.groupBy("event_type").agg(
+        F.count_distinct("ds").alias("days"),
+        F.date_format(F.min("ds"), "yyyy-MM-dd").alias("first_day"),
+        F.date_format(F.max("ds"), "yyyy-MM-dd").alias("last_day"),
+        F.count_if(~F.col("yhat").between(F.col("yhat_lower"), F.col("yhat_upper"))).alias("misplaced"),
+    )
+
+
 @query("x1_forecast_by_key")
 def forecast_by_key(spark, sf):
     return series.forecast(table(spark, sf, "events"), "ts", "value", 14, by=["event_type"])

@@ -118,6 +118,21 @@ def missing_patterns(spark, sf):
     return ops.missing_patterns(orders_with_gaps(spark, sf), ["price", "status", "customer"])
 
 
+@query(
+    "e5_missing_rates",
+    GAPS_SQL
+    + """, b AS (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM gaps)
+    SELECT CAST(least(floor((o_orderkey - lo) / ((hi - lo) / 30.0)), 29) AS BIGINT) AS bucket, count(*) AS row_count,
+           round(avg(CAST(price IS NULL AS INTEGER)), 6) AS price, round(avg(CAST(status IS NULL AS INTEGER)), 6) AS status,
+           round(avg(CAST(customer IS NULL AS INTEGER)), 6) AS customer
+    FROM gaps, b GROUP BY 1
+    """,
+)
+def missing_rates(spark, sf):
+    found = ops.missing_rates(orders_with_gaps(spark, sf), "o_orderkey")
+    return found.withColumns({c: F.round(c, 6) for c in ("price", "status", "customer")})
+
+
 @query(
     "k_kpis",
     GAPS_SQL

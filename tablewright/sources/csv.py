@@ -57,7 +57,7 @@ def infer_types(df: DataFrame, parse_dates: bool = False) -> DataFrame:
         "boolean": _boolean,
     }
     if parse_dates:
-        ladder["timestamp"] = lambda c: c.try_cast("timestamp")
+        ladder["timestamp_ntz"] = lambda c: c.try_cast("timestamp_ntz")
     aggregates = {}
     for name in df.columns:
         aggregates[name, "all"] = F.count(ref(name))
