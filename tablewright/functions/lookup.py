@@ -7,20 +7,40 @@ broadcast (there can only be few of them); the rest shuffles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions.columns import ref
 
 SMALL_ROWS = 100_000
+SMALL_BYTES = 64 * 1024 * 1024  # of text, in a table of few rows
 HOT_SHARE = 1000  # a key is hot when it holds more than 1/1000 of the rows
 
 
 def small_rows(df: DataFrame, limit: int | None = None) -> list[Row] | None:
-    """The rows when there are at most ``limit`` of them, otherwise None."""
+    """The rows when they are few and hold little text, otherwise None.
+
+    At most ``limit`` rows and ``SMALL_BYTES`` of text reach the driver.
+    """
     limit = SMALL_ROWS if limit is None else limit
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    if not texts:
+        rows = df.limit(limit + 1).collect()
+        return rows if len(rows) <= limit else None
+    kept_before = df.is_cached
+    df.persist()  # measured first, collected afterwards
+    try:
+        length = reduce(Column.__add__, [F.coalesce(F.octet_length(ref(c)), F.lit(0)).cast("long") for c in texts])
+        size = df.agg(F.count("*").alias("rows"), F.sum(length).alias("bytes")).first()
+        if size["rows"] > limit or (size["bytes"] or 0) > SMALL_BYTES:
+            return None
+        return df.collect()
+    finally:
+        if not kept_before:
+            df.unpersist()
 
 
 def broadcast_rows(df: DataFrame, rows: list[Row]) -> DataFrame:

@@ -5,29 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions import lookup
 from tablewright.functions.columns import ref
-from tablewright.functions.lookup import small_rows
-from tablewright.session import ensure_checkpoint_dir
+from tablewright.session import scratch_path
 
 
 def dense_codes(values: DataFrame, column: str, code: str, limit: int | None = None) -> DataFrame:
     """Number the distinct values of ``column`` in ascending order.
 
     Up to ``limit`` values are sorted on the driver.  Beyond that the values are
-    range-sorted by Spark and stored in the checkpoint folder, so that ids do not
+    range-sorted by Spark and written to the shared folder, so that ids do not
     change when an executor is lost; the number of a row is its place within its
     partition plus the sizes of the partitions before it.
     """
     spark = values.sparkSession
     distinct = values.select(ref(column)).where(ref(column).isNotNull()).distinct()
-    rows = small_rows(distinct, limit)
+    limit = lookup.SMALL_ROWS if limit is None else limit
+    # The sketch saves counting the values exactly when there are far too many.
+    about = values.agg(F.approx_count_distinct(ref(column)).alias("n")).first()["n"]
+    rows = lookup.small_rows(distinct, limit) if about <= 2 * limit else None
     schema = distinct.schema.add(code, "long")
     if rows is not None:
         ordered = sorted(row[0] for row in rows)
         return spark.createDataFrame([(v, i) for i, v in enumerate(ordered)], schema)
 
-    ensure_checkpoint_dir(spark)
-    stored = distinct.sort(ref(column)).withColumn("__id", F.monotonically_increasing_id()).checkpoint()
+    path = scratch_path(spark, "codes")
+    distinct.sort(ref(column)).withColumn("__id", F.monotonically_increasing_id()).write.parquet(path)
+    stored = spark.read.parquet(path)
     part = F.shiftright("__id", 33)
     sizes = stored.groupBy(part.alias("__part")).count().orderBy("__part").collect()
     offsets, start = [], 0

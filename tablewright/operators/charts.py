@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import number, numeric_names, ref
+from tablewright.functions.columns import missing, number, numeric_names, ref
 from tablewright.functions.lookup import lookup_join
 from tablewright.functions.quantiles import column_quantiles, quantile_table
 from tablewright.functions.reports import statistics
@@ -190,7 +190,7 @@ def pair_points(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def pie(df: DataFrame, column: str) -> DataFrame:
     """``(column, count, share)`` of the values that are not missing."""
     counted = (
-        df.select(ref(column)).where(ref(column).isNotNull()).groupBy(ref(column)).agg(F.count("*").alias("count"))
+        df.where(~missing(df.schema[column])).groupBy(ref(column)).agg(F.count("*").alias("count"))
     )
     total = counted.agg(F.sum("count")).scalar()
     return counted.withColumn("share", F.try_divide(F.col("count").cast("double"), total))
@@ -210,7 +210,7 @@ def bar(df: DataFrame, x: str, y: str, aggregation: str = "sum", color: str | No
     else:
         height = F.coalesce(F.sum(value), F.lit(0.0))
     groups = [ref(c) for c in _listed(x, color)]
-    return df.where(ref(x).isNotNull()).groupBy(*groups).agg(height.alias("height"))
+    return df.where(~missing(df.schema[x])).groupBy(*groups).agg(height.alias("height"))
 
 
 def line(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
@@ -352,7 +352,7 @@ def radar(
     else:
         total = aggregation == "sum"
         source = (
-            df.where(ref(category).isNotNull())
+            df.where(~missing(df.schema[category]))
             .groupBy(ref(category).cast("string").alias("name"))
             .agg(
                 *[

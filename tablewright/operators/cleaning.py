@@ -9,6 +9,7 @@ from tablewright.functions.columns import (
     is_integer,
     is_nested,
     missing,
+    normalise_missing,
     number,
     numeric_names,
     present,
@@ -133,7 +134,7 @@ def duplicate_groups(df: DataFrame) -> DataFrame:
     """
     names = df.columns
     return (
-        df.select(*[present(f).alias(f.name) for f in df.schema.fields])
+        normalise_missing(df)
         .groupBy(*[ref(c) for c in names])
         .agg(F.count("*").alias("copies"))
         .where("copies > 1")
@@ -166,5 +167,8 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    """One row of each group of equal rows; as all columns agree, any will do."""
-    return df.dropDuplicates()
+    """One row of each group of equal rows; as all columns agree, any will do.
+
+    Missing equals missing: NaN comes out as NULL.
+    """
+    return normalise_missing(df).dropDuplicates()

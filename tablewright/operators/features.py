@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,15 +96,25 @@ def one_hot(df: DataFrame, columns: list[str], drop_first: bool = False, limit:
     return df.select(*kept, *flags)
 
 
-def one_hot_vector(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Sparse form for columns with many values: ``<column>_onehot`` vectors."""
-    index = [f"{c}__index" for c in columns]
-    indexer = StringIndexer(
-        inputCols=columns, outputCols=index, stringOrderType="alphabetAsc", handleInvalid="keep"
-    )
-    encoder = OneHotEncoder(inputCols=index, outputCols=[f"{c}_onehot" for c in columns], dropLast=True)
-    text = df.withColumns({c: present(df.schema[c]).cast("string") for c in columns})
-    return Pipeline(stages=[indexer, encoder]).fit(text).transform(text).drop(*index, *columns)
+def one_hot_vector(df: DataFrame, columns: list[str], limit: int | None = None) -> DataFrame:
+    """Sparse form for any number of values: a vector ``<column>_onehot`` replaces each column.
+
+    Values are in text order; a missing value gives a vector of zeros.  The values
+    are numbered by Spark and do not pass the driver.
+    """
+    coded, places = df, []
+    for name in columns:
+        text = present(df.schema[name]).cast("string")
+        codes = dense_codes(df.select(text.alias(name)), name, "__code", limit)
+        size = codes.count()
+        joined = lookup_join(coded.withColumn(name, text), codes, [name], "left", limit)
+        # One place more than values: that of the missing value, which the encoder drops.
+        places.append(f"{name}__place")
+        described = {"ml_attr": {"type": "nominal", "num_vals": size + 1}}
+        place = F.coalesce("__code", F.lit(size)).cast("double").alias(places[-1], metadata=described)
+        coded = joined.select(*[ref(c) for c in coded.columns if c != name], place)
+    encoder = OneHotEncoder(inputCols=places, outputCols=[f"{c}_onehot" for c in columns], dropLast=True)
+    return encoder.fit(coded).transform(coded).drop(*places)
 
 
 def label_encode(

@@ -109,9 +109,11 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     rows = []
     for i, a in enumerate(names):
         for b in names[i:]:
-            rows.append(
-                {"col_a": F.lit(a), "col_b": F.lit(b), "corr": pearson(number(df, a), number(df, b))}
-            )
+            if a == b:  # exactly 1, or NULL for a constant
+                corr = F.try_divide(F.var_samp(number(df, a)), F.var_samp(number(df, a)))
+            else:
+                corr = pearson(number(df, a), number(df, b))
+            rows.append({"col_a": F.lit(a), "col_b": F.lit(b), "corr": corr})
     upper = row_report(df, rows, "col_a string, col_b string, corr double")
     mirrored = F.when(
         F.col("col_a") != F.col("col_b"),

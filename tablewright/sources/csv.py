@@ -14,6 +14,9 @@ MISSING_TEXTS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
+# Quotes inside a quoted cell are doubled, for reading and for writing.
+FORMAT = {"header": True, "escape": '"'}
+
 # Texts of booleans.
 BOOLEAN_TEXTS = ("True", "TRUE", "true", "False", "FALSE", "false")
 
@@ -27,13 +30,14 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header.  No path gives an empty table.
 
-    With a ``schema`` the files are read once, when the result is used.  Without
+    Pass ``multiLine=True`` for cells with line breaks: a file is then read by one
+    task.  With a ``schema`` the files are read once, when the result is used.  Without
     one a first pass over all rows finds the types: whole numbers, numbers,
     booleans, with ``parse_dates`` timestamps, else text.
     """
     if path is None:
         return spark.createDataFrame([], T.StructType([]))
-    reader = spark.read.options(header=True, multiLine=False, **options)
+    reader = spark.read.options(**{**FORMAT, **options})
     if schema is not None:
         return normalise_missing(reader.schema(schema).csv(path))
     raw = reader.csv(path)
@@ -42,7 +46,7 @@ def read_csv(
 
 
 def _cell(column: Column) -> Column:
-    return F.when(~F.trim(column).isin(*MISSING_TEXTS), column)
+    return F.when(~column.isin(*MISSING_TEXTS), column)
 
 
 def _boolean(column: Column) -> Column:
@@ -77,7 +81,7 @@ def infer_types(df: DataFrame, parse_dates: bool = False) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """A folder of CSV parts, each with a header."""
-    df.write.mode("overwrite").csv(path, header=True)
+    df.write.mode("overwrite").options(**FORMAT).csv(path)
 
 
 def load_table(spark: SparkSession, path: str | None, kind: str, **options: object) -> DataFrame:

@@ -112,6 +112,13 @@ def test_one_hot(spark, quirks):
         features.encode_categorical(quirks, ["k"], "hash")
 
 
+@pytest.mark.parametrize("limit", [None, 0])
+def test_one_hot_vector(quirks, limit):
+    got = features.one_hot_vector(quirks.select("id", "k", "b"), ["k", "b"], limit).orderBy("id").collect()
+    assert [r["k_onehot"].toArray().tolist() for r in got] == [[1, 0], [1, 0], [0, 1], [0, 1], [0, 0]]
+    assert [r["b_onehot"].toArray().tolist() for r in got] == [[0, 1], [1, 0], [0, 0], [0, 1], [0, 1]]
+
+
 def test_label_gives_missing_its_own_class(quirks):
     encoded, classes = features.label_encode(quirks, ["k"])
     assert [r["k"] for r in encoded.orderBy("id").collect()] == [1, 1, 2, 2, 0]

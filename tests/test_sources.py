@@ -11,7 +11,7 @@ from tests.conftest import rows
 
 
 def test_csv_types_and_missing_texts(spark, tmp_path):
-    text = "i,f,b,s,gap,mixed,when\n1,1.5,True,x,,1,2024-01-02\n2,NA,False,n/a,NaN,a,2024-01-03\n-3, 2e3 ,,NULL,null,2.5,\n"
+    text = 'i,f,b,s,gap,mixed,when\n1,1.5,True,x,,1,2024-01-02\n2,NA,False,n/a,NaN,a,2024-01-03\n-3, 2e3 ,,"NU""L",null,2.5,\n'
     (tmp_path / "t.csv").write_text(text)
     got = csv.read_csv(spark, str(tmp_path / "t.csv"), parse_dates=True)
     types = {f.name: f.dataType.simpleString() for f in got.schema}
@@ -21,7 +21,7 @@ def test_csv_types_and_missing_texts(spark, tmp_path):
     assert [tuple(r)[:6] for r in got.collect()] == [
         (1, 1.5, True, "x", None, "1"),
         (2, None, False, None, None, "a"),
-        (-3, 2000.0, None, None, None, "2.5"),
+        (-3, 2000.0, None, 'NU"L', None, "2.5"),
     ]
     assert dict(csv.read_csv(spark, str(tmp_path / "t.csv")).dtypes)["when"] == "string"
 
