@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.operators.filters import Filter, apply_filters
+from tablewright.sources import store
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -42,6 +43,16 @@ class Dataset:
     def reset_filters(self) -> Dataset:
         return replace(self, filtered=self.clean, model=self.clean)
 
+    def save(self, root: str, name: str) -> str:
+        """Keep the cleaned table for later sessions."""
+        return store.save_table(self.clean, root, name)
+
+    @staticmethod
+    def restore(spark: SparkSession, root: str, name: str) -> Dataset | None:
+        """The table kept under that name, or None."""
+        table = store.load_table(spark, root, name)
+        return None if table is None else Dataset.of(table)
+
     def engineered(self, step: Step) -> Dataset:
         """Change the feature table only."""
         return replace(self, model=step(self.model))

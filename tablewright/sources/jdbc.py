@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import ref
-
 FETCH_ROWS = 10_000
 
 
@@ -21,8 +19,8 @@ def read_sql(
     """Run ``query`` in the database and read its result.
 
     With a ``partition_column`` (number, date or timestamp) the result is read in
-    ``partitions`` ranges over as many connections; its bounds are asked from the
-    database first.  Without one a single connection, hence one task, reads it
+    ``partitions`` ranges over as many connections; the database is first asked
+    for its bounds.  Without one a single connection, hence one task, reads it
     all, which suits small results only.
     """
     if not query.strip():
@@ -30,19 +28,18 @@ def read_sql(
     reader = spark.read.format("jdbc")
     if partition_column is None:
         return reader.options(**jdbc_options(url, query, **options)).load()
-    whole = reader.options(**jdbc_options(url, query, **options)).load()
-    bounds = whole.agg(
-        F.min(ref(partition_column)).cast("string").alias("low"),
-        F.max(ref(partition_column)).cast("string").alias("high"),
-    ).first()
-    if bounds["low"] is None:
-        return whole
-    ranged = jdbc_options(
-        url, query, partition_column=partition_column, low=bounds["low"], high=bounds["high"], partitions=partitions, **options
-    )
+    asked = reader.options(**jdbc_options(url, bounds_query(query, partition_column), **options)).load()
+    low, high = asked.select(*[F.col(f"`{c}`").cast("string") for c in asked.columns]).first()
+    if low is None:  # no rows, or only rows without that value
+        return spark.read.format("jdbc").options(**jdbc_options(url, query, **options)).load()
+    ranged = jdbc_options(url, query, partition_column, low, high, partitions, **options)
     return spark.read.format("jdbc").options(**ranged).load()
 
 
+def bounds_query(query: str, column: str) -> str:
+    return f"SELECT min({column}) AS low_end, max({column}) AS high_end FROM ({query}) source"
+
+
 def jdbc_options(
     url: str,
     query: str,

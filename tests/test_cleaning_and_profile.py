@@ -155,6 +155,24 @@ def test_key_figures(quirks):
     assert tuple(empty) == (0, 7, 0, None, None, 0.0, 0)
 
 
+def test_sketches_come_close(spark):
+    df = spark.range(50_000).select(F.randn(3).alias("x"), (F.col("id") % 100).cast("string").alias("k"))
+    close = profile.key_figures(df, median_of="x", unique_of="k", approx=True).first()
+    exact = profile.key_figures(df, median_of="x", unique_of="k").first()
+    assert close["median"] == pytest.approx(exact["median"], abs=0.01) and abs(close["unique"] - 100) <= 10
+    one, two = (outliers.outlier_summary(df, ["x"], approx=a).first()["num_outliers"] for a in (True, False))
+    assert abs(one - two) < 20
+    gaps = df.withColumn("x", F.when(F.col("k") != "7", F.col("x")))
+    assert cleaning.fill_missing(gaps, "median", approx=True).where("x IS NULL").count() == 0
+
+
+def test_missing_rates(spark):
+    df = spark.range(90).select("id", F.when(F.col("id") >= 45, 1.0).alias("v"))
+    got = {r["bucket"]: (r["row_count"], r["v"]) for r in profile.missing_rates(df, "id", buckets=2).collect()}
+    assert got == {0: (45, 1.0), 1: (45, 0.0)}
+    assert profile.missing_rates(df.where("id = 3"), "id").first()["bucket"] == 0
+
+
 def test_missing_patterns(quirks):
     got = rows(profile.missing_patterns(quirks, ["x", "k"]))
     assert got == [(0, 0, 2), (0, 1, 1), (1, 0, 2)]

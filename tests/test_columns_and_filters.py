@@ -92,6 +92,9 @@ def test_text_search(spark):
     assert ids(filters.text_search(df, "1.5", ["v"])) == [1]
     assert ids(filters.text_search(df, "nan")) == []
     assert ids(filters.text_search(df, "")) == [1, 2, 3, 4, 5]
+    assert ids(filters.text_search(df, "^j.*y$")) == [2]
+    assert ids(filters.text_search(df, "JOHN|AXB")) == [1, 2, 5]
+    assert ids(filters.text_search(df, "x", [])) == []
 
 
 def test_literal_search_with_quote_markers(spark):
@@ -156,6 +159,12 @@ def test_domains(spark, quirks):
     assert found["many"] is None and len(found["few"]) == 50
 
 
+def test_dataset_outlives_a_session(spark, quirks, tmp_path):
+    assert Dataset.restore(spark, str(tmp_path), "kept") is None
+    Dataset.of(quirks).filter([filters.OneOf("k", ["a"])]).save(str(tmp_path), "kept")
+    assert ids(Dataset.restore(spark, str(tmp_path), "kept").filtered) == [1, 2, 3, 4, 5]
+
+
 def test_dataset_versions(quirks):
     data = Dataset.of(quirks)
     filtered = data.filter([filters.OneOf("k", ["a"])], sql="SELECT * FROM df WHERE id < 5")

@@ -90,6 +90,11 @@ def test_jdbc_options():
     assert (ranged["partitionColumn"], ranged["lowerBound"], ranged["upperBound"], ranged["numPartitions"]) == ("a", "1", "9", "4")
 
 
+def test_jdbc_asks_the_database_for_bounds():
+    text = jdbc.bounds_query("SELECT a FROM t", "a")
+    assert text == "SELECT min(a) AS low_end, max(a) AS high_end FROM (SELECT a FROM t) source"
+
+
 def test_jdbc_needs_a_query(spark):
     with pytest.raises(ValueError):
         jdbc.read_sql(spark, "jdbc:x:y", "  ")
