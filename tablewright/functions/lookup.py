@@ -16,31 +16,24 @@ from pyspark.sql import types as T
 from tablewright.functions.columns import ref
 
 SMALL_ROWS = 100_000
-SMALL_BYTES = 64 * 1024 * 1024  # of text, in a table of few rows
+SMALL_ROW_TEXT = 640  # bytes; with SMALL_ROWS this keeps a small table below 64 MB of text
 HOT_SHARE = 1000  # a key is hot when it holds more than 1/1000 of the rows
 
 
 def small_rows(df: DataFrame, limit: int | None = None) -> list[Row] | None:
     """The rows when they are few and hold little text, otherwise None.
 
-    At most ``limit`` rows and ``SMALL_BYTES`` of text reach the driver.
+    No more than ``limit`` rows of bounded text reach the driver: a row with more
+    text than that arrives as NULL and makes the table count as not small.
     """
     limit = SMALL_ROWS if limit is None else limit
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
-    if not texts:
-        rows = df.limit(limit + 1).collect()
-        return rows if len(rows) <= limit else None
-    kept_before = df.is_cached
-    df.persist()  # measured first, collected afterwards
-    try:
+    whole = F.struct(*[ref(c) for c in df.columns])
+    if texts:
         length = reduce(Column.__add__, [F.coalesce(F.octet_length(ref(c)), F.lit(0)).cast("long") for c in texts])
-        size = df.agg(F.count("*").alias("rows"), F.sum(length).alias("bytes")).first()
-        if size["rows"] > limit or (size["bytes"] or 0) > SMALL_BYTES:
-            return None
-        return df.collect()
-    finally:
-        if not kept_before:
-            df.unpersist()
+        whole = F.when(length <= SMALL_ROW_TEXT, whole)
+    rows = [r["row"] for r in df.select(whole.alias("row")).limit(limit + 1).collect()]
+    return rows if len(rows) <= limit and all(r is not None for r in rows) else None
 
 
 def broadcast_rows(df: DataFrame, rows: list[Row]) -> DataFrame:
@@ -62,16 +55,19 @@ def lookup_join(
     rows = small_rows(derived, limit)
     if rows is not None:
         return big.join(broadcast_rows(derived, rows), keys, how)
+    return skewed_join(big, derived, keys, how)
 
-    counts = big.groupBy(*[ref(k) for k in keys]).agg(F.count("*").alias("__n"))
+
+def skewed_join(big: DataFrame, derived: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """The same join for two large tables: hot keys by broadcast, the rest by shuffle."""
     total = big.count()
+    counts = big.groupBy(*[ref(k) for k in keys]).agg(F.count("*").alias("__n"))
     hot = counts.where(F.col("__n") * HOT_SHARE > total).select(*[ref(k) for k in keys])
     hot_rows = hot.dropna().collect()  # fewer than HOT_SHARE rows by construction
     if not hot_rows:
         return big.join(derived, keys, how)
     hot_keys = broadcast_rows(hot, hot_rows)
-    hot_part = big.join(hot_keys, keys, "left_semi").join(
-        F.broadcast(derived.join(hot_keys, keys, "left_semi")), keys, how
-    )
+    few = F.broadcast(derived.join(hot_keys, keys, "left_semi"))
+    hot_part = big.join(hot_keys, keys, "left_semi").join(few, keys, how)
     rest = big.join(hot_keys, keys, "left_anti").join(derived, keys, how)
     return rest.unionByName(hot_part)

@@ -10,9 +10,13 @@ from tablewright.functions.columns import ref
 from tablewright.session import scratch_path
 
 
-def dense_codes(values: DataFrame, column: str, code: str, limit: int | None = None) -> DataFrame:
+def dense_codes(
+    values: DataFrame, column: str, code: str, limit: int | None = None
+) -> tuple[DataFrame, bool]:
     """Number the distinct values of ``column`` in ascending order.
 
+    Returns the numbers and whether they are few enough for a broadcast.
+
     Up to ``limit`` values are sorted on the driver.  Beyond that the values are
     range-sorted by Spark and written to the shared folder, so that ids do not
     change when an executor is lost; the number of a row is its place within its
@@ -27,7 +31,7 @@ def dense_codes(values: DataFrame, column: str, code: str, limit: int | None = N
     schema = distinct.schema.add(code, "long")
     if rows is not None:
         ordered = sorted(row[0] for row in rows)
-        return spark.createDataFrame([(v, i) for i, v in enumerate(ordered)], schema)
+        return spark.createDataFrame([(v, i) for i, v in enumerate(ordered)], schema), True
 
     path = scratch_path(spark, "codes")
     distinct.sort(ref(column)).withColumn("__id", F.monotonically_increasing_id()).write.parquet(path)
@@ -40,8 +44,5 @@ def dense_codes(values: DataFrame, column: str, code: str, limit: int | None = N
         start += row["count"]
     table = F.broadcast(spark.createDataFrame(offsets, "__part long, __start long"))
     place = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-    return (
-        stored.withColumn("__part", part)
-        .join(table, "__part")
-        .select(ref(column), (F.col("__start") + place).alias(code))
-    )
+    numbered = stored.withColumn("__part", part).join(table, "__part")
+    return numbered.select(ref(column), (F.col("__start") + place).alias(code)), False

@@ -100,10 +100,20 @@ def test_lookup_join_ways_agree(spark, how):
     assert rows(lookup_join(big, derived, ["k"], how, limit=0)) == wanted
 
 
+def test_tables_of_long_texts_are_not_small(spark):
+    short = spark.createDataFrame([("a", 1), (None, 2)], "k string, v int")
+    long = short.union(spark.createDataFrame([("x" * 1000, 3)], "k string, v int"))
+    assert [tuple(r) for r in lookup.small_rows(short)] == [("a", 1), (None, 2)]
+    assert lookup.small_rows(short, 1) is None and lookup.small_rows(long) is None
+    big = spark.createDataFrame([("a",), ("x" * 1000,), ("b",)], "k string")
+    assert rows(lookup_join(big, long, ["k"])) == [("a", 1), ("x" * 1000, 3)]
+
+
 def test_dense_codes_ways_agree(spark):
     values = spark.range(5000).select(F.concat(F.lit("v"), F.col("id") % 700).alias("s")).repartition(5)
     values = values.union(spark.createDataFrame([("Ä",), ("",), (None,)], "s string"))
-    small, large = dense_codes(values, "s", "code"), dense_codes(values, "s", "code", limit=10)
+    (small, few), (large, also_few) = dense_codes(values, "s", "code"), dense_codes(values, "s", "code", limit=10)
+    assert few and not also_few
     assert rows(small) == rows(large)
     ordered = [r["s"] for r in large.orderBy("code").collect()]
     assert ordered == sorted(ordered) and [r["code"] for r in large.orderBy("code").collect()] == list(range(702))
