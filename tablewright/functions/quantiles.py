@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -41,20 +42,25 @@ def column_quantiles(
     probabilities: list[float],
     in_task_rows: int | None = None,
     approx: bool = False,
+    counts: dict[str, int] | None = None,
 ) -> dict[str, list[float] | None]:
     """Quantiles of whole columns on the driver: one short list per column, None without values.
 
-    ``approx`` answers from a sketch in one scan, without interpolation.
+    ``approx`` answers from a sketch in one scan, without interpolation.  ``counts``
+    spares a scan when the number of values per column is known.
     """
     if not columns:
         return {}
     limit = IN_TASK_ROWS if in_task_rows is None else in_task_rows
-    narrow = df.select(*[number(df, c).alias(c) for c in columns])
     if approx:
-        return statistics(narrow, {c: F.percentile_approx(ref(c), probabilities, SKETCH_ACCURACY) for c in columns})
-    counts = statistics(narrow, {c: F.count(ref(c)) for c in columns})
+        return statistics(df, {c: F.percentile_approx(number(df, c), probabilities, SKETCH_ACCURACY) for c in columns})
+    if counts is None:
+        counts = statistics(df, {c: F.count(number(df, c)) for c in columns})
     if max(counts.values()) <= limit:
-        return statistics(narrow, {c: F.percentile(ref(c), probabilities) for c in columns})
+        return statistics(df, {c: F.percentile(number(df, c), probabilities) for c in columns})
+    # NaN stays in: as the largest value it fails every upper bound, and bare
+    # comparisons are what Parquet can test.
+    narrow = df.select(*[ref(c).cast("double").alias(c) for c in columns])
     positions = {c: [p * (counts[c] - 1) for p in probabilities] for c in columns if counts[c]}
     wanted = {(c, end(x)) for c, places in positions.items() for x in places for end in (math.floor, math.ceil)}
     values = _order_statistics(narrow, wanted, counts, max(limit, 1))
@@ -80,7 +86,10 @@ class _Range:
 
     def holds(self) -> Column:
         value = ref(self.column)
-        keep = value.isNotNull()
+        return self.bounds() & value.isNotNull() & ~F.isnan(value)
+
+    def bounds(self) -> Column:
+        value, keep = ref(self.column), F.lit(True)
         if self.low is not None:
             keep = keep & (value > self.low)
         if self.high is not None:
@@ -121,13 +130,11 @@ def _order_statistics(
 
 
 def _rows_in(narrow: DataFrame, ranges) -> DataFrame:
-    """Rows in any of the ranges, as a condition Parquet can test."""
-    keep = F.lit(False)
-    for r in set(ranges):
-        if r.low is None and r.high is None:
-            return narrow
-        keep = keep | r.holds()
-    return narrow.where(keep)
+    """Rows that may lie in one of the ranges, by a condition Parquet can test."""
+    distinct = set(ranges)
+    if any(r.low is None and r.high is None for r in distinct):
+        return narrow
+    return narrow.where(reduce(Column.__or__, [r.bounds() for r in distinct]))
 
 
 def _pivots(
@@ -171,7 +178,7 @@ def _count_around(
         value = ref(r.column)
         parts[r, low, high, 0] = F.count_if(r.holds() & (value < low))
         parts[r, low, high, 1] = F.count_if(value == low)
-        parts[r, low, high, 2] = F.count_if((value > low) & (value < high))
+        parts[r, low, high, 2] = F.count_if((value > low) & (value < high))  # never NaN
         parts[r, low, high, 3] = F.count_if(value == high) if high > low else F.lit(0)
     counted = statistics(_rows_in(narrow, [ranges[t] for t in pivots]), parts)
     outcome: dict[tuple[str, int], _Range | float] = {}

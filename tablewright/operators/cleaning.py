@@ -76,9 +76,14 @@ def fill_mean(df: DataFrame) -> DataFrame:
 def fill_median(df: DataFrame, approx: bool = False) -> DataFrame:
     """Numeric columns get their median: the midpoint of the two middle values, unless ``approx``."""
     names = numeric_names(df)
-    gaps = statistics(df, {c: F.count_if(missing(df.schema[c])) for c in names}) if names else {}
-    with_gaps = [c for c in names if gaps[c]]
-    medians = column_quantiles(df, with_gaps, [0.5], approx=approx)
+    aggregates = {}
+    for name in names:
+        aggregates["values", name] = F.count(number(df, name))
+        aggregates["gaps", name] = F.count_if(missing(df.schema[name]))
+    found = statistics(df, aggregates) if names else {}
+    with_gaps = [c for c in names if found["gaps", c]]
+    counts = {c: found["values", c] for c in with_gaps}
+    medians = column_quantiles(df, with_gaps, [0.5], approx=approx, counts=counts)
     return _fill_numbers(df, {c: medians[c] and medians[c][0] for c in with_gaps})
 
 

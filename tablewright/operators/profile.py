@@ -29,26 +29,28 @@ def numeric_summary(
     from a sketch.
     """
     names = numeric_names(df, columns)
-    quartiles = column_quantiles(df, names, [0.25, 0.5, 0.75], approx=approx)
-    rows = []
+    aggregates = {}
     for name in names:
         value = number(df, name)
-        middle = quartiles[name] or [None] * 3
-        figures = {
-            "mean": F.avg(value),
-            "std": F.stddev_samp(value),
-            "min": F.min(value),
-            "p25": F.lit(middle[0]),
-            "p50": F.lit(middle[1]),
-            "p75": F.lit(middle[2]),
-            "max": F.max(value),
-            "skew": sample_skewness(value),
-            "kurtosis": sample_kurtosis(value),
-        }
-        if digits is not None:
-            figures = {k: F.round(v.cast("double"), digits) for k, v in figures.items()}
-        rows.append({"column": F.lit(name), "count": F.count(value), **figures})
-    return row_report(df, rows, SUMMARY_SCHEMA)
+        aggregates[name, "count"] = F.count(value)
+        aggregates[name, "mean"] = F.avg(value)
+        aggregates[name, "std"] = F.stddev_samp(value)
+        aggregates[name, "min"] = F.min(value)
+        aggregates[name, "max"] = F.max(value)
+        aggregates[name, "skew"] = sample_skewness(value)
+        aggregates[name, "kurtosis"] = sample_kurtosis(value)
+    found = statistics(df, aggregates) if names else {}
+    counts = {c: found[c, "count"] for c in names}
+    quartiles = column_quantiles(df, names, [0.25, 0.5, 0.75], approx=approx, counts=counts)
+    rows = []
+    for name in names:
+        p25, p50, p75 = quartiles[name] or [None] * 3
+        one = {figure: value for (column, figure), value in found.items() if column == name}
+        rows.append((name, one["count"], one["mean"], one["std"], one["min"], p25, p50, p75, one["max"], one["skew"], one["kurtosis"]))
+    table = df.sparkSession.createDataFrame(rows, SUMMARY_SCHEMA)
+    if digits is None:
+        return table
+    return table.withColumns({c: F.round(c, digits) for c in table.columns[2:]})
 
 
 def sample_skewness(value: Column) -> Column:

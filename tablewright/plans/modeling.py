@@ -61,7 +61,7 @@ def split(spark, sf):
     )
     per_key = parts.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.max("part").alias("part"))
     return per_key.agg(
-        F.lit(orders.count()).alias("row_count"),
+        F.lit(orders.count()).cast("bigint").alias("row_count"),
         F.sum("n").alias("placed"),
         F.count_if(F.col("n") > 1).alias("in_both"),
         F.avg("part").between(0.15, 0.25).alias("share_as_asked"),

@@ -69,7 +69,6 @@ def test_filter_summary_is_one_scan(orders, capsys):
     "report",
     [
         cleaning.missing_summary,
-        profile.numeric_summary,
         profile.correlation_matrix,
         profile.missing_patterns,
         lambda df: profile.key_figures(df, mean_of="l_tax", sum_of="l_tax", unique_of="l_returnflag"),
@@ -143,6 +142,15 @@ def test_pie_uses_one_counted_table(orders, capsys):
     assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
 
 
+def test_quantile_ranges_reach_parquet(lines, capsys):
+    from tablewright.functions import quantiles
+
+    narrow = lines.select("l_quantity", "l_extendedprice")
+    wanted = [quantiles._Range("l_quantity", 1.0, 2.0, 0, 9), quantiles._Range("l_extendedprice", None, 5.0, 0, 9)]
+    pushed = re.search(r"PushedFilters: (.*)", plan(quantiles._rows_in(narrow, wanted), capsys)).group(1)
+    assert "GreaterThan(l_quantity,1.0)" in pushed and "LessThan(l_extendedprice,5.0)" in pushed
+
+
 def test_sampling_never_decides(spark):
     """Exact quantiles although the pivots come from a sample."""
     from tablewright.functions import quantiles
