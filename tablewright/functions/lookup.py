@@ -58,16 +58,32 @@ def lookup_join(
     return skewed_join(big, derived, keys, how)
 
 
-def skewed_join(big: DataFrame, derived: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """The same join for two large tables: hot keys by broadcast, the rest by shuffle."""
-    total = big.count()
-    counts = big.groupBy(*[ref(k) for k in keys]).agg(F.count("*").alias("__n"))
-    hot = counts.where(F.col("__n") * HOT_SHARE > total).select(*[ref(k) for k in keys])
-    hot_rows = hot.dropna().collect()  # fewer than HOT_SHARE rows by construction
-    if not hot_rows:
-        return big.join(derived, keys, how)
-    hot_keys = broadcast_rows(hot, hot_rows)
-    few = F.broadcast(derived.join(hot_keys, keys, "left_semi"))
-    hot_part = big.join(hot_keys, keys, "left_semi").join(few, keys, how)
-    rest = big.join(hot_keys, keys, "left_anti").join(derived, keys, how)
-    return rest.unionByName(hot_part)
+def skewed_join(
+    big: DataFrame, derived: DataFrame, keys: list[str], how: str = "inner", hot_keys: list[Row] | None = None
+) -> DataFrame:
+    """The same join for two large tables: hot keys by broadcast, the rest by shuffle.
+
+    ``hot_keys`` spares counting the keys of ``big`` when they are known.  Rows
+    with a NULL key, which a shuffle would send to one task, stay where they are.
+    """
+    no_key = reduce(Column.__or__, [ref(k).isNull() for k in keys])
+    keyed = big.where(~no_key)
+    if hot_keys is None:
+        hot_keys = _hot_keys(keyed, keys)
+    if hot_keys:
+        hot = broadcast_rows(keyed.select(*[ref(k) for k in keys]), hot_keys)
+        few = F.broadcast(derived.join(hot, keys, "left_semi"))
+        hot_part = keyed.join(hot, keys, "left_semi").join(few, keys, how)
+        joined = keyed.join(hot, keys, "left_anti").join(derived, keys, how).unionByName(hot_part)
+    else:
+        joined = keyed.join(derived, keys, how)
+    if how != "left":
+        return joined
+    return joined.unionByName(big.where(no_key), allowMissingColumns=True)
+
+
+def _hot_keys(keyed: DataFrame, keys: list[str]) -> list[Row]:
+    """Keys with more than one ``HOT_SHARE``-th of the rows: fewer than ``HOT_SHARE``."""
+    total = keyed.count()
+    counts = keyed.groupBy(*[ref(k) for k in keys]).agg(F.count("*").alias("__n"))
+    return counts.where(F.col("__n") * HOT_SHARE > total).select(*[ref(k) for k in keys]).collect()

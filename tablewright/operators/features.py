@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import number, numeric_names, present, ref
-from tablewright.functions.lookup import lookup_join, skewed_join
+from tablewright.functions.lookup import lookup_join
 from tablewright.functions.ranking import dense_codes
 from tablewright.functions.reports import statistics
 from tablewright.operators.profile import pearson
@@ -105,9 +105,9 @@ def one_hot_vector(df: DataFrame, columns: list[str], limit: int | None = None)
     coded, places = df, []
     for name in columns:
         text = present(df.schema[name]).cast("string")
-        codes, few = dense_codes(df.select(text.alias(name)), name, "__code", limit)
-        size = codes.count()
-        joined = _with_codes(coded.withColumn(name, text), codes, name, few)
+        codes = dense_codes(df.select(text.alias(name)), name, "code", limit)
+        size = codes.table.count()
+        joined = codes.join(coded.withColumn(name, text), name, "__code")
         # One place more than values: that of the missing value, which the encoder drops.
         places.append(f"{name}__place")
         described = {"ml_attr": {"type": "nominal", "num_vals": size + 1}}
@@ -129,20 +129,13 @@ def label_encode(
     for name in columns:
         as_text = F.coalesce(present(df.schema[name]).cast("string"), F.lit(MISSING_CLASS))
         encoded = encoded.withColumn(name, as_text)
-        codes, few = dense_codes(df.select(as_text.alias("class")), "class", "code", limit)
-        classes[name] = codes
-        joined = _with_codes(encoded, codes.withColumnsRenamed({"class": name, "code": "__code"}), name, few)
+        codes = dense_codes(df.select(as_text.alias("class")), "class", "code", limit)
+        classes[name] = codes.table
+        joined = codes.join(encoded, name, "__code")
         encoded = joined.select(*[F.col("__code").alias(c) if c == name else ref(c) for c in df.columns])
     return encoded, classes
 
 
-def _with_codes(df: DataFrame, codes: DataFrame, name: str, few: bool) -> DataFrame:
-    """``df`` with the code of its column ``name``; a missing value has none."""
-    if few:
-        return df.join(F.broadcast(codes), [name], "left")
-    return skewed_join(df, codes, [name], "left")
-
-
 def label_decode(df: DataFrame, classes: dict[str, DataFrame], limit: int | None = None) -> DataFrame:
     """Turn label codes back into their texts."""
     decoded = df

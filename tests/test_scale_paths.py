@@ -112,11 +112,21 @@ def test_tables_of_long_texts_are_not_small(spark):
 def test_dense_codes_ways_agree(spark):
     values = spark.range(5000).select(F.concat(F.lit("v"), F.col("id") % 700).alias("s")).repartition(5)
     values = values.union(spark.createDataFrame([("Ä",), ("",), (None,)], "s string"))
-    (small, few), (large, also_few) = dense_codes(values, "s", "code"), dense_codes(values, "s", "code", limit=10)
-    assert few and not also_few
-    assert rows(small) == rows(large)
-    ordered = [r["s"] for r in large.orderBy("code").collect()]
-    assert ordered == sorted(ordered) and [r["code"] for r in large.orderBy("code").collect()] == list(range(702))
+    small, large = dense_codes(values, "s", "code"), dense_codes(values, "s", "code", limit=10)
+    assert small.few and not large.few
+    assert rows(small.table) == rows(large.table)
+    got = large.table.orderBy("code").collect()
+    assert [r["s"] for r in got] == sorted(r["s"] for r in got) and [r["code"] for r in got] == list(range(702))
+    assert {r["s"] for r in large.hot} == {f"v{i}" for i in range(700)}  # 7 or 8 of 5002 rows each
+
+
+def test_only_frequent_values_are_hot(spark):
+    values = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("s"))
+    codes = dense_codes(values, "s", "code", limit=10)
+    assert [r["s"] for r in codes.hot] == ["hot"]
+    joined = codes.join(values.union(spark.createDataFrame([(None,)], "s string")), "s", "c")
+    assert joined.where("c IS NULL").count() == 1 and joined.count() == 9001
+    assert joined.where("s = 'hot'").select("c").distinct().first()[0] == 6000
 
 
 def test_label_encoding_ways_agree(spark):
