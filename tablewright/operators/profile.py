@@ -4,6 +4,10 @@ missing-value patterns and key figures.
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +17,8 @@ from tablewright.functions.quantiles import column_quantiles
 from tablewright.functions.reports import row_report, statistics
 from tablewright.functions.values import text_counts
 
+WIDE_COLUMNS = 20
+
 SUMMARY_SCHEMA = (
     "column string, count bigint, mean double, std double, min double, p25 double, p50 double, "
     "p75 double, max double, skew double, kurtosis double"
@@ -105,25 +111,64 @@ def pearson(x: Column, y: Column) -> Column:
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pairwise-complete Pearson correlations in long form ``(col_a, col_b, corr)``.
 
-    The upper triangle comes from one scan and is mirrored.
+    The upper triangle is computed and mirrored.  The pairs of a narrow table come
+    from one scan.  In a wide one the columns without gaps go into one matrix,
+    whatever their number, and only pairs with a gap are aggregated one by one.
     """
     names = numeric_names(df, columns)
-    rows = []
+    full = _standardised(df, names) if len(names) >= WIDE_COLUMNS else {}
+    rows, in_matrix = [], set(full) if len(full) >= WIDE_COLUMNS else set()
     for i, a in enumerate(names):
         for b in names[i:]:
+            if a in in_matrix and b in in_matrix:
+                continue
             if a == b:  # exactly 1, or NULL for a constant
                 corr = F.try_divide(F.var_samp(number(df, a)), F.var_samp(number(df, a)))
             else:
                 corr = pearson(number(df, a), number(df, b))
             rows.append({"col_a": F.lit(a), "col_b": F.lit(b), "corr": corr})
-    upper = row_report(df, rows, "col_a string, col_b string, corr double")
+    schema = "col_a string, col_b string, corr double"
+    upper = row_report(df, rows, schema)
+    if in_matrix:
+        pairs = _matrix_pairs(df, full)
+        upper = upper.unionByName(df.sparkSession.createDataFrame(pairs, schema))
     mirrored = F.when(
         F.col("col_a") != F.col("col_b"),
-        F.array(F.struct("col_a", "col_b", "corr"), F.struct(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "corr")),
+        F.array(
+            F.struct("col_a", "col_b", "corr"),
+            F.struct(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "corr"),
+        ),
     ).otherwise(F.array(F.struct("col_a", "col_b", "corr")))
     return upper.select(F.inline(mirrored))
 
 
+def _standardised(df: DataFrame, names: list[str]) -> dict[str, Column]:
+    """Columns without gaps and with a spread, shifted and scaled to unit variance."""
+    aggregates = {}
+    for name in names:
+        value = number(df, name)
+        aggregates[name, "gaps"] = F.count_if(missing(df.schema[name]))
+        aggregates[name, "mean"] = F.avg(value)
+        aggregates[name, "std"] = F.stddev_samp(value)
+    found = statistics(df, aggregates)
+    ready = {}
+    for name in names:
+        mean, std = found[name, "mean"], found[name, "std"]
+        if found[name, "gaps"] == 0 and std and math.isfinite(std):
+            ready[name] = (number(df, name) - F.lit(mean)) / F.lit(std)
+    return ready
+
+
+def _matrix_pairs(df: DataFrame, columns: dict[str, Column]) -> list[tuple[str, str, float]]:
+    """Upper triangle of the correlations of gapless columns: one number per pair."""
+    names = list(columns)
+    inputs = [f"c{i}" for i in range(len(names))]
+    narrow = df.select(*[columns[n].alias(i) for n, i in zip(names, inputs)])
+    vectors = VectorAssembler(inputCols=inputs, outputCol="v").transform(narrow).select("v")
+    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+    return [(names[i], names[j], float(matrix[i, j])) for i in range(len(names)) for j in range(i, len(names))]
+
+
 def pair_correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     """The correlation of exactly two columns, as one number."""
     return df.agg(pearson(number(df, a), number(df, b)).alias("corr"))

@@ -148,6 +148,24 @@ def test_correlation_of_many_columns_in_blocks(spark):
     np.testing.assert_allclose(got.loc[expected.index, expected.columns].to_numpy(), expected.to_numpy(), atol=1e-9)
 
 
+def test_correlation_of_wide_tables(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(400, 4))
+    pdf = pd.DataFrame(base @ rng.normal(size=(4, 30)) + rng.normal(size=(400, 30)), columns=[f"c{i}" for i in range(30)])
+    pdf["c1"] = pdf["c1"] * 1e-14  # tiny, yet not constant
+    pdf["c2"] = pdf["c2"] + 1e9
+    pdf["flat"] = 3.0
+    pdf.loc[::7, "c3"] = np.nan
+    pdf.loc[::5, "c4"] = np.nan
+    got = profile.correlation_matrix(spark.createDataFrame(pdf)).toPandas()
+    assert len(got) == 31 * 31
+    got = got.pivot(index="col_a", columns="col_b", values="corr").astype(float)
+    expected = pdf.corr()
+    np.testing.assert_allclose(got.loc[expected.index, expected.columns].to_numpy(), expected.to_numpy(), atol=1e-6)
+    assert np.array_equal(np.diag(got.drop(index="flat", columns="flat")), np.ones(30))
+    assert profile.correlation_matrix(spark.createDataFrame(pdf).limit(0)).where("corr IS NOT NULL").count() == 0
+
+
 def test_key_figures(quirks):
     row = profile.key_figures(quirks, mean_of="x", median_of="x", sum_of="empty", unique_of="k").first()
     assert tuple(row) == (5, 7, 10, 35.0, 4.0, 0.0, 2)
