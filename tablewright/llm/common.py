@@ -33,15 +33,17 @@ def count_words(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
-def add_starts(parts: DataFrame, keys: list[str], order: str, amount: str, start: str) -> DataFrame:
+def add_starts(
+    parts: DataFrame, keys: list[str], order: str, amount: str, start: str, per_block: int = PARTS_PER_BLOCK
+) -> DataFrame:
     """``parts`` with the sum of ``amount`` over all rows of the same keys with a smaller ``order``.
 
     ``order`` is a non-negative whole number, unique within ``keys``.  Sums run over
-    blocks of 1024 numbers and then inside each block, so that even a million parts
-    need only a thousand rows in one task.
+    blocks of ``per_block`` numbers and then inside each block, so that even a million
+    parts need only a thousand rows in one task.
     """
     block = "__block"
-    blocked = parts.withColumn(block, F.floor(F.col(order) / PARTS_PER_BLOCK))
+    blocked = parts.withColumn(block, F.floor(F.col(order) / per_block))
     sums = blocked.groupBy(*keys, block).agg(F.sum(amount).alias("__sum"))
     before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*keys, block, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))

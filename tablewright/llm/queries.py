@@ -7,11 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import chat, mixing, quality, sharding
+from tablewright.llm import chat, mixing, packing, quality, sharding, wavelet
 from tablewright.llm.common import count_words, stored
 from tablewright.plans.registry import table
+from tablewright.session import scratch_path
 
 N_SHARDS = 8
+END_ID = 1
+
+
+def tokenizer_file(name: str) -> str:
+    """Where the public tokenizer files are; every machine has the same Python packages."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +120,26 @@ FROM base
 """
 
 
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as wavelet matrices and read back."""
+    path = scratch_path(spark, "token-shards")
+    wavelet.write_token_shards(
+        table(spark, sf_dir, "documents").select("doc_id", "text"),
+        "doc_id",
+        "text",
+        tokenizer_file("word_bpe_49k.json"),
+        END_ID,
+        path,
+    )
+    return wavelet.read_token_shards(spark, path)
+
+
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, "doc_id", "text", tokenizer_file("byte_bpe_50k.json"), END_ID)
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document, in training order."""
     docs = table(spark, sf_dir, "documents")
@@ -170,6 +199,8 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_quality_rules": op2_quality_rules,
+    "op3_token_shards": op3_token_shards,
+    "op4_pack": op4_pack,
     "op6_mix_sources": op6_mix_sources,
     "op8_shards": op8_shards,
 }
