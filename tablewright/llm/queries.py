@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import chat, mixing, packing, quality, sharding, wavelet
+from tablewright.llm import chat, language, mixing, neardup, packing, quality, sharding, wavelet
 from tablewright.llm.common import count_words, stored
 from tablewright.plans.registry import table
 from tablewright.session import scratch_path
@@ -140,6 +140,23 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, "doc_id", "text", tokenizer_file("byte_bpe_50k.json"), END_ID)
 
 
+def held_out() -> Column:
+    """Documents that are never learned from."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    samples = language.learn(docs.where(~F.col("held_out")).select("doc_id", "text", "lang"))
+    return language.identify(docs.select("doc_id", "held_out", "text"), samples)
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document, in training order."""
     docs = table(spark, sf_dir, "documents")
@@ -201,7 +218,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_token_shards": op3_token_shards,
     "op4_pack": op4_pack,
+    "op5_language": op5_language,
     "op6_mix_sources": op6_mix_sources,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_shards": op8_shards,
 }
 
