@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import chat, language, mixing, neardup, packing, quality, sharding, wavelet
+from tablewright.llm import ann, chat, html, language, mixing, neardup, packing, quality, sharding, wavelet
 from tablewright.llm.common import count_words, stored
 from tablewright.plans.registry import table
 from tablewright.session import scratch_path
@@ -213,6 +213,16 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_key(docs, "doc_id", "text", [1.0] * N_SHARDS)
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_quality_rules": op2_quality_rules,
@@ -222,6 +232,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mix_sources": op6_mix_sources,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_shards": op8_shards,
+    "op9_html_text": op9_html_text,
+    "op10_nearest": op10_nearest,
 }
 
 SQL: dict[str, str] = {
