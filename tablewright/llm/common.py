@@ -23,6 +23,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer file is; every machine has the same Python packages."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; none for a null or blank text."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))

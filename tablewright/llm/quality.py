@@ -101,7 +101,9 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         count(r"[!?]").alias("n_marks"),
         F.size(F.array_intersect(words, stop_words)).cast("long").alias("n_stop_words"),
     )
-    return split.withColumn("m", found).drop("__words", "__lines", "__windows", "__twice")
+    # Exploding one struct keeps a later filter on a measure above it; pushed below, it
+    # would repeat the whole computation inside its own lambdas.
+    return split.withColumn("m", F.explode(F.array(found))).drop("__words", "__lines", "__windows", "__twice")
 
 
 def breaks(rule: Rule) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm import ann, chat, html, language, mixing, neardup, packing, quality, sharding, wavelet
-from tablewright.llm.common import count_words, stored
+from tablewright.llm.common import count_words, stored, tokenizer_file
 from tablewright.plans.registry import table
 from tablewright.session import scratch_path
 
@@ -16,13 +16,6 @@ N_SHARDS = 8
 END_ID = 1
 
 
-def tokenizer_file(name: str) -> str:
-    """Where the public tokenizer files are; every machine has the same Python packages."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one of control strings, formatted and read back."""
     columns = "conv_id long, turn long, role string, text string"
