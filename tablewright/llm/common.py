@@ -30,6 +30,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def values_of(column, rows: int = 256):
+    """The values of an Arrow column one by one; only ``rows`` of them are Python objects at a time."""
+    for low in range(0, len(column), rows):
+        yield from column.slice(low, rows).to_pylist()
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; none for a null or blank text."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))

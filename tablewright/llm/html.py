@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import stored
+from tablewright.llm.common import stored, values_of
 
 #: A subtree is template if it stands on at least so many pages of its host and on this share of them.
 LEAST_PAGES = 3
@@ -273,7 +273,7 @@ def site_templates(pages: DataFrame) -> DataFrame:
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, keys = [], []
-            for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+            for host, html in zip(values_of(batch.column("host")), values_of(batch.column("html"))):
                 found = template_candidates(parse(html or ""))
                 hosts += [host] * (len(found) + 1)
                 keys += [None, *found]  # the page itself
@@ -310,7 +310,7 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, template in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist()):
+            for page, template in zip(values_of(batch.column("html")), values_of(batch.column("template"))):
                 texts.append(main_text(page, set(template or ())) if page else "")
             arrays = [batch.column("row"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, out.names)

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tablewright.llm.common import values_of
+
 #: Bounds of the fitted sample: languages (those with most rows), rows of each, characters of a row.
 MOST_LANGUAGES = 256
 ROWS_PER_LANGUAGE = 80
@@ -27,7 +29,7 @@ CHARS_PER_ROW = 250
 MOST_LETTERS = 250
 #: A text is parsed in segments of this many characters, all languages alike.
 SEGMENT = 256
-GROUP_CHARS = 1 << 21
+GROUP_CHARS = 1 << 20
 
 PAD, BLANK, UNKNOWN = 0, 1, 2
 
@@ -184,7 +186,7 @@ def identify(docs: DataFrame, samples: Samples, text: str = "text") -> DataFrame
         model = parser(samples)
         for batch in batches:
             names, scores, group, size = [], [], [], 0
-            for value in batch.column(0).to_pylist():
+            for value in values_of(batch.column(0)):
                 group.append(value or "")
                 size += len(group[-1])
                 if size >= GROUP_CHARS:

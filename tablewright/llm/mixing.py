@@ -21,7 +21,7 @@ from tablewright.functions.lookup import lookup_join
 from tablewright.functions.ranking import dense_codes
 from tablewright.llm.common import add_starts, stored
 
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_000
 
 
 @dataclass(frozen=True)
@@ -114,7 +114,7 @@ def place(rows: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
     ``position`` is the due time of a row's first taken words, null if none are taken.
 
     A hot source is split by the leading digits of the digest: sums per bucket come
-    first, then each bucket of about 20,000 rows is numbered on its own.  A null
+    first, then each bucket of about 2,000 rows is numbered on its own.  A null
     size counts as 0; an empty table gives an empty result.
     """
     rows = rows.withColumn("size", F.coalesce(F.col("size"), F.lit(0)).cast("long"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import stored
+from tablewright.llm.common import stored, values_of
 
 SHINGLE_WORDS = 5
 BANDS, BAND_ROWS = 32, 6
@@ -137,7 +137,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, s1, s2, bands = [], [], [], []
-            for value in batch.column("text").to_pylist():
+            for value in values_of(batch.column("text")):
                 found = shingles(value)
                 n.append(len(found))
                 if len(found):
@@ -165,7 +165,7 @@ def full_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFr
 
     def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(value).view(np.int64) for value in batch.column("text").to_pylist()]
+            sets = [shingles(value).view(np.int64) for value in values_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(sets, pa.list_(pa.int64()))], ["c", "shingles"])
 
     return texts.mapInArrow(hash_sets, "c long, shingles array<long>")

@@ -16,9 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are encoded in groups of about this many bytes.
-GROUP_BYTES = 4 << 20
-#: A task's Python worker keeps the ids of so many pieces (some 100 MB); further ones are encoded again.
-KEPT_PIECES = 400_000
+GROUP_BYTES = 2 << 20
+#: A Python worker keeps the ids of so many pieces and parts (some 50 MB); further ones are encoded again.
+KEPT_PIECES = 120_000
 CALL_PIECES = 20_000
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -161,3 +161,4 @@ def encode_documents(path: str, end_id: int, texts: pa.Array):
             own[:-1], own[-1] = ids[at:end], end_id
             at = end
             yield row, own
+        pa.default_memory_pool().release_unused()
