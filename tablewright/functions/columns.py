@@ -73,3 +73,21 @@ def normalise_missing(df: DataFrame) -> DataFrame:
     """Turn NaN into NULL once, e.g. right after reading a source."""
     floats = {f.name: present(f) for f in df.schema.fields if is_float(f.dataType)}
     return df.withColumns(floats) if floats else df
+
+
+def text_form(field: T.StructField) -> Column:
+    """A value as text, missing values NULL: booleans as True and False, numbers plainly.
+
+    Spark writes doubles from 1e7 up, and below 1e-3, with an exponent; between 1e-4
+    and 1e16 they are written out here.
+    """
+    value = present(field)
+    text = value.cast("string")
+    if isinstance(field.dataType, T.BooleanType):
+        return F.initcap(text)
+    if not isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+        return text
+    digits = F.regexp_replace(text.try_cast("decimal(38,21)").cast("string"), r"0+$", "")
+    plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+    size = F.abs(value)
+    return F.when(text.contains("E") & (size >= 1e-4) & (size < 1e16), plain).otherwise(text)

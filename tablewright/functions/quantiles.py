@@ -206,8 +206,7 @@ def quantile_table(
     """Quantiles per group: ``(*by, column, n, quantiles)``, one row per group and column.
 
     ``n`` counts the values that are not missing; rows with a NULL group key are
-    left out.  A group without any value gives no row in the large case and NULL
-    quantiles in the small one.
+    left out.  A group without any value has n = 0 and NULL quantiles.
     """
     limit = IN_TASK_ROWS if in_task_rows is None else in_task_rows
     narrow = df.select(*[ref(k) for k in by], *[number(df, c).alias(c) for c in columns if c not in by])
@@ -216,7 +215,11 @@ def quantile_table(
     total = narrow.count()
     if total <= limit:
         return _in_task(narrow, columns, probabilities, by)
-    return _by_buckets(narrow, columns, probabilities, by, total)
+    found = _by_buckets(narrow, columns, probabilities, by, total)
+    names = F.explode(F.array(*[F.lit(c) for c in columns])).alias("column")
+    groups = narrow.select(*[ref(k) for k in by]).distinct().select(*[ref(k) for k in by], names)
+    joined = groups.join(found, [*by, "column"], "left")
+    return joined.withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).select(found.columns)
 
 
 def _in_task(narrow: DataFrame, columns: list[str], probabilities: list[float], by: list[str]) -> DataFrame:

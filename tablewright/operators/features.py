@@ -6,13 +6,12 @@ from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import number, numeric_names, present, ref
+from tablewright.functions.columns import number, numeric_names, present, ref, text_form
 from tablewright.functions.lookup import lookup_join
 from tablewright.functions.ranking import dense_codes
 from tablewright.functions.reports import statistics
 from tablewright.operators.profile import pearson
 
-MAX_ONE_HOT = 1000
 # Fixed value: label class of a missing value.
 MISSING_CLASS = "None"
 
@@ -64,24 +63,26 @@ def log_transform(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns(changed)
 
 
-def category_levels(df: DataFrame, columns: list[str], limit: int = MAX_ONE_HOT) -> dict[str, list[str]]:
-    """Sorted distinct values of each column as text; more than ``limit`` is an error."""
+def category_levels(df: DataFrame, columns: list[str], limit: int | None = None) -> dict[str, list[str]]:
+    """Sorted distinct values of each column as text; more than a given ``limit`` is an error."""
     if not columns:
         return {}
     values = {c: present(df.schema[c]) for c in columns}
-    # The sketch keeps columns far above the bound out of the exact pass.
-    about = statistics(df, {c: F.approx_count_distinct(v) for c, v in values.items()})
-    wide = [c for c in columns if about[c] > 2 * limit]
+    wide = []
+    if limit is not None:
+        # The sketch keeps columns far above the bound out of the exact pass.
+        about = statistics(df, {c: F.approx_count_distinct(v) for c, v in values.items()})
+        wide = [c for c in columns if about[c] > 2 * limit]
     if not wide:
-        pairs = {c: F.collect_set(F.when(v.isNotNull(), F.struct(v.alias("value"), v.cast("string").alias("level")))) for c, v in values.items()}
+        pairs = {c: F.collect_set(F.when(v.isNotNull(), F.struct(v.alias("value"), text_form(df.schema[c]).alias("level")))) for c, v in values.items()}
         found = statistics(df, {c: F.sort_array(p) for c, p in pairs.items()})
-        wide = [c for c in columns if len(found[c]) > limit]
+        wide = [c for c in columns if limit is not None and len(found[c]) > limit]
     if wide:
         raise ValueError(f"columns {wide} have more than {limit} values: use label_encode or one_hot_vector")
     return {c: [pair["level"] for pair in found[c]] for c in columns}
 
 
-def one_hot(df: DataFrame, columns: list[str], drop_first: bool = False, limit: int = MAX_ONE_HOT) -> DataFrame:
+def one_hot(df: DataFrame, columns: list[str], drop_first: bool = False, limit: int | None = None) -> DataFrame:
     """Replace each column by one boolean column ``<column>_<value>`` per value.
 
     Values are in order; a missing value is false everywhere.
@@ -90,7 +91,7 @@ def one_hot(df: DataFrame, columns: list[str], drop_first: bool = False, limit:
     kept = [ref(c) for c in df.columns if c not in columns]
     flags = []
     for name in columns:
-        text = present(df.schema[name]).cast("string")
+        text = text_form(df.schema[name])
         for level in levels[name][1 if drop_first else 0 :]:
             flags.append(F.coalesce(text == F.lit(level), F.lit(False)).alias(f"{name}_{level}"))
     return df.select(*kept, *flags)
@@ -104,7 +105,7 @@ def one_hot_vector(df: DataFrame, columns: list[str], limit: int | None = None)
     """
     coded, places = df, []
     for name in columns:
-        text = present(df.schema[name]).cast("string")
+        text = text_form(df.schema[name])
         codes = dense_codes(df.select(text.alias(name)), name, "code", limit)
         size = codes.table.count()
         joined = codes.join(coded.withColumn(name, text), name, "__code")
@@ -127,7 +128,7 @@ def label_encode(
     """
     encoded, classes = df, {}
     for name in columns:
-        as_text = F.coalesce(present(df.schema[name]).cast("string"), F.lit(MISSING_CLASS))
+        as_text = F.coalesce(text_form(df.schema[name]), F.lit(MISSING_CLASS))
         encoded = encoded.withColumn(name, as_text)
         codes = dense_codes(df.select(as_text.alias("class")), "class", "code", limit)
         classes[name] = codes.table

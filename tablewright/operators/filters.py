@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions.columns import is_datetime, is_nested, present, ref
+from tablewright.functions.columns import is_datetime, is_nested, present, ref, text_form
 from tablewright.functions.reports import statistics
 from tablewright.operators.columns import column_roles
 from tablewright.operators.sqltext import sql_select
@@ -22,7 +22,6 @@ from tablewright.operators.sqltext import sql_select
 # Fixed value: a column offers a pick list when it has at most this many values.
 PICK_LIST_VALUES = 50
 _SPECIAL = re.compile(r"[\\.^$*+?{}\[\]|()#\s]")
-INLINE_VALUES = 1000  # longer IN lists become a broadcast semi-join
 
 
 @dataclass(frozen=True)
@@ -42,7 +41,10 @@ class NumericRange:
 
 @dataclass(frozen=True)
 class OneOf:
-    """Value among ``values``; an empty list means no filter."""
+    """Value among ``values``; an empty list means no filter.
+
+    A list of any length is one predicate, which Spark looks up in a hash set.
+    """
 
     column: str
     values: list = field(default_factory=list)
@@ -51,11 +53,7 @@ class OneOf:
         return ref(self.column).isin(list(self.values)) if self.values else None
 
     def apply(self, df: DataFrame) -> DataFrame:
-        if len(self.values) <= INLINE_VALUES:
-            return _where(df, self.predicate(df))
-        schema = T.StructType([T.StructField(self.column, df.schema[self.column].dataType)])
-        wanted = df.sparkSession.createDataFrame([(v,) for v in set(self.values)], schema)
-        return df.join(F.broadcast(wanted), [self.column], "left_semi")
+        return _where(df, self.predicate(df))
 
 
 @dataclass(frozen=True)
@@ -111,7 +109,7 @@ class TextSearch:
         if not self.term:
             return None
         names = df.columns if self.columns is None else self.columns
-        cells = [present(df.schema[name]).cast("string") for name in names]
+        cells = [text_form(df.schema[name]) for name in names]
         return reduce(Column.__or__, [self._hit(cell) for cell in cells]) if cells else F.lit(False)
 
     def _hit(self, cell: Column) -> Column:

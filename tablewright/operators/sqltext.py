@@ -20,7 +20,7 @@ def sql_select(
     """Result of one SELECT (or WITH ... SELECT) on ``df``; blank text changes nothing.
 
     The text is placed in a subquery: commands and several statements do not
-    parse there, so nothing but a query can run.  ``on_error="original"`` warns
+    parse there, so nothing but a query can run; one semicolon may end the text.  ``on_error="original"`` warns
     and returns the table unchanged instead of raising.  The text sees NaN as
     NULL; turn that off for a table without NaN to let Parquet test conditions on
     floating-point columns.
@@ -39,7 +39,7 @@ def sql_select(
 
 
 def _select(df: DataFrame, text: str) -> DataFrame:
-    body = _LEADING_COMMENTS.sub("", text).strip()
+    body = _LEADING_COMMENTS.sub("", text).strip().removesuffix(";")
     if re.match(r"(select|with)\b", body, re.IGNORECASE) is None:
         raise ValueError("only SELECT statements are permitted")
     spark = df.sparkSession

@@ -234,3 +234,28 @@ def reset(spark, sf):
 
     data = Dataset.of(table(spark, sf, "orders")).filter(CHAIN).reset_filters()
     return data.filtered.groupBy("o_orderstatus").count().withColumnRenamed("count", "n")
+
+
+@query(
+    "f2_categorical_in_long",
+    "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey <= 5000 AND o_custkey % 2 = 1",
+)
+def categorical_in_long(spark, sf):
+    wanted = list(range(1, 5001, 2))
+    return ops.OneOf("o_custkey", wanted).apply(table(spark, sf, "orders").select("o_orderkey", "o_custkey"))
+
+
+@query(
+    "f5_search_numbers",
+    "SELECT * FROM (SELECT o_orderkey, round(o_totalprice * 100) AS cents FROM orders) "
+    "WHERE CAST(CAST(cents AS BIGINT) AS VARCHAR) || '.0' LIKE '%7.0%'",
+)
+def search_numbers(spark, sf):
+    cents = table(spark, sf, "orders").selectExpr("o_orderkey", "round(o_totalprice * 100) AS cents")
+    return ops.TextSearch("7.0", ["cents"], literal=True).apply(cents)
+
+
+@query("f7_sql_semicolon", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 400000")
+def sql_semicolon(spark, sf):
+    text = "SELECT o_orderkey, o_totalprice FROM df WHERE o_totalprice > 400000;"
+    return ops.apply_filters(table(spark, sf, "orders"), [], sql=text)

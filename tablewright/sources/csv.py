@@ -17,6 +17,7 @@ MISSING_TEXTS = (
 # Quotes inside a quoted cell are doubled, for reading and for writing.
 FORMAT = {"header": True, "escape": '"'}
 
+NUMBER = r"^(?i)[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)$"
 # Texts of booleans.
 BOOLEAN_TEXTS = ("True", "TRUE", "true", "False", "FALSE", "false")
 
@@ -69,6 +70,8 @@ def infer_types(df: DataFrame, parse_dates: bool = False) -> DataFrame:
             trial = convert(F.trim(ref(name)))
             if kind == "bigint":  # 1.0 and 1e3 are numbers, but not written as whole ones
                 trial = F.when(F.trim(ref(name)).rlike(r"^[+-]?\d+$"), trial)
+            if kind == "double":  # a cast would take 10D and 20F for numbers, too
+                trial = F.when(F.trim(ref(name)).rlike(NUMBER), trial)
             aggregates[name, kind] = F.count(trial)
     found = statistics(df, aggregates) if df.columns else {}
     casts = []

@@ -101,7 +101,7 @@ def test_log_shift(spark):
 
 def test_one_hot(spark, quirks):
     got = features.one_hot(quirks.select("id", "k", "b"), ["k", "b"])
-    assert got.columns == ["id", "k_a", "k_b", "b_false", "b_true"]
+    assert got.columns == ["id", "k_a", "k_b", "b_False", "b_True"]
     assert tuple(got.where("id = 5").first()) == (5, False, False, False, True)
     numbers = spark.createDataFrame([(10,), (9,), (None,)], "n int")
     assert features.one_hot(numbers, ["n"]).columns == ["n_9", "n_10"]

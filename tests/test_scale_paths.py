@@ -147,3 +147,54 @@ def test_value_counts_over_several_blocks(spark):
         assert counts.where(F.col("column") == f"c{i}").count() == i + 1
     assert most_frequent(wide, wide.columns)["c39"] == ("0", 1)
     assert most_frequent(wide, wide.columns)["c0"] == ("0", 40)
+
+
+def test_long_and_short_value_lists_behave_alike(spark):
+    from tablewright.operators.filters import OneOf
+
+    df = spark.createDataFrame([("x", 1), ("y", 2)], "a string, k bigint")
+    for values in ([1, 5], [1, *range(10, 3000)], ["1", "5"], ["1", *map(str, range(10, 3000))]):
+        kept = OneOf("k", values).apply(df)
+        assert kept.columns == ["a", "k"] and rows(kept) == [("x", 1)]
+
+
+def test_groups_without_values_stay_in_both_ways(spark):
+    from tablewright.functions.quantiles import quantile_table
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", None)], "g string, x double")
+    small, large = (quantile_table(df, ["x"], [0.5], ["g"], in_task_rows=n) for n in (100, 1))
+    assert small.columns == large.columns and rows(small) == rows(large)
+    assert ("b", "x", 0) in [tuple(r)[:3] for r in large.collect()]
+
+
+def test_one_hot_has_no_bound(spark):
+    from tablewright.operators import features
+
+    assert len(features.one_hot(spark.range(1100), ["id"]).columns) == 1100
+
+
+def test_numbers_as_text(spark):
+    from tablewright.functions.columns import text_form
+
+    values = [1.0, 12345678.0, 1.5e15, 1.2345678e7, 0.0001234, -2.5e8, 1e16, 1e-5, float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = [r[0] for r in df.select(text_form(df.schema["x"])).collect()]
+    assert got == ["1.0", "12345678.0", "1500000000000000.0", "12345678.0", "0.0001234", "-250000000.0", "1.0E16", "1.0E-5", None, None]
+
+
+def test_codes_are_no_numbers(spark):
+    from tablewright.sources.csv import infer_types
+
+    df = spark.createDataFrame([("10D", "1e3", "7"), ("20F", ".5", "8")], "a string, b string, c string")
+    assert [f.dataType.simpleString() for f in infer_types(df).schema] == ["string", "double", "bigint"]
+
+
+def test_several_statements_are_refused(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+
+    from tablewright.operators.sqltext import sql_select
+
+    assert sql_select(spark.range(3), "SELECT * FROM df WHERE id > 0;").count() == 2
+    with pytest.raises((ValueError, PySparkException)):
+        sql_select(spark.range(3), "SELECT 1; DROP TABLE x")
