@@ -73,33 +73,34 @@ def branches(nodes: DataFrame, best: int | None = 1) -> DataFrame:
         ),
         "links",
     )
-    jumps, reach = [first], first
-    longest = first.groupBy("tree").count().agg(F.max("count").alias("n")).first()["n"] or 0
-    while reach.where(F.col("up").isNotNull()).take(1):
+    jumps, longest = [first], first.groupBy("tree").count().agg(F.max("count").alias("n")).first()["n"] or 0
+    open_turns, done = first.where(F.col("up").isNotNull()), first.where(F.col("up").isNull())
+    while open_turns.take(1):
         if 1 << (len(jumps) - 1) > longest:
             break  # whatever still has a turn above it lies on a cycle or answers one
         # From here on up, depth and score cover twice as many turns; up is null once the root is covered.
-        above = reach.select(
+        above = open_turns.unionByName(done).select(
             F.col("tree").alias("t"),
             F.col("node").alias("n"),
             F.col("up").alias("next"),
             F.col("depth").alias("more"),
             F.col("score").alias("extra"),
         )
-        joined = reach.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left")
+        joined = open_turns.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")))
         longer = stored(
             joined.select(
                 "tree",
                 "node",
                 F.col("next").alias("up"),
-                (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-                (F.col("score") + F.coalesce("extra", F.lit(0.0))).alias("score"),
+                (F.col("depth") + F.col("more")).alias("depth"),
+                (F.col("score") + F.col("extra")).alias("score"),
             ),
             "links",
         )
-        reach = longer
         jumps.append(longer)
-    rooted = reach.where(F.col("up").isNull())
+        open_turns = longer.where(F.col("up").isNotNull())
+        done = done.unionByName(longer.where(F.col("up").isNull()))
+    rooted = done
     parents = first.where(F.col("up").isNotNull()).select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
     leaves = rooted.join(
         parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti"
