@@ -35,9 +35,11 @@ class Dataset:
         table = step(self.clean)
         return Dataset(table, table, table, table)
 
-    def filter(self, filters: list[Filter], sql: str | None = None, on_error: str = "raise") -> Dataset:
+    def filter(
+        self, filters: list[Filter], sql: str | None = None, on_error: str = "raise", nan_as_null: bool = True
+    ) -> Dataset:
         """Filter the cleaned table; features start over from the result."""
-        kept = apply_filters(self.clean, filters, sql, on_error)
+        kept = apply_filters(self.clean, filters, sql, on_error, nan_as_null)
         return replace(self, filtered=kept, model=kept)
 
     def reset_filters(self) -> Dataset:

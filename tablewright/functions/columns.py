@@ -69,6 +69,13 @@ def numeric_names(df: DataFrame, columns: list[str] | None = None) -> list[str]:
     return [name for name in columns if name in numeric]
 
 
+def check_names(kept: list[str], added: list[str]) -> None:
+    """Raise if a result with these kept and added columns held a name twice."""
+    twice = sorted({name for name in added if name in kept})
+    if twice:
+        raise ValueError(f"the result has columns {twice} of its own: rename those of the table first")
+
+
 def normalise_missing(df: DataFrame) -> DataFrame:
     """Turn NaN into NULL once, e.g. right after reading a source."""
     floats = {f.name: present(f) for f in df.schema.fields if is_float(f.dataType)}

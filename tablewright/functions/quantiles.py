@@ -24,7 +24,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import number, ref
+from tablewright.functions.columns import missing, number, ref
 from tablewright.functions.lookup import lookup_join
 from tablewright.functions.reports import statistics
 
@@ -205,13 +205,13 @@ def quantile_table(
 ) -> DataFrame:
     """Quantiles per group: ``(*by, column, n, quantiles)``, one row per group and column.
 
-    ``n`` counts the values that are not missing; rows with a NULL group key are
-    left out.  A group without any value has n = 0 and NULL quantiles.
+    ``n`` counts the values that are not missing; rows whose group key is
+    missing are left out.  A group without any value has n = 0 and NULL quantiles.
     """
     limit = IN_TASK_ROWS if in_task_rows is None else in_task_rows
     narrow = df.select(*[ref(k) for k in by], *[number(df, c).alias(c) for c in columns if c not in by])
     for key in by:
-        narrow = narrow.where(ref(key).isNotNull())
+        narrow = narrow.where(~missing(df.schema[key]))
     total = narrow.count()
     if total <= limit:
         return _in_task(narrow, columns, probabilities, by)

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import missing, number, numeric_names, ref
+from tablewright.functions.columns import check_names, missing, number, numeric_names, ref
 from tablewright.functions.lookup import lookup_join
 from tablewright.functions.quantiles import column_quantiles, quantile_table
 from tablewright.functions.reports import statistics
@@ -49,6 +49,7 @@ def _bin(value: Column, low: float, high: float, bins: int) -> Column:
 
 def histogram(df: DataFrame, column: str, color: str | None = None, bins: int = BINS) -> DataFrame:
     """``([color], bin, bin_start, bin_end, count)`` over equal-width bins."""
+    check_names(_listed(color), ["bin", "bin_start", "bin_end", "count"])
     groups = [ref(color)] if color else []
     limits = _bounds(df, [column])[column]
     low, high = limits or (0.0, 0.0)
@@ -98,9 +99,9 @@ _QUARTILE_TYPES = {
 
 
 def _with_quartiles(df: DataFrame, column: str, by: list[str]) -> DataFrame:
-    """``(*by, value)`` rows next to the quartiles of their group."""
-    values = df.select(*[ref(k) for k in by], number(df, column).alias("value"))
-    values = values.where(F.col("value").isNotNull())
+    """``(*by, __value)`` rows next to the quartiles of their group."""
+    values = df.select(*[ref(k) for k in by], number(df, column).alias("__value"))
+    values = values.where(F.col("__value").isNotNull())
     if by:
         return lookup_join(values, _quartiles(df, column, by), by)
     middle = column_quantiles(df, [column], [0.25, 0.5, 0.75])[column]
@@ -121,16 +122,17 @@ def box_stats(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
     rows without a group are left out.
     """
     keys = [by] if by else []
-    inside = F.col("value").between(F.col("low_fence"), F.col("high_fence"))
+    check_names(keys, ["min", "max", "lower_whisker", "upper_whisker", "outliers", *_QUARTILE_TYPES])
+    inside = F.col("__value").between(F.col("low_fence"), F.col("high_fence"))
     columns = ["n", "q1", "median", "q3"]
     grouped = (
         _with_quartiles(df, column, keys)
         .groupBy(*[ref(k) for k in keys], *columns)
         .agg(
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-            F.min(F.when(inside, F.col("value"))).alias("lower_whisker"),
-            F.max(F.when(inside, F.col("value"))).alias("upper_whisker"),
+            F.min("__value").alias("min"),
+            F.max("__value").alias("max"),
+            F.min(F.when(inside, F.col("__value"))).alias("lower_whisker"),
+            F.max(F.when(inside, F.col("__value"))).alias("upper_whisker"),
             F.count_if(~inside).alias("outliers"),
         )
     )
@@ -150,8 +152,10 @@ def box_points(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
 def box_outliers(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
     """``([by], value)`` of the rows outside the fences of their group."""
     keys = [by] if by else []
-    outside = ~F.col("value").between(F.col("low_fence"), F.col("high_fence"))
-    return _with_quartiles(df, column, keys).where(outside).select(*[ref(k) for k in keys], "value")
+    check_names(keys, ["value", *_QUARTILE_TYPES])
+    outside = ~F.col("__value").between(F.col("low_fence"), F.col("high_fence"))
+    rows = _with_quartiles(df, column, keys).where(outside)
+    return rows.select(*[ref(k) for k in keys], F.col("__value").alias("value"))
 
 
 def scatter_points(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
@@ -166,6 +170,7 @@ def ols_trend(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFr
 
     A group with one x only has no slope: all three are NULL.
     """
+    check_names(_listed(color), ["n", "slope", "intercept", "r2"])
     groups = [ref(color)] if color else []
     a, b = number(df, x), number(df, y)
     both = a.isNotNull() & b.isNotNull()
@@ -189,6 +194,7 @@ def pair_points(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def pie(df: DataFrame, column: str) -> DataFrame:
     """``(column, count, share)`` of the values that are not missing."""
+    check_names([column], ["count", "share"])
     counted = (
         df.where(~missing(df.schema[column])).groupBy(ref(column)).agg(F.count("*").alias("count"))
     )
@@ -209,6 +215,7 @@ def bar(df: DataFrame, x: str, y: str, aggregation: str = "sum", color: str | No
         height = F.count(value)
     else:
         height = F.coalesce(F.sum(value), F.lit(0.0))
+    check_names(_listed(x, color), ["height"])
     groups = [ref(c) for c in _listed(x, color)]
     return df.where(~missing(df.schema[x])).groupBy(*groups).agg(height.alias("height"))
 
@@ -234,6 +241,7 @@ def area(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
     number of colours.
     """
     names = _listed(x, color)
+    check_names(names, ["height", "stack_low", "stack_high"])
     groups = [ref(c) for c in names]
     summed = df.groupBy(*groups).agg(F.coalesce(F.sum(number(df, y)), F.lit(0.0)).alias("height"))
     if color is None:
@@ -253,16 +261,14 @@ def violin_stats(df: DataFrame, x: str, y: str, color: str | None = None) -> Dat
     hundredth of the range.
     """
     keys = _listed(x, color)
-    grouped = (
-        _with_quartiles(df, y, keys)
-        .groupBy(*[ref(k) for k in keys], "n", "q1", "median", "q3")
-        .agg(
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"),
-        )
+    check_names(keys, ["min", "max", "mean", "std", "bandwidth", *_QUARTILE_TYPES])
+    key_columns, value = [ref(k) for k in keys], number(df, y)
+    shape = (
+        df.where(value.isNotNull())
+        .groupBy(*key_columns)
+        .agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
     )
+    grouped = _quartiles(df, y, keys).join(shape, keys)  # one row per group on either side
     spread = F.least(F.coalesce("std", F.lit(0.0)), (F.col("q3") - F.col("q1")) / 1.349)
     rule = 1.059 * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     width = F.greatest(rule, (F.col("max") - F.col("min")) / 100)
@@ -281,11 +287,12 @@ def violin_density(
     widths beyond the data.  A group of equal values gets density NULL.
     """
     keys = _listed(x, color)
+    check_names(keys, ["point", "position", "density", "in_bin", "bin", "bins", "center"])
     key_columns = [ref(k) for k in keys]
     stats = violin_stats(df, x, y, color).select(*key_columns, "n", "min", "max", "bandwidth")
-    values = df.select(*key_columns, number(df, y).alias("value")).where(F.col("value").isNotNull())
+    values = df.select(*key_columns, number(df, y).alias("__value")).where(F.col("__value").isNotNull())
     span = (F.col("max") - F.col("min")) / bins
-    index = F.least(F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("min"), span)), F.lit(0)), F.lit(bins - 1))
+    index = F.least(F.coalesce(F.floor(F.try_divide(F.col("__value") - F.col("min"), span)), F.lit(0)), F.lit(bins - 1))
     shape = ["n", "min", "max", "bandwidth"]
     binned = (
         lookup_join(values, stats, keys)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import (
+    check_names,
     is_integer,
     is_nested,
     missing,
@@ -137,18 +138,18 @@ def duplicate_groups(df: DataFrame) -> DataFrame:
     Copies are counted before the shuffle, so a row repeated any number of times
     stays cheap.
     """
-    names = df.columns
-    return (
-        normalise_missing(df)
-        .groupBy(*[ref(c) for c in names])
-        .agg(F.count("*").alias("copies"))
-        .where("copies > 1")
-    )
+    check_names(df.columns, ["copies"])
+    return _repeated(df).withColumnRenamed("__copies", "copies")
+
+
+def _repeated(df: DataFrame) -> DataFrame:
+    counted = normalise_missing(df).groupBy(*[ref(c) for c in df.columns]).agg(F.count("*").alias("__copies"))
+    return counted.where("__copies > 1")
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Number of rows that have at least one equal row, all members counted."""
-    return duplicate_groups(df).agg(F.coalesce(F.sum("copies"), F.lit(0)).cast("bigint").alias("duplicates"))
+    return _repeated(df).agg(F.coalesce(F.sum("__copies"), F.lit(0)).cast("bigint").alias("duplicates"))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -158,15 +159,15 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     tasks, so that a very frequent row does not fall to one of them.
     """
     names = [ref(c) for c in df.columns]
-    portions = F.ceil(F.col("copies") / F.lit(COPIES_PER_TASK_ROW)).cast("bigint")
+    portions = F.ceil(F.col("__copies") / F.lit(COPIES_PER_TASK_ROW)).cast("bigint")
     portion = F.least(
-        F.lit(COPIES_PER_TASK_ROW).cast("bigint"), F.col("copies") - F.col("portion") * COPIES_PER_TASK_ROW
+        F.lit(COPIES_PER_TASK_ROW).cast("bigint"), F.col("__copies") - F.col("__portion") * COPIES_PER_TASK_ROW
     )
     return (
-        duplicate_groups(df)
-        .withColumn("portion", F.explode(F.sequence(F.lit(0).cast("bigint"), portions - 1)))
-        .repartition(*names, "portion")
-        .withColumn("member", F.explode(F.sequence(F.lit(1).cast("bigint"), portion)))
+        _repeated(df)
+        .withColumn("__portion", F.explode(F.sequence(F.lit(0).cast("bigint"), portions - 1)))
+        .repartition(*names, "__portion")
+        .withColumn("__member", F.explode(F.sequence(F.lit(1).cast("bigint"), portion)))
         .select(*names)
     )
 

@@ -155,10 +155,14 @@ def text_search(
 
 
 def apply_filters(
-    df: DataFrame, filters: list[Filter], sql: str | None = None, on_error: str = "raise"
+    df: DataFrame, filters: list[Filter], sql: str | None = None, on_error: str = "raise", nan_as_null: bool = True
 ) -> DataFrame:
-    """SQL text first, then the filters; each works on what the previous one kept."""
-    kept = sql_select(df, sql, on_error=on_error) if sql else df
+    """SQL text first, then the filters; each works on what the previous one kept.
+
+    ``nan_as_null=False`` tells that the table holds no NaN: ranges of floating-point
+    columns then reach Parquet through the SQL text, too.
+    """
+    kept = sql_select(df, sql, on_error, nan_as_null) if sql else df
     for kind in _CHAIN_ORDER:
         for one in filters:
             if isinstance(one, kind):
@@ -166,13 +170,22 @@ def apply_filters(
     return kept
 
 
-def filter_summary(df: DataFrame, filters: list[Filter]) -> DataFrame:
-    """``(total, kept, kept_pct)`` of a filter list, counted in one pass."""
-    predicates = [p for p in (one.predicate(df) for one in filters) if p is not None]
-    keep = reduce(Column.__and__, predicates) if predicates else F.lit(True)
-    total, kept = F.count("*"), F.count_if(keep)
+def filter_summary(df: DataFrame, filters: list[Filter], sql: str | None = None) -> DataFrame:
+    """``(total, kept, kept_pct)`` of a chain: one pass, with a SQL text two counts.
+
+    A SQL text may give more rows than the table has; the share then exceeds 100.
+    """
+    if sql and sql.strip():
+        counted = df.agg(F.count("*").alias("total"), F.lit(0).cast("bigint").alias("kept")).unionByName(
+            apply_filters(df, filters, sql).agg(F.lit(0).cast("bigint").alias("total"), F.count("*").alias("kept"))
+        )
+        total, kept = F.sum("total"), F.sum("kept")
+    else:
+        predicates = [p for p in (one.predicate(df) for one in filters) if p is not None]
+        keep = reduce(Column.__and__, predicates) if predicates else F.lit(True)
+        counted, total, kept = df, F.count("*"), F.count_if(keep)
     share = F.round(F.coalesce(F.try_divide(kept * 100.0, total), F.lit(0.0)), 1)
-    return df.agg(total.alias("total"), kept.alias("kept"), share.alias("kept_pct"))
+    return counted.agg(total.alias("total"), kept.alias("kept"), share.alias("kept_pct"))
 
 
 def summary_message(total: int, kept: int) -> str:

@@ -35,7 +35,10 @@ SEASONS = {"yearly": (365.25, 10, 730), "weekly": (7.0, 3, 14)}  # period, order
 def daily_series(
     df: DataFrame, date_column: str, value_column: str, by: list[str] | None = None, aggregation: str = "mean"
 ) -> DataFrame:
-    """``(*by, ds, y, n)``: one row per series and day; rows without date or value are left out."""
+    """``(*by, ds, y, n, within)``: one row per series and day; rows without date or value are left out.
+
+    ``within`` is the sum of squared distances of the day's ``n`` values from their mean.
+    """
     if aggregation not in ("mean", "sum"):
         raise ValueError(f"unknown aggregation: {aggregation!r}")
     by = by or []
@@ -43,7 +46,9 @@ def daily_series(
         *[ref(k) for k in by], ref(date_column).cast("date").alias("ds"), number(df, value_column).alias("y")
     ).where("ds IS NOT NULL AND y IS NOT NULL")
     total = F.avg("y") if aggregation == "mean" else F.sum("y")
-    return rows.groupBy(*[ref(k) for k in by], "ds").agg(total.alias("y"), F.count("*").alias("n"))
+    return rows.groupBy(*[ref(k) for k in by], "ds").agg(
+        total.alias("y"), F.count("*").alias("n"), (F.var_pop("y") * F.count("*")).alias("within")
+    )
 
 
 def linear_trend(series: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -69,7 +74,9 @@ def forecast(
     """``(*by, ds, yhat, yhat_lower, yhat_upper)`` for the history and ``periods`` days beyond.
 
     Piecewise-linear trend whose slope changes are held back by a Laplace prior,
-    plus yearly and weekly Fourier terms where the history is long enough.
+    plus yearly and weekly Fourier terms where the history is long enough.  For means
+    the fit and the interval are those of the single rows: their spread within a day
+    counts; sums are fitted and bounded day by day.
     """
     if not MIN_PERIODS <= periods <= MAX_PERIODS:
         raise ValueError(f"periods must lie between {MIN_PERIODS} and {MAX_PERIODS}")
@@ -98,7 +105,6 @@ def fit_days(days: pd.DataFrame, periods: int, weighted: bool) -> pd.DataFrame:
     day = pd.to_datetime(days["ds"]).to_numpy().astype("datetime64[D]").astype("int64").astype(float)
     y = days["y"].to_numpy(dtype=float)
     weight = days["n"].to_numpy(dtype=float) if weighted else np.ones_like(y)
-    weight = weight / weight.mean()
     first, span = day[0], max(day[-1] - day[0], 1.0)
     scale = np.abs(y).max() or 1.0
 
@@ -116,15 +122,16 @@ def fit_days(days: pd.DataFrame, periods: int, weighted: bool) -> pd.DataFrame:
         return np.column_stack(columns)
 
     x, target = design(day), y / scale
+    within = days["within"].sum() / scale**2 if weighted else 0.0
     changes = slice(2, 2 + len(spots))
-    noise, size = target.var() or 1e-12, np.full(len(spots), CHANGEPOINT_SCALE)
+    noise, size = max(target.var() + within / weight.sum(), 1e-12), np.full(len(spots), CHANGEPOINT_SCALE)
     gram, moment = x.T @ (weight[:, None] * x), x.T @ (weight * target)
     for _ in range(30):  # reweighted least squares: an absolute-value penalty on the slope changes
         penalty = np.full(x.shape[1], 1 / SEASONALITY_SCALE**2)
         penalty[:2] = 1 / 25.0
         penalty[changes] = 1 / (CHANGEPOINT_SCALE * np.maximum(size, 1e-6))
         beta = np.linalg.solve(gram + noise * np.diag(penalty), moment)
-        noise = max(np.average((target - x @ beta) ** 2, weights=weight), 1e-12)
+        noise = max((weight @ (target - x @ beta) ** 2 + within) / weight.sum(), 1e-12)
         size = np.abs(beta[changes])
 
     ahead = day[-1] + np.arange(1, periods + 1)

@@ -39,6 +39,9 @@ SEED = 42
 TEST_SIZE = 0.2
 FEW_VALUES = 10
 
+# Shape of the trees: depth and bins as in Spark's own defaults; classes fitted at a time.
+TREES = {"max_depth": 5, "max_bins": 32, "parallelism": 4}
+
 SPLIT_STEPS = 10_000
 _FIRST_LOOK = 100_000
 
@@ -60,7 +63,7 @@ def design_matrix(df: DataFrame, target: str) -> DataFrame:
     """Plain numeric feature columns next to the target.
 
     Datetimes become nanoseconds, text columns flags without their first value,
-    missing numbers the column mean; rows without a target are dropped.
+    missing numbers the column mean, missing flags 0; rows without a target are dropped.
     """
     features = [f for f in df.schema.fields if f.name != target]
     dates = {f.name: epoch_nanos(f) for f in features if is_datetime(f.dataType)}
@@ -70,10 +73,9 @@ def design_matrix(df: DataFrame, target: str) -> DataFrame:
     names = [c for c in wide.columns if c != target]
     numeric = [c for c in names if is_numeric(wide.schema[c].dataType)]
     means = statistics(wide, {c: F.avg(number(wide, c)) for c in numeric}) if numeric else {}
-    prepared = [
-        F.coalesce(number(wide, c), F.lit(means[c])).alias(c) if c in numeric else ref(c).cast("double").alias(c)
-        for c in names
-    ]
+    gap = {c: means[c] if c in numeric else 0.0 for c in names}  # an absent flag counts as not set
+    value = {c: number(wide, c) if c in numeric else ref(c).cast("double") for c in names}
+    prepared = [F.coalesce(value[c], F.lit(gap[c])).alias(c) for c in names]
     return wide.where(~missing(wide.schema[target])).select(*prepared, ref(target))
 
 
@@ -105,6 +107,7 @@ class TrainedModel:
     metrics: dict[str, float]
     features: list[str]
     inputs: dict[str, str] = field(default_factory=dict)
+    trees: dict[str, int] = field(default_factory=dict)
 
     def score(self, df: DataFrame, defaults: dict[str, object] | None = None) -> DataFrame:
         """Batch scoring: ``df`` plus ``prediction``.
@@ -127,7 +130,7 @@ class TrainedModel:
         """Write the pipeline and its description under ``path``."""
         spark = SparkSession.active()
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
-        about = {k: getattr(self, k) for k in ("target", "target_type", "problem", "algorithm", "metrics", "features", "inputs")}
+        about = {k: getattr(self, k) for k in ("target", "target_type", "problem", "algorithm", "metrics", "features", "inputs", "trees")}
         spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").parquet(
             f"{path}/about"
         )
@@ -148,15 +151,17 @@ def train(
     split_keys: list[str] | None = None,
     rounds: int = ROUNDS,
     features: list[str] | None = None,
+    trees: dict[str, int] | None = None,
 ) -> TrainedModel:
     """Split, fit on one part and evaluate on the other.
 
-    Encoders and means come from the training part only.
+    Encoders and means come from the training part only.  ``trees`` overrides
+    entries of ``TREES``: ``max_depth`` (Spark allows 30), ``max_bins``, ``parallelism``.
     """
     problem = _checked_problem(df, target, algorithm)
     rows = df.where(~missing(df.schema[target]))
     train_rows, test_rows = hash_split(rows, split_keys, test_size, seed)
-    model = _fit(train_rows, target, algorithm, problem, seed, rounds, features)
+    model = _fit(train_rows, target, algorithm, problem, seed, rounds, features, trees)
     model.metrics.update(evaluate(model, test_rows))
     return model
 
@@ -168,10 +173,12 @@ def fit(
     seed: int = SEED,
     rounds: int = ROUNDS,
     features: list[str] | None = None,
+    trees: dict[str, int] | None = None,
 ) -> TrainedModel:
     """Fit on all rows that have a target, without evaluation."""
     problem = _checked_problem(df, target, algorithm)
-    return _fit(df.where(~missing(df.schema[target])), target, algorithm, problem, seed, rounds, features)
+    rows = df.where(~missing(df.schema[target]))
+    return _fit(rows, target, algorithm, problem, seed, rounds, features, trees)
 
 
 def _checked_problem(df: DataFrame, target: str, algorithm: str) -> str:
@@ -186,8 +193,18 @@ def _checked_problem(df: DataFrame, target: str, algorithm: str) -> str:
 
 
 def _fit(
-    rows: DataFrame, target: str, algorithm: str, problem: str, seed: int, rounds: int, features: list[str] | None
+    rows: DataFrame,
+    target: str,
+    algorithm: str,
+    problem: str,
+    seed: int,
+    rounds: int,
+    features: list[str] | None,
+    trees: dict[str, int] | None,
 ) -> TrainedModel:
+    shape = TREES | (trees or {})
+    if set(shape) != set(TREES):
+        raise ValueError(f"unknown tree options: {sorted(set(shape) - set(TREES))}")
     usable = [f for f in rows.schema.fields if f.name != target and not is_nested(f.dataType)]
     if features is not None:
         usable = [f for f in usable if f.name in features]
@@ -199,7 +216,7 @@ def _fit(
     prepared = PipelineModel(stages).transform(rows)
     fitter = _fit_classifier if problem == "classification" else _fit_regressor
     return TrainedModel(
-        pipeline=PipelineModel([*stages, *fitter(prepared, target, algorithm, seed, rounds)]),
+        pipeline=PipelineModel([*stages, *fitter(prepared, target, algorithm, seed, rounds, shape)]),
         target=target,
         target_type=rows.schema[target].dataType.simpleString(),
         problem=problem,
@@ -207,6 +224,7 @@ def _fit(
         metrics={},
         features=names,
         inputs={f.name: f.dataType.simpleString() for f in usable},
+        trees=shape if algorithm in ("Random Forest", "XGBoost") else {},
     )
 
 
@@ -272,35 +290,41 @@ def _feature_stages(rows: DataFrame, fields: list[T.StructField]) -> tuple[list,
     return stages, names
 
 
-def _fit_classifier(prepared: DataFrame, target: str, algorithm: str, seed: int, rounds: int) -> list:
+def _fit_classifier(
+    prepared: DataFrame, target: str, algorithm: str, seed: int, rounds: int, shape: dict[str, int]
+) -> list:
     text_target = prepared.withColumn("__target", ref(target).cast("string"))
     classes = text_target.groupBy("__target").count().collect()  # one row per class
     labels = sorted(r["__target"] for r in classes)
     indexer = StringIndexerModel.from_labels(labels, inputCol="__target", outputCol="__label")
     labelled = indexer.transform(text_target).select("__features", "__label")
     common = {"featuresCol": "__features", "labelCol": "__label", "predictionCol": "__raw_prediction"}
+    grown = {"maxDepth": shape["max_depth"], "maxBins": shape["max_bins"], "seed": seed}
     if algorithm == "Logistic Regression":
         # Penalty of a unit-strength L2 term, expressed per training row.
         strength = 1.0 / sum(r["count"] for r in classes)
         estimator = LogisticRegression(maxIter=MAX_ITERATIONS, regParam=strength, standardization=False, **common)
     elif algorithm == "Random Forest":
-        estimator = RandomForestClassifier(numTrees=rounds, seed=seed, **common)
+        estimator = RandomForestClassifier(numTrees=rounds, **grown, **common)
     else:
-        boosted = GBTClassifier(maxIter=rounds, stepSize=LEARNING_RATE, seed=seed, **common)
-        estimator = boosted if len(labels) == 2 else OneVsRest(classifier=boosted, **common)
+        boosted = GBTClassifier(maxIter=rounds, stepSize=LEARNING_RATE, **grown, **common)
+        estimator = boosted if len(labels) == 2 else OneVsRest(classifier=boosted, parallelism=shape["parallelism"], **common)
     back = IndexToString(inputCol="__raw_prediction", outputCol="__predicted_class", labels=labels)
     return [estimator.fit(labelled), back]
 
 
-def _fit_regressor(prepared: DataFrame, target: str, algorithm: str, seed: int, rounds: int) -> list:
+def _fit_regressor(
+    prepared: DataFrame, target: str, algorithm: str, seed: int, rounds: int, shape: dict[str, int]
+) -> list:
     labelled = prepared.select("__features", number(prepared, target).alias("__label"))
     common = {"featuresCol": "__features", "labelCol": "__label", "predictionCol": "__raw_prediction"}
+    grown = {"maxDepth": shape["max_depth"], "maxBins": shape["max_bins"], "seed": seed}
     if algorithm == "Linear Regression":
         estimator = LinearRegression(regParam=0.0, **common)
     elif algorithm == "Random Forest":
-        estimator = RandomForestRegressor(numTrees=rounds, seed=seed, **common)
+        estimator = RandomForestRegressor(numTrees=rounds, **grown, **common)
     else:
-        estimator = GBTRegressor(maxIter=rounds, stepSize=LEARNING_RATE, seed=seed, **common)
+        estimator = GBTRegressor(maxIter=rounds, stepSize=LEARNING_RATE, **grown, **common)
     return [estimator.fit(labelled)]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import threading
 import warnings
 
 from pyspark.errors import PySparkException
@@ -11,6 +12,9 @@ from pyspark.sql import DataFrame
 from tablewright.functions.columns import normalise_missing
 
 TABLE = "df"
+_RELATION = re.compile(r"'UnresolvedRelation \[([^\]]*)\]")
+_WITH_TABLES = re.compile(r"^[\s:+|-]*'?CTE \[([^\]]*)\]", re.MULTILINE)
+_ONE_AT_A_TIME = threading.Lock()  # threads share the name of the table
 _LEADING_COMMENTS = re.compile(r"\A(?:\s+|--[^\n]*(?:\n|\Z)|/\*.*?\*/)*", re.DOTALL)
 
 
@@ -20,8 +24,9 @@ def sql_select(
     """Result of one SELECT (or WITH ... SELECT) on ``df``; blank text changes nothing.
 
     The text is placed in a subquery: commands and several statements do not
-    parse there, so nothing but a query can run; one semicolon may end the text.  ``on_error="original"`` warns
-    and returns the table unchanged instead of raising.  The text sees NaN as
+    parse there, so nothing but a query can run; one semicolon may end the text.
+    Files and other tables are refused.  ``on_error="original"`` warns and returns
+    the table unchanged instead of raising.  The text sees NaN as
     NULL; turn that off for a table without NaN to let Parquet test conditions on
     floating-point columns.
     """
@@ -43,16 +48,29 @@ def _select(df: DataFrame, text: str) -> DataFrame:
     if re.match(r"(select|with)\b", body, re.IGNORECASE) is None:
         raise ValueError("only SELECT statements are permitted")
     spark = df.sparkSession
-    earlier = spark.table(TABLE) if _view_exists(df) else None
-    df.createOrReplaceTempView(TABLE)
-    try:
-        return spark.sql(f"SELECT * FROM (\n{body}\n) AS selected")
-    finally:  # the result is already bound to the table, not to the name
-        if earlier is None:
-            spark.catalog.dropTempView(TABLE)
-        else:
-            earlier.createOrReplaceTempView(TABLE)
+    selected = f"SELECT * FROM (\n{body}\n) AS selected"
+    with _ONE_AT_A_TIME:
+        earlier = spark.table(TABLE) if _view_exists(df) else None
+        df.createOrReplaceTempView(TABLE)
+        try:
+            foreign = _relations(spark.sql(f"EXPLAIN EXTENDED {selected}").first()[0]) - {TABLE}
+            if foreign:
+                raise ValueError(f"only {TABLE} can be read, not {', '.join(sorted(foreign))}")
+            return spark.sql(selected)
+        finally:  # the result is already bound to the table, not to the name
+            if earlier is None:
+                spark.catalog.dropTempView(TABLE)
+            else:
+                earlier.createOrReplaceTempView(TABLE)
+
+
+def _relations(explained: str) -> set[str]:
+    """Tables and files that the text names, without its own WITH tables."""
+    parsed = explained.partition("== Analyzed Logical Plan ==")[0]
+    named = {name.lower() for name in _RELATION.findall(parsed)}
+    own = {name.strip().lower() for listed in _WITH_TABLES.findall(parsed) for name in listed.split(",")}
+    return named - own
 
 
 def _view_exists(df: DataFrame) -> bool:
-    return any(t.name == TABLE and t.isTemporary for t in df.sparkSession.catalog.listTables())
+    return any(t.isTemporary for t in df.sparkSession.catalog.listTables(pattern=TABLE))

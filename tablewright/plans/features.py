@@ -2,10 +2,23 @@
 
 from pyspark.sql import functions as F
 
+from tablewright.dataset import Dataset
 from tablewright.operators import features as ops
+from tablewright.operators.filters import NumericRange
 from tablewright.plans.registry import GAPS_SQL, line_numbers, orders_with_gaps, query, table
 
 
+@query(
+    "g7_rebuild",
+    "SELECT l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem WHERE l_quantity BETWEEN 10 AND 20",
+)
+def rebuild(spark, sf):
+    """Filter, engineer, filter anew: the feature table starts over from the filtered one."""
+    data = Dataset.of(line_numbers(spark, sf)).filter([NumericRange("l_quantity", 1.0, 5.0)])
+    data = data.engineered(lambda df: ops.log_transform(df, ["l_tax"]))
+    return data.filter([NumericRange("l_quantity", 10.0, 20.0)]).model
+
+
 @query(
     "g1_scale_standard",
     GAPS_SQL

@@ -174,9 +174,8 @@ CHAIN_WHERE = """o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTA
     f"SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_custkey % 2 = 0 AND {CHAIN_WHERE}",
 )
 def filter_chain(spark, sf):
-    kept = ops.apply_filters(
-        table(spark, sf, "orders"), CHAIN, sql="SELECT * FROM df WHERE o_custkey % 2 = 0"
-    )
+    orders = table(spark, sf, "orders")  # prices are never NaN
+    kept = ops.apply_filters(orders, CHAIN, sql="SELECT * FROM df WHERE o_custkey % 2 = 0", nan_as_null=False)
     return kept.select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
@@ -206,6 +205,18 @@ def filter_summary(spark, sf):
     return ops.filter_summary(table(spark, sf, "orders"), CHAIN)
 
 
+@query(
+    "f9_filter_summary_sql",
+    f"""
+    SELECT count(*) AS total, count(*) FILTER (WHERE o_custkey % 2 = 0 AND {CHAIN_WHERE}) AS kept,
+           round(count(*) FILTER (WHERE o_custkey % 2 = 0 AND {CHAIN_WHERE}) * 100.0 / count(*), 1) AS kept_pct
+    FROM orders
+    """,
+)
+def filter_summary_sql(spark, sf):
+    return ops.filter_summary(table(spark, sf, "orders"), CHAIN, "SELECT * FROM df WHERE o_custkey % 2 = 0")
+
+
 @query(
     "f10_domains",
     """

@@ -6,6 +6,7 @@ from tablewright.operators import forecast as series
 from tablewright.operators import metrics
 from tablewright.operators import modeling as ops
 from tablewright.plans.registry import GAPS_SQL, orders_with_gaps, query, table
+from tablewright.session import scratch_path
 
 
 @query(
@@ -119,6 +120,33 @@ def _majority_sql(classes):
     """
 
 
+def _scores_sql(classes):
+    """Accuracy and weighted scores of the most frequent class of each state."""
+    return f"""
+    WITH leaning AS (SELECT o_orderstatus, {_LEANING[classes]} AS answer FROM orders),
+    ranked AS (SELECT o_orderstatus, answer AS prediction,
+                      row_number() OVER (PARTITION BY o_orderstatus ORDER BY count(*) DESC) AS place
+               FROM leaning GROUP BY o_orderstatus, answer),
+    pairs AS (SELECT answer, prediction FROM leaning JOIN ranked USING (o_orderstatus) WHERE place = 1),
+    c AS (SELECT k, count(*) FILTER (WHERE answer = k) AS actual, count(*) FILTER (WHERE prediction = k) AS predicted,
+                 count(*) FILTER (WHERE answer = k AND prediction = k) AS hits
+          FROM pairs, (SELECT DISTINCT answer AS k FROM leaning) GROUP BY k)
+    SELECT round(sum(hits) / sum(actual), 6) AS accuracy,
+           round(sum(coalesce(2.0 * hits / nullif(actual + predicted, 0), 0) * actual) / sum(actual), 6) AS f1,
+           round(sum(coalesce(hits * 1.0 / nullif(predicted, 0), 0) * actual) / sum(actual), 6) AS "precision",
+           round(sum(coalesce(hits * 1.0 / nullif(actual, 0), 0) * actual) / sum(actual), 6) AS recall
+    FROM c
+    """
+
+
+def _scores_query(name, algorithm, classes):
+    @query(name, _scores_sql(classes))
+    def run(spark, sf):
+        leaning = table(spark, sf, "orders").selectExpr("o_orderstatus", f"{_LEANING[classes]} AS answer")
+        found = ops.evaluate(ops.fit(leaning, "answer", algorithm), leaning)
+        return spark.createDataFrame([{k: round(v, 6) for k, v in found.items()}])
+
+
 def _classifier_query(name, algorithm, classes, rounds=ops.ROUNDS):
     @query(name, _majority_sql(classes))
     def run(spark, sf):
@@ -131,9 +159,45 @@ def _classifier_query(name, algorithm, classes, rounds=ops.ROUNDS):
 
 _classifier_query("m5_logistic", "Logistic Regression", 2)
 _classifier_query("m5_logistic_many_classes", "Logistic Regression", 3)
-_classifier_query("m6_forest", "Random Forest", 3, rounds=10)
-_classifier_query("m7_gbt", "XGBoost", 2, rounds=5)
-_classifier_query("m7_gbt_many_classes", "XGBoost", 3, rounds=2)
+_classifier_query("m6_forest", "Random Forest", 3)
+_classifier_query("m7_gbt", "XGBoost", 2)
+_classifier_query("m7_gbt_many_classes", "XGBoost", 3)
+_scores_query("m5_logistic_scores", "Logistic Regression", 3)
+_scores_query("m6_forest_scores", "Random Forest", 3)
+_scores_query("m7_gbt_scores", "XGBoost", 2)
+
+
+@query(
+    "m4_linear_scores",
+    """
+    SELECT round(sqrt((regr_syy(l_extendedprice, l_quantity)
+                       - pow(regr_sxy(l_extendedprice, l_quantity), 2) / regr_sxx(l_extendedprice, l_quantity)) / count(*)), 3) AS rmse,
+           round(regr_r2(l_extendedprice, l_quantity), 6) AS r2
+    FROM lineitem
+    """,
+)
+def linear_scores(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice")
+    found = ops.evaluate(ops.fit(lines, "l_extendedprice", "Linear Regression"), lines)
+    return spark.createDataFrame([(round(found["rmse"], 3), round(found["r2"], 6))], "rmse double, r2 double")
+
+
+@query(
+    "m13_save_load",
+    """
+    SELECT l_quantity, round(any_value(a) + any_value(b) * l_quantity, 3) AS prediction
+    FROM lineitem, (SELECT regr_intercept(l_extendedprice, l_quantity) AS a,
+                           regr_slope(l_extendedprice, l_quantity) AS b FROM lineitem)
+    GROUP BY l_quantity
+    """,
+)
+def save_load(spark, sf):
+    """A model that was written and read again scores the table."""
+    lines = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice")
+    path = scratch_path(spark, "model")
+    ops.fit(lines, "l_extendedprice", "Linear Regression").save(path)
+    scored = ops.TrainedModel.load(path).score(lines.select("l_quantity"))
+    return scored.groupBy("l_quantity").agg(F.round(F.max("prediction"), 3).alias("prediction"))
 
 
 @query("m5_logistic_metrics")
@@ -145,13 +209,13 @@ def logistic_metrics(spark, sf):
 @query("m6_forest_metrics")
 def forest_metrics(spark, sf):
     events = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
-    return _metric_table(spark, ops.train(events, "value", "Random Forest", split_keys=["event_id"], rounds=20))
+    return _metric_table(spark, ops.train(events, "value", "Random Forest", split_keys=["event_id"]))
 
 
 @query("m7_gbt_metrics")
 def gbt_metrics(spark, sf):
     parts = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
-    return _metric_table(spark, ops.train(parts, "p_retailprice", "XGBoost", split_keys=["p_partkey"], rounds=5))
+    return _metric_table(spark, ops.train(parts, "p_retailprice", "XGBoost", split_keys=["p_partkey"]))
 
 
 @query(
@@ -206,7 +270,7 @@ def importance(spark, sf):
 @query("m10_importance_trees")
 def importance_trees(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_extendedprice")
-    return ops.feature_importance(ops.fit(lines, "l_extendedprice", "Random Forest", rounds=10), top=20)
+    return ops.feature_importance(ops.fit(lines, "l_extendedprice", "Random Forest"), top=20)
 
 
 @query(
@@ -255,6 +319,44 @@ def daily_series(spark, sf):
     return found.select("event_type", F.date_format("ds", "yyyy-MM-dd").alias("ds"), F.round("y", 6).alias("y"), "n")
 
 
+@query(
+    "x1_daily_spread",
+    """
+    SELECT event_type, CAST(sum(n) AS BIGINT) AS n, round(sum(n * y), 2) AS total, round(sum(within), 2) AS within
+    FROM (SELECT event_type, CAST(ts AS DATE) AS ds, avg(value) AS y, CAST(count(*) AS BIGINT) AS n,
+                 var_pop(value) * count(*) AS within FROM events GROUP BY 1, 2)
+    GROUP BY event_type
+    """,
+)
+def daily_spread(spark, sf):
+    """What a forecast knows of the single rows: their number, sum and spread within the days."""
+    days = series.daily_series(table(spark, sf, "events"), "ts", "value", by=["event_type"])
+    return days.groupBy("event_type").agg(
+        F.sum("n").alias("n"),
+        F.round(F.sum(F.col("n") * F.col("y")), 2).alias("total"),
+        F.round(F.sum("within"), 2).alias("within"),
+    )
+
+
+@query(
+    "x1_forecast_coverage",
+    """
+    SELECT count(DISTINCT CAST(o_orderdate AS DATE)) + 30 AS days, true AS ordered, true AS covered FROM orders
+    """,
+)
+def forecast_coverage(spark, sf):
+    """Days of a forecast, order of its bounds, and that the interval holds about 80 % of the days."""
+    orders = table(spark, sf, "orders")
+    found = series.forecast(orders, "o_orderdate", "o_totalprice", 30, aggregation="sum")
+    days = series.daily_series(orders, "o_orderdate", "o_totalprice", aggregation="sum").select("ds", "y")
+    inside = F.col("y").between(F.col("yhat_lower"), F.col("yhat_upper")).cast("double")
+    return found.join(days, "ds", "left").agg(
+        F.count("*").alias("days"),
+        F.every((F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))).alias("ordered"),
+        F.avg(inside).between(0.7, 0.9).alias("covered"),
+    )
+
+
 @query(
     "x1_trend",
     """

@@ -37,6 +37,27 @@ def csv_declared_schema(spark, sf):
     return back.select("o_orderkey", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_day"))
 
 
+@query("s1_csv_mixed_headers", "SELECT o_orderkey, o_orderstatus, CAST(o_custkey AS BIGINT) AS o_custkey FROM orders")
+def csv_mixed_headers(spark, sf):
+    """Orders written in two column orders, read by one schema."""
+    path = scratch_path(spark, "csv")
+    orders = table(spark, sf, "orders")
+    even, odd = orders.where("o_orderkey % 2 = 0"), orders.where("o_orderkey % 2 = 1")
+    csv.write_csv(even.select("o_orderkey", "o_orderstatus", "o_custkey"), f"{path}/even")
+    csv.write_csv(odd.select("o_custkey", "o_orderkey", "o_orderstatus"), f"{path}/odd")
+    schema = "o_orderkey bigint, o_orderstatus string, o_custkey bigint"
+    return csv.read_csv(spark, [f"{path}/even", f"{path}/odd"], schema, mixed_headers=True)
+
+
+@query(
+    "s2_xlsx_inferred",
+    "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer",
+)
+def xlsx_inferred(spark, sf):
+    """Types found from the cells, without a declared schema."""
+    return workbook.parse_workbooks(_as_workbooks(table(spark, sf, "customer"), "c_custkey"))
+
+
 @query("s2_xlsx_folder", _CUSTOMERS_SQL)
 def xlsx_folder(spark, sf):
     customers = table(spark, sf, "customer")

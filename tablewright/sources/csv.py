@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,26 +29,59 @@ def read_csv(
     path: str | list[str] | None,
     schema: T.StructType | str | None = None,
     parse_dates: bool = False,
+    mode: str = "strict",
+    mixed_headers: bool = False,
     **options: object,
 ) -> DataFrame:
     """CSV with a header.  No path gives an empty table.
 
+    Columns go by name.  A file whose header differs from the others' fails, unless
+    ``mixed_headers``: then a pass over the files finds their headers first, and a
+    column that a file lacks is NULL there.
+
     Pass ``multiLine=True`` for cells with line breaks: a file is then read by one
-    task.  With a ``schema`` the files are read once, when the result is used.  Without
-    one a first pass over all rows finds the types: whole numbers, numbers,
+    task.  With a ``schema`` the files are read once, when the result is used; a cell
+    that does not fit its type raises, with ``mode="lenient"`` it becomes NULL.
+    Without one a first pass over all rows finds the types: whole numbers, numbers,
     booleans, with ``parse_dates`` timestamps, else text.
     """
+    if mode not in ("strict", "lenient"):
+        raise ValueError(f"unknown cast mode: {mode!r}")
     if path is None:
         return spark.createDataFrame([], T.StructType([]))
-    reader = spark.read.options(**{**FORMAT, **options})
-    if schema is not None:
-        return normalise_missing(reader.schema(schema).csv(path))
-    raw = reader.csv(path)
-    text = raw.select(*[_cell(ref(c)).alias(c) for c in raw.columns])
-    return infer_types(text, parse_dates)
-
-
-def _cell(column: Column) -> Column:
+    reader = spark.read.options(**{**FORMAT, "enforceSchema": False, **options})
+    if mixed_headers:
+        layouts = [reader.csv(files) for files in files_by_header(spark, path)]
+        raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), layouts)
+    else:
+        raw = reader.csv(path)
+    text = raw.select(*[missing_cell(ref(c)).alias(c) for c in raw.columns])
+    if schema is None:
+        return infer_types(text, parse_dates)
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    absent = [name for name in wanted.fieldNames() if name not in raw.columns]
+    if absent:
+        raise ValueError(f"columns {absent} are not in the header")
+    return normalise_missing(text.select(*[_as_type(f, mode).alias(f.name) for f in wanted.fields]))
+
+
+def files_by_header(spark: SparkSession, path: str | list[str]) -> list[list[str]]:
+    """The files under ``path``, one list per distinct header line."""
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    # The first block of a file is read in order by one task.
+    headers = lines.where("file_block_start = 0").groupBy("file_path").agg(F.first("value").alias("header"))
+    found = headers.groupBy("header").agg(F.sort_array(F.collect_list("file_path")).alias("files")).collect()
+    return sorted(r["files"] for r in found)
+
+
+def _as_type(field: T.StructField, mode: str) -> Column:
+    if isinstance(field.dataType, T.StringType):
+        return ref(field.name)
+    cell = F.trim(ref(field.name))
+    return cell.cast(field.dataType) if mode == "strict" else cell.try_cast(field.dataType)
+
+
+def missing_cell(column: Column) -> Column:
     return F.when(~column.isin(*MISSING_TEXTS), column)
 
 

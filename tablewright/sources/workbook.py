@@ -11,11 +11,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions.columns import ref
+from tablewright.functions.columns import normalise_missing, ref
+from tablewright.sources.csv import infer_types, missing_cell
 
 # Workbooks are parsed on the executors, which need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -26,16 +27,46 @@ _SHEET_LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationsh
 _DAY_ZERO = "1899-12-30"
 
 
-def read_workbooks(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Rows of the first sheet of every workbook under ``path``, with a declared schema."""
+def read_workbooks(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, mode: str = "strict"
+) -> DataFrame:
+    """Rows of the first sheet of every workbook under ``path``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
-    return parse_workbooks(files, schema)
+    return parse_workbooks(files, schema, mode)
 
 
-def parse_workbooks(files: DataFrame, schema: T.StructType | str) -> DataFrame:
-    """Parse a ``(path, content)`` table of workbooks.  Columns are found by header name."""
+def parse_workbooks(files: DataFrame, schema: T.StructType | str | None = None, mode: str = "strict") -> DataFrame:
+    """Parse a ``(path, content)`` table of workbooks.  Columns are found by header name.
+
+    A cell that does not fit the declared type raises, with ``mode="lenient"`` it
+    becomes NULL.  Without a schema the headers give the columns and a pass over all
+    cells their types; dates, which the format stores as numbers, come out as numbers.
+    """
+    if mode not in ("strict", "lenient"):
+        raise ValueError(f"unknown cast mode: {mode!r}")
+    if schema is None:
+        text = _cells(files, header_names(files))
+        return infer_types(text.select(*[missing_cell(ref(c)).alias(c) for c in text.columns]))
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    names = wanted.fieldNames()
+    text = _cells(files, wanted.fieldNames())
+    return normalise_missing(text.select(*[_typed(f, mode).alias(f.name) for f in wanted.fields]))
+
+
+def header_names(files: DataFrame) -> list[str]:
+    """Header names of all workbooks, by their first place; a sheet has at most 16,384 columns."""
+
+    def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                first = next(sheet_rows(content), {})
+                yield pd.DataFrame([(t, p) for p, t in first.items() if t is not None], columns=["name", "place"])
+
+    found = files.select("content").mapInPandas(headers, "name string, place bigint")
+    return [r["name"] for r in found.groupBy("name").agg(F.min("place").alias("place")).orderBy("place", "name").collect()]
+
+
+def _cells(files: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns of all first sheets as text."""
     as_text = T.StructType([T.StructField(n, T.StringType()) for n in names])
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -53,12 +84,21 @@ def parse_workbooks(files: DataFrame, schema: T.StructType | str) -> DataFrame:
                         rows = []
                 yield pd.DataFrame(rows, columns=names, dtype=object)
 
-    text = files.select("content").mapInPandas(parse, as_text)
-    return text.select(*[_typed(f).alias(f.name) for f in wanted.fields])
+    return files.select("content").mapInPandas(parse, as_text)
 
 
-def _typed(field: T.StructField):
+def _typed(field: T.StructField, mode: str):
+    """The cell as the declared type; whole numbers may be written as 8.0, dates as days."""
     column = ref(field.name)
+    if not isinstance(field.dataType, T.StringType):
+        column = missing_cell(column)
+    fitting = _fitting(field, column)
+    if mode == "lenient" or isinstance(field.dataType, T.StringType):
+        return fitting
+    return F.when(column.isNotNull() & fitting.isNull(), column.cast(field.dataType)).otherwise(fitting)
+
+
+def _fitting(field: T.StructField, column: Column):
     if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         micros = F.round(column.try_cast("double") * 86_400_000_000).cast("bigint")
         serial = F.timestamp_add("MICROSECOND", micros, F.lit(_DAY_ZERO).cast("timestamp_ntz"))

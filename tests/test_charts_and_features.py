@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import charts, features
+from tablewright.operators import charts, cleaning, features
 from tests.conftest import SF, rows
 
 
@@ -131,3 +131,32 @@ def test_correlated_features(spark):
     x = rng.normal(size=300)
     pdf = pd.DataFrame({"y": x, "near": x + 0.1 * rng.normal(size=300), "mirror": -x, "far": rng.normal(size=300), "flat": 1.0})
     assert features.correlated_features(spark.createDataFrame(pdf), "y") == ["near", "mirror"]
+
+
+_RESERVED = {
+    "count": [lambda d, c: charts.pie(d, c), lambda d, c: charts.histogram(d, "y", c)],
+    "height": [lambda d, c: charts.bar(d, c, "y"), lambda d, c: charts.area(d, c, "y")],
+    "n": [lambda d, c: charts.box_stats(d, "y", c), lambda d, c: charts.violin_stats(d, c, "y"), lambda d, c: charts.ols_trend(d, "y", "y", c)],
+    "copies": [lambda d, c: cleaning.duplicate_groups(d)],
+}
+
+
+@pytest.mark.parametrize("name", list(_RESERVED))
+def test_names_of_results_are_not_given_twice(spark, name):
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0)], f"{name} string, y double")
+    for chart in _RESERVED[name]:
+        with pytest.raises(ValueError):
+            chart(df, name)
+
+
+@pytest.mark.parametrize("name", ["value", "copies", "portion", "member", "bin_", "column_"])
+def test_work_columns_do_not_meet_those_of_the_table(spark, name):
+    df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 2.0)], f"{name} string, y double")
+    assert cleaning.duplicate_rows(df).count() == 2 and cleaning.duplicate_count(df).first()[0] == 2
+    assert charts.box_stats(df, "y", name).count() == 2 and charts.violin_stats(df, name, "y").count() == 2
+    assert charts.violin_density(df, name, "y").select(name).distinct().count() == 2
+
+
+def test_nan_is_no_group(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (float("nan"), 2.0), (None, 3.0)], "g double, y double")
+    assert charts.box_stats(df, "y", "g").count() == 1 and charts.bar(df, "g", "y").count() == 1

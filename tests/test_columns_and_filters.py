@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablewright import Dataset
 from tablewright.operators import columns, filters
 from tablewright.operators.sqltext import sql_select
+from tests.conftest import SF
 
 
 def ids(df):
@@ -175,3 +176,20 @@ def test_dataset_versions(quirks):
     cleaned = featured.cleaned(lambda df: df.drop("x"))
     assert cleaned.base.columns == cleaned.model.columns == cleaned.filtered.columns == cleaned.clean.columns
     assert "x" not in cleaned.clean.columns
+
+
+def test_sql_text_reads_the_table_only(spark):
+    df = spark.range(5)
+    spark.range(3).createOrReplaceTempView("other")
+    for text in ("SELECT * FROM other", "SELECT * FROM df WHERE id IN (SELECT id FROM other)", f"SELECT * FROM parquet.`{SF}/part.parquet`"):
+        with pytest.raises(ValueError):
+            sql_select(df, text)
+    spark.catalog.dropTempView("other")
+    assert sql_select(df, "WITH a AS (SELECT id FROM df), b AS (SELECT * FROM a) SELECT * FROM b JOIN a USING (id);").count() == 5
+    with pytest.raises(Exception):
+        sql_select(df, "SELECT 1; DROP TABLE x").collect()
+
+
+def test_summary_of_a_chain_with_sql_text(spark):
+    got = filters.filter_summary(spark.range(10), [filters.NumericRange("id", 0, 5)], "SELECT * FROM df WHERE id % 2 = 0")
+    assert tuple(got.first()) == (10, 3, 30.0)

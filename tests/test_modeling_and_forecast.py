@@ -164,5 +164,28 @@ def test_forecast_of_short_and_many_series(spark):
         series.forecast(df, "day", "v", 366)
 
 
+def test_forecast_interval_covers_the_single_rows(spark):
+    days = spark.range(60).select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("day"))
+    rows = days.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(100)))).select("day", (100 + 10 * F.randn(5)).alias("v"))
+    got = series.forecast(rows, "day", "v", 1).toPandas()
+    half = ((got["yhat_upper"] - got["yhat_lower"]) / 2).iloc[:60].mean()
+    assert half == pytest.approx(1.2816 * 10, rel=0.05)
+
+
+def test_tree_shape_is_an_argument(houses, tmp_path):
+    data = houses.where("id % 25 <> 0").select("size", "price")
+    deep = modeling.fit(data, "price", "Random Forest", rounds=3, trees={"max_depth": 8})
+    assert deep.trees["max_depth"] == 8 and deep.pipeline.stages[-1].trees[0].depth > 5
+    deep.save(str(tmp_path / "deep"))
+    assert modeling.TrainedModel.load(str(tmp_path / "deep")).trees == deep.trees
+    with pytest.raises(ValueError):
+        modeling.fit(data, "price", "Random Forest", trees={"depth": 8})
+
+
+def test_boolean_gaps_are_filled(spark):
+    df = spark.createDataFrame([(True, 1.0), (None, 2.0), (False, 3.0)], "flag boolean, y double")
+    assert [r["flag"] for r in modeling.design_matrix(df, "y").orderBy("y").collect()] == [1.0, 0.0, 0.0]
+
+
 def test_levels_are_in_value_order(spark):
     assert category_levels(spark.range(3, 12, 4), ["id"]) == {"id": ["3", "7", "11"]}

@@ -39,6 +39,30 @@ def test_csv_round_trip(spark, tmp_path):
     assert rows(declared) == rows(df)
 
 
+def test_csv_columns_go_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,hi\nNA,x\n")
+    (tmp_path / "b.csv").write_text("b,a,c\nbye,7,9\n")
+    got = csv.read_csv(spark, str(tmp_path), "b string, a bigint", mixed_headers=True)
+    assert got.columns == ["b", "a"] and set(rows(got)) == {("hi", 1), ("x", None), ("bye", 7)}
+    found = csv.read_csv(spark, str(tmp_path), mixed_headers=True)
+    assert dict(found.dtypes) == {"a": "bigint", "b": "string", "c": "bigint"} and found.count() == 3
+    with pytest.raises(Exception):  # a header that differs is never read by position
+        csv.read_csv(spark, str(tmp_path), "a bigint, b string").collect()
+    with pytest.raises(ValueError):
+        csv.read_csv(spark, str(tmp_path / "a.csv"), "z bigint")
+
+
+def test_csv_misfits(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("code,n\n10D,1\n20F,x\n")
+    assert dict(csv.read_csv(spark, str(tmp_path / "t.csv")).dtypes) == {"code": "string", "n": "string"}
+    with pytest.raises(Exception):
+        csv.read_csv(spark, str(tmp_path / "t.csv"), "code string, n bigint").collect()
+    lenient = csv.read_csv(spark, str(tmp_path / "t.csv"), "code string, n bigint", mode="lenient")
+    assert set(rows(lenient)) == {("10D", 1), ("20F", None)}
+    with pytest.raises(ValueError):
+        csv.read_csv(spark, str(tmp_path / "t.csv"), mode="loose")
+
+
 def test_load_table_kinds(spark):
     assert csv.load_table(spark, None, "csv").columns == []
     with pytest.raises(ValueError):
@@ -82,6 +106,22 @@ def test_workbooks(spark, tmp_path):
     assert rows(got) == sorted(one * 2)
 
 
+def test_workbook_types_are_found_or_checked(spark, tmp_path):
+    cell = '<c t="inlineStr"><is><t>{}</t></is></c>'.format
+    sheet = (
+        f"<row>{cell('n')}{cell('s')}{cell('gap')}</row>"
+        f"<row><c><v>1</v></c>{cell('x')}{cell('nan')}</row><row><c><v>2</v></c>{cell('y')}<c><v>0.5</v></c></row>"
+    )
+    (tmp_path / "a.xlsx").write_bytes(_workbook(sheet))
+    got = csv.load_table(spark, str(tmp_path), "xlsx")
+    assert dict(got.dtypes) == {"n": "bigint", "s": "string", "gap": "double"}
+    assert set(rows(got)) == {(1, "x", None), (2, "y", 0.5)}
+    assert set(rows(workbook.read_workbooks(spark, str(tmp_path), "s string, gap double"))) == {("x", None), ("y", 0.5)}
+    with pytest.raises(Exception):
+        workbook.read_workbooks(spark, str(tmp_path), "s bigint").collect()
+    assert rows(workbook.read_workbooks(spark, str(tmp_path), "s bigint", mode="lenient")) == [(None,), (None,)]
+
+
 def test_jdbc_options():
     plain = jdbc.jdbc_options("jdbc:x:y", "SELECT 1", user="u")
     assert plain == {"url": "jdbc:x:y", "fetchsize": "10000", "user": "u", "query": "SELECT 1"}
