@@ -156,7 +156,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("text")).cast("binary"))
     rows = stored(docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), digest.alias("order")), "sizes")
     placed = mixing.place(rows)
-    return placed.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy("position")
+    return placed.select("doc_id", "size", "source_size", "target", "taken", "position", "order").orderBy("position", "order").drop("order")
 
 
 OP6_SQL = r"""
