@@ -7,7 +7,8 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,7 @@ from tablewright.functions.quantiles import column_quantiles
 from tablewright.functions.reports import row_report, statistics
 from tablewright.functions.values import text_counts
 
+HARDLY_VARIES = 1e-6  # share of the sum of squares that is left around the mean
 WIDE_COLUMNS = 20
 
 SUMMARY_SCHEMA = (
@@ -111,16 +113,16 @@ def pearson(x: Column, y: Column) -> Column:
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pairwise-complete Pearson correlations in long form ``(col_a, col_b, corr)``.
 
-    The upper triangle is computed and mirrored.  The pairs of a narrow table come
-    from one scan.  In a wide one the columns without gaps go into one matrix,
-    whatever their number, and only pairs with a gap are aggregated one by one.
+    The upper triangle is computed and mirrored.  The pairs of a narrow table are
+    single aggregates.  In a wide one a first look finds means and deviations, and
+    one more scan sums the products of all pairs, gaps or not.
     """
     names = numeric_names(df, columns)
-    full = _standardised(df, names) if len(names) >= WIDE_COLUMNS else {}
-    rows, in_matrix = [], set(full) if len(full) >= WIDE_COLUMNS else set()
+    wide = _wide_pairs(df, names) if len(names) >= WIDE_COLUMNS else {}
+    rows = []
     for i, a in enumerate(names):
         for b in names[i:]:
-            if a in in_matrix and b in in_matrix:
+            if (a, b) in wide:
                 continue
             if a == b:  # exactly 1, or NULL for a constant
                 corr = F.try_divide(F.var_samp(number(df, a)), F.var_samp(number(df, a)))
@@ -129,8 +131,8 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
             rows.append({"col_a": F.lit(a), "col_b": F.lit(b), "corr": corr})
     schema = "col_a string, col_b string, corr double"
     upper = row_report(df, rows, schema)
-    if in_matrix:
-        pairs = _matrix_pairs(df, full)
+    if wide:
+        pairs = [(a, b, corr) for (a, b), corr in wide.items()]
         upper = upper.unionByName(df.sparkSession.createDataFrame(pairs, schema))
     mirrored = F.when(
         F.col("col_a") != F.col("col_b"),
@@ -142,31 +144,53 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     return upper.select(F.inline(mirrored))
 
 
-def _standardised(df: DataFrame, names: list[str]) -> dict[str, Column]:
-    """Columns without gaps and with a spread, shifted and scaled to unit variance."""
+def _wide_pairs(df: DataFrame, names: list[str]) -> dict[tuple[str, str], float | None]:
+    """Correlations of the upper triangle, but for pairs that need a closer look.
+
+    Left out are columns with infinite values, and pairs in whose common rows a
+    column hardly varies: there, sums of products are not exact enough.
+    """
     aggregates = {}
     for name in names:
-        value = number(df, name)
-        aggregates[name, "gaps"] = F.count_if(missing(df.schema[name]))
-        aggregates[name, "mean"] = F.avg(value)
-        aggregates[name, "std"] = F.stddev_samp(value)
+        aggregates[name, "mean"] = F.avg(number(df, name))
+        aggregates[name, "std"] = F.stddev_samp(number(df, name))
     found = statistics(df, aggregates)
-    ready = {}
-    for name in names:
-        mean, std = found[name, "mean"], found[name, "std"]
-        if found[name, "gaps"] == 0 and std and math.isfinite(std):
-            ready[name] = (number(df, name) - F.lit(mean)) / F.lit(std)
-    return ready
-
-
-def _matrix_pairs(df: DataFrame, columns: dict[str, Column]) -> list[tuple[str, str, float]]:
-    """Upper triangle of the correlations of gapless columns: one number per pair."""
-    names = list(columns)
-    inputs = [f"c{i}" for i in range(len(names))]
-    narrow = df.select(*[columns[n].alias(i) for n, i in zip(names, inputs)])
-    vectors = VectorAssembler(inputCols=inputs, outputCol="v").transform(narrow).select("v")
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    return [(names[i], names[j], float(matrix[i, j])) for i in range(len(names)) for j in range(i, len(names))]
+    flat = [c for c in names if not found[c, "std"]]  # without spread: no correlation with anything
+    known = [c for c in names if found[c, "std"] and math.isfinite(found[c, "std"])]
+    pairs = {(a, b): None for i, a in enumerate(names) for b in names[i:] if a in flat or b in flat}
+    if known:
+        scaled = {c: (number(df, c) - F.lit(found[c, "mean"])) / F.lit(found[c, "std"]) for c in known}
+        pairs |= _matrix_pairs(_with_presence(df, scaled), known)
+    return pairs
+
+
+def _with_presence(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """One vector per row: the values with gaps as 0, flags of presence, squares."""
+    values = [F.coalesce(c, F.lit(0.0)) for c in columns.values()]
+    flags = [c.isNotNull().cast("double") for c in columns.values()]
+    parts = {f"c{i}": c for i, c in enumerate([*values, *flags, *[v * v for v in values]])}
+    narrow = df.select(*[c.alias(name) for name, c in parts.items()])
+    return VectorAssembler(inputCols=list(parts), outputCol="v").transform(narrow).select("v")
+
+
+def _matrix_pairs(vectors: DataFrame, names: list[str]) -> dict[tuple[str, str], float | None]:
+    """Correlations from the sums of products of all vector entries, merged in a tree."""
+    products = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "v")).computeGramianMatrix().toArray()
+    k = len(names)
+    value, flag, square = slice(0, k), slice(k, 2 * k), slice(2 * k, 3 * k)
+    n, total, squares = products[flag, flag], products[value, flag], products[square, flag]
+    pairs: dict[tuple[str, str], float | None] = {}
+    for i, a in enumerate(names):
+        for j in range(i, k):
+            if n[i, j] < 2:
+                pairs[a, names[j]] = None
+                continue
+            left = squares[i, j] - total[i, j] ** 2 / n[i, j]
+            right = squares[j, i] - total[j, i] ** 2 / n[i, j]
+            if left > HARDLY_VARIES * squares[i, j] and right > HARDLY_VARIES * squares[j, i]:
+                both = products[i, j] - total[i, j] * total[j, i] / n[i, j]
+                pairs[a, names[j]] = 1.0 if i == j else float(both / math.sqrt(left * right))
+    return pairs
 
 
 def pair_correlation(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -151,3 +151,28 @@ def kpis(spark, sf):
     return found.withColumns(
         {"mean": F.round("mean", 4), "median": F.round("median", 4), "sum": F.round("sum", 2)}
     )
+
+
+# Twenty columns, each with gaps in other rows.
+_GAPPED = {
+    f"c{i}": f"CASE WHEN (l_orderkey + l_linenumber) % {i + 3} = 0 THEN NULL ELSE {base} * {i + 1} + l_linenumber END"
+    for i, base in enumerate(["l_quantity", "l_extendedprice", "l_discount", "l_tax"] * 5)
+}
+_GAPPED_PAIRS = ", ".join(
+    f"struct_pack(col_a := '{a}', col_b := '{b}', corr := {'1.0::DOUBLE' if a == b else f'round(corr({a}, {b}), 6)'})"
+    for a in _GAPPED
+    for b in _GAPPED
+)
+
+
+@query(
+    "e3_corr_wide_gaps",
+    f"""
+    WITH gapped AS (SELECT {", ".join(f"{text} AS {name}" for name, text in _GAPPED.items())} FROM lineitem),
+    pairs AS (SELECT [{_GAPPED_PAIRS}] AS found FROM gapped)
+    SELECT p.col_a AS col_a, p.col_b AS col_b, p.corr AS corr FROM (SELECT unnest(found) AS p FROM pairs)
+    """,
+)
+def corr_wide_gaps(spark, sf):
+    gapped = table(spark, sf, "lineitem").selectExpr(*[f"{text} AS {name}" for name, text in _GAPPED.items()])
+    return ops.correlation_matrix(gapped).withColumn("corr", F.round("corr", 6))

@@ -181,3 +181,18 @@ def test_sampling_never_decides(spark):
     df = spark.range(200_000).select((F.hash("id") % 1000).cast("double").alias("x"))
     got = quantiles.column_quantiles(df, ["x"], [0.25, 0.5, 0.9])["x"]
     assert got == df.agg(F.percentile("x", [0.25, 0.5, 0.9])).first()[0]
+
+
+def test_wide_correlations_sum_all_pairs_in_one_scan(spark, monkeypatch):
+    """Gaps in each of 60 columns: equal to pandas, and one matrix for all pairs."""
+    import numpy as np
+
+    looks = []
+    inner = profile._matrix_pairs
+    monkeypatch.setattr(profile, "_matrix_pairs", lambda vectors, names: looks.append(len(names)) or inner(vectors, names))
+    columns = [F.when(F.col("id") % (i + 2) != 0, F.hash(F.col("id") + i) % 1000 + F.col("id") * i) for i in range(60)]
+    df = spark.range(300).select(*[c.cast("double").alias(f"c{i}") for i, c in enumerate(columns)], F.lit(1.0).alias("flat"))
+    got = profile.correlation_matrix(df).toPandas().pivot(index="col_a", columns="col_b", values="corr").astype(float)
+    expected = df.toPandas().corr()
+    assert looks == [60]
+    np.testing.assert_allclose(got.loc[expected.index, expected.columns], expected, atol=1e-9)
