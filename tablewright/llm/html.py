@@ -1,9 +1,9 @@
 """Main text of web pages: site templates are found by counting element subtrees per host.
 
-Every page is parsed into elements.  The subtrees outside its article are hashed and
-counted per host in Spark; those that recur on many pages of the host are the site's
-template.  A second pass deletes them together with elements that never hold main
-text, and writes what is left as blocks.
+Every page is parsed into elements.  The subtrees outside its article and the blocks
+inside are hashed and counted per host in Spark; those that recur on many pages of the
+host, or in many different articles, are the site's template.  A second pass deletes
+them together with elements that never hold main text, and writes what is left as blocks.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from tablewright.llm.common import stored, values_of
 #: A subtree is template if it stands on at least so many pages of its host and on this share of them.
 LEAST_PAGES = 3
 LEAST_SHARE = 0.3
+#: A block inside articles is template if it stands in at least so many different articles and in that share of them.
+LEAST_ARTICLES = 5
 
 #: Fixed values of HTML: elements without content, elements whose content is no markup.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,6 +35,10 @@ BLOCKS = set(
     "tr ul".split()
 )
 ENDS_PARAGRAPH = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html", "legend"}
+#: Elements that can be template inside an article; a recurring word, cell, item or heading is part of its text.
+SECTIONS = set("address blockquote center details div dl fieldset figure hgroup ol p pre section table ul".split())
+#: Tells hashes of blocks inside articles from those of subtrees outside.
+INSIDE = 0x5DEECE66D1CE4E5B
 #: Start tags that end an open element of these names, up to the given enclosing ones.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -209,6 +215,38 @@ def template_candidates(root: Element) -> set[int]:
     return found
 
 
+def article_holders(chosen: list[Element]) -> set[int]:
+    """The elements (by ``id``) inside articles that are an article or hold one."""
+    above, stack = set(), list(chosen)
+    while stack:
+        element = stack.pop()
+        stack += [p for p in element.parts if not isinstance(p, str)]
+        if element.is_article():
+            while element is not None and id(element) not in above:
+                above.add(id(element))
+                element = element.parent
+    return above
+
+
+def article_candidates(root: Element, chosen: list[Element]) -> set[tuple[int, int]]:
+    """Hashes, told apart by ``INSIDE``, of the blocks with text inside articles that hold no article.
+
+    Each comes with the hash of the text of the innermost article around it.
+    """
+    found, holders = set(), article_holders(chosen)
+    stack = [(element, 0) for element in chosen]
+    while stack:
+        element, own = stack.pop()
+        if element.is_dropped():
+            continue
+        if element.is_article():
+            own = digest(text_of(root, [element], set()))
+        if element.tag in SECTIONS and element.has_text and id(element) not in holders:
+            found.add((element.key ^ INSIDE, own))
+        stack += [(p, own) for p in element.parts if not isinstance(p, str)]
+    return found
+
+
 def articles(root: Element) -> list[Element]:
     """The outermost articles with text that do not lie in a dropped element, in page order."""
     found, stack = [], [root]
@@ -226,8 +264,19 @@ def articles(root: Element) -> list[Element]:
 def main_text(html: str, template: set[int]) -> str:
     """The blocks of the articles, or of the whole page if it has none, without template and dropped elements."""
     root = parse(html)
-    chosen = articles(root)
+    return text_of(root, articles(root), template)
+
+
+def text_of(root: Element, chosen: list[Element], template: set[int]) -> str:
+    """The text of a parsed page, of which ``chosen`` are the articles."""
     protected = bool(chosen)
+    holders = article_holders(chosen) if template else set()
+
+    def recurs(element: Element) -> bool:
+        if not protected:
+            return element.key in template
+        return element.tag in SECTIONS and element.key ^ INSIDE in template and id(element) not in holders
+
     blocks: list[str] = []
     line: list[str] = []
 
@@ -245,7 +294,7 @@ def main_text(html: str, template: set[int]) -> str:
                 flush()
             elif isinstance(part, str):
                 line.append(part)
-            elif part.is_dropped() or (not protected and part.key in template):
+            elif part.is_dropped() or recurs(part):
                 line.append(" ")
             else:
                 if part.tag in BLOCKS:
@@ -258,6 +307,11 @@ def main_text(html: str, template: set[int]) -> str:
     return "\n".join(blocks)
 
 
+def digest(text: str) -> int:
+    """A 64-bit hash of a text."""
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
 def host_of(url: str):
     """Host of a URL column, lower-case; empty for null or anything that is no URL."""
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
@@ -266,33 +320,46 @@ def host_of(url: str):
 def site_templates(pages: DataFrame) -> DataFrame:
     """``host, template``: the subtree hashes that recur on a host; ``pages`` has ``host, html``.
 
-    A page adds each of its subtrees once.  As each hash of the result stands on a
-    share of the pages of its host, a host has few of them whatever its size.
+    A page adds each of its subtrees once, an article each of its blocks once however
+    many copies it has.  As each hash of the result stands on a share of the pages or
+    articles of its host, a host has few of them whatever its size.
     """
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, keys = [], []
+            hosts, keys, own = [], [], []
             for host, html in zip(values_of(batch.column("host")), values_of(batch.column("html"))):
-                found = template_candidates(parse(html or ""))
-                hosts += [host] * (len(found) + 1)
-                keys += [None, *found]  # the page itself
-            arrays = [pa.array(hosts, pa.string()), pa.array(keys, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["host", "key"])
-
-    found = pages.select("host", "html").mapInArrow(subtrees, "host string, key long")
-    counts = stored(found.groupBy("host", "key").agg(F.count("*").alias("n")), "subtrees")
-    sizes = counts.where(F.col("key").isNull()).select("host", F.col("n").alias("pages"))
-    many = (F.col("n") >= LEAST_PAGES) & (F.col("n") >= LEAST_SHARE * F.col("pages"))
-    repeated = counts.where(F.col("key").isNotNull() & (F.col("n") >= LEAST_PAGES)).join(sizes, "host").where(many)
+                root = parse(html or "")
+                chosen = articles(root)
+                outside = [None, *template_candidates(root)]  # the page itself
+                hosts += [host] * len(outside)
+                keys += outside
+                own += [None] * len(outside)
+                if chosen:
+                    inside = [(None, digest(text_of(root, chosen, set()))), *article_candidates(root, chosen)]
+                    hosts += [host] * len(inside)
+                    keys += [key for key, _ in inside]
+                    own += [article for _, article in inside]
+            arrays = [pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(own, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["host", "key", "article"])
+
+    found = pages.select("host", "html").mapInArrow(subtrees, "host string, key long, article long")
+    inside = F.col("article").isNotNull().alias("inside")
+    each = found.groupBy("host", "key", "article").agg(F.count("*").alias("copies"))
+    n = F.sum(F.when(F.col("article").isNull(), F.col("copies")).otherwise(1)).alias("n")
+    counts = stored(each.groupBy("host", "key", inside).agg(n), "subtrees")
+    sizes = counts.where(F.col("key").isNull()).select("host", "inside", F.col("n").alias("pages"))
+    least = F.when(F.col("inside"), LEAST_ARTICLES).otherwise(LEAST_PAGES)
+    repeated = counts.where(F.col("key").isNotNull() & (F.col("n") >= least)).join(sizes, ["host", "inside"])
+    repeated = repeated.where(F.col("n") >= LEAST_SHARE * F.col("pages"))
     return repeated.groupBy("host").agg(F.collect_set("key").alias("template"))
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """``pages`` with ``text`` and ``n_chars`` in place of ``html``.
 
-    Articles (``article`` and ``main`` elements) are protected: what recurs inside them,
-    such as a paragraph that many pages share or copies of one page, stays.  Blocks are
+    Of articles (``article`` and ``main`` elements) only blocks that stand in many different
+    articles of the host go; copies of one page stay, however many.  Blocks are
     joined by a line feed, white space inside a block becomes one space.  A null or
     empty page has an empty text, as has one that is all template.  Columns named
     ``text`` or ``n_chars`` are replaced, all others stay; equal rows give equal texts.

@@ -76,3 +76,18 @@ def test_copies_of_an_article_stay(spark):
     page = "<nav><a>menu</a></nav><article><p>the same article</p></article>"
     df = spark.createDataFrame([(i, "http://a.b/", page) for i in range(9)], "page_id long, url string, html string")
     assert {r["text"] for r in html.extract(df).collect()} == {"the same article"}
+
+
+def test_template_inside_articles(spark):
+    notice = "<div><p>Our shop sells <b>nice</b> things.</p><ul><li>More</li></ul></div>"
+    page = "<article><h2>Intro</h2><p>own text {0} <b>often</b></p>{1}<table><tr><td>yes</td></tr><tr><td>{0}</td></tr></table></article>"
+    rows = [(i, "http://a.b/", page.format(i, notice)) for i in range(8)]
+    rows += [(i, "http://few.b/", page.format(i, notice)) for i in range(20, 24)]  # too few different ones
+    rows += [(30, "http://c.d/", page.format(30, notice))] * 9  # copies of one article
+    rows += [(i, "http://e.f/", f"<main><div><article><p>same</p></article></div>{i}</main>") for i in range(40, 48)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    shop = "Our shop sells nice things.\nMore\n"
+    for i in [*range(8), *range(20, 24), 30]:
+        assert got[i] == f"Intro\nown text {i} often\n{'' if i < 8 else shop}yes\n{i}"
+    assert all(got[i] == f"same\n{i}" for i in range(40, 48))
