@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.common import stored, values_of
 
-#: A subtree is template if it stands on at least so many pages of its host and on this share of them.
+#: A subtree is template if it stands on at least so many different pages of its host and on this share of them.
 LEAST_PAGES = 3
 LEAST_SHARE = 0.3
 #: A block inside articles is template if it stands in at least so many different articles and in that share of them.
@@ -320,38 +320,47 @@ def host_of(url: str):
 def site_templates(pages: DataFrame) -> DataFrame:
     """``host, template``: the subtree hashes that recur on a host; ``pages`` has ``host, html``.
 
-    A page adds each of its subtrees once, an article each of its blocks once however
-    many copies it has.  As each hash of the result stands on a share of the pages or
-    articles of its host, a host has few of them whatever its size.
+    A page adds each of its subtrees once, and pages or articles of one text add theirs
+    once however many copies there are, so that copies of a page do not make its content
+    template.  Where all pages of a host are copies, only what is template of another
+    host, shown there by different pages, is known to be template: it is taken for one
+    if it stands on enough of the copies.  As each hash of the result stands on a share
+    of the pages or articles of its host, a host has few of them whatever its size.
     """
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, keys, own = [], [], []
+            hosts, keys, own, sides = [], [], [], []
             for host, html in zip(values_of(batch.column("host")), values_of(batch.column("html"))):
                 root = parse(html or "")
                 chosen = articles(root)
-                outside = [None, *template_candidates(root)]  # the page itself
-                hosts += [host] * len(outside)
-                keys += outside
-                own += [None] * len(outside)
+                page = digest(text_of(root, chosen, set()))
+                found = [(None, page)]  # the page itself
+                found += [(key, page) for key in template_candidates(root)]
+                outside = len(found)
                 if chosen:
-                    inside = [(None, digest(text_of(root, chosen, set()))), *article_candidates(root, chosen)]
-                    hosts += [host] * len(inside)
-                    keys += [key for key, _ in inside]
-                    own += [article for _, article in inside]
-            arrays = [pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(own, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["host", "key", "article"])
-
-    found = pages.select("host", "html").mapInArrow(subtrees, "host string, key long, article long")
-    inside = F.col("article").isNotNull().alias("inside")
-    each = found.groupBy("host", "key", "article").agg(F.count("*").alias("copies"))
-    n = F.sum(F.when(F.col("article").isNull(), F.col("copies")).otherwise(1)).alias("n")
-    counts = stored(each.groupBy("host", "key", inside).agg(n), "subtrees")
-    sizes = counts.where(F.col("key").isNull()).select("host", "inside", F.col("n").alias("pages"))
+                    found += [(None, page), *article_candidates(root, chosen)]
+                hosts += [host] * len(found)
+                keys += [key for key, _ in found]
+                own += [text for _, text in found]
+                sides += [i >= outside for i in range(len(found))]
+            arrays = [pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(own, pa.int64()), pa.array(sides)]
+            yield pa.RecordBatch.from_arrays(arrays, ["host", "key", "text", "inside"])
+
+    found = pages.select("host", "html").mapInArrow(subtrees, "host string, key long, text long, inside boolean")
+    each = found.groupBy("host", "inside", "key", "text").agg(F.count("*").alias("copies"))
+    n = (F.count("*").alias("n"), F.sum("copies").alias("copies"))
+    counts = stored(each.groupBy("host", "inside", "key").agg(*n), "subtrees")
+    sizes = counts.where(F.col("key").isNull())
+    sizes = sizes.select("host", "inside", F.col("n").alias("pages"), F.col("copies").alias("rows"))
     least = F.when(F.col("inside"), LEAST_ARTICLES).otherwise(LEAST_PAGES)
-    repeated = counts.where(F.col("key").isNotNull() & (F.col("n") >= least)).join(sizes, ["host", "inside"])
-    repeated = repeated.where(F.col("n") >= LEAST_SHARE * F.col("pages"))
+    often = counts.where(F.col("key").isNotNull() & (F.col("copies") >= least)).join(sizes, ["host", "inside"])
+    shown = (F.col("n") >= least) & (F.col("n") >= LEAST_SHARE * F.col("pages"))
+    copied = ~F.col("inside") & (F.col("pages") == 1) & (F.col("copies") >= LEAST_SHARE * F.col("rows"))
+    often = stored(often.select("host", "key", shown.alias("shown"), copied.alias("copied")).where("shown or copied"), "often")
+    known = often.where("shown").select("key").distinct()
+    repeated = often.where("shown").select("host", "key")
+    repeated = repeated.union(often.where("copied and not shown").join(known, "key", "left_semi").select("host", "key"))
     return repeated.groupBy("host").agg(F.collect_set("key").alias("template"))
 
 

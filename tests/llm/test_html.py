@@ -91,3 +91,14 @@ def test_template_inside_articles(spark):
     for i in [*range(8), *range(20, 24), 30]:
         assert got[i] == f"Intro\nown text {i} often\n{'' if i < 8 else shop}yes\n{i}"
     assert all(got[i] == f"same\n{i}" for i in range(40, 48))
+
+
+def test_copies_of_a_page_without_article_stay(spark):
+    menu = "<div><p>Menu of all</p></div>"
+    copy = f"{menu}<div><p>the content of a page</p></div>"
+    rows = [(1, "http://a.b/", copy)] * 5 + [(i, "http://a.b/", f"{menu}<div><p>page {i}</p></div>") for i in range(10, 16)]
+    rows += [(2, "http://small.b/", copy)] * 3 + [(3, None, "<div><p>only</p></div>")] * 4
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert got[1] == got[2] == "the content of a page" and got[3] == "only"
+    assert all(got[i] == f"page {i}" for i in range(10, 16))
