@@ -56,29 +56,32 @@ DROPPED = set(
     "script style noscript template head title nav footer aside form button select textarea input iframe object embed "
     "svg canvas audio video dialog menu menuitem map".split()
 )
-#: Words in class, id or role that mark such elements.
+#: Whole names in class or id that mark such elements, and roles that do; vaguer names are left to the counts per host.
 MARKS = set(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
-    "cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices popup promo related "
-    "search share sharing sidebar social sponsor sponsored subscribe toolbar widget contentinfo complementary".split()
+    "ad ads advert adverts advertisement advertisements advertising ad-banner ad-container ad-slot ad-unit adsbygoogle "
+    "breadcrumb breadcrumbs comment comments comment-form comment-list comments-area comments-section cookie-banner "
+    "cookie-bar cookie-consent cookie-notice disqus disqus_thread footer gdpr main-menu main-nav masthead nav navbar "
+    "navigation newsletter newsletter-signup page-footer popup-overlay related-articles related-links related-posts "
+    "share-bar share-buttons sharing-buttons sidebar site-footer site-header site-nav social-links social-share "
+    "sponsored top-nav".split()
 )
+ROLES = set("banner complementary contentinfo dialog alertdialog menu menubar navigation search toolbar".split())
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S,
 )
-_MARKED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
-_NAMES = re.compile(r"[a-z]+")
+_MARKED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 
 
 class Element:
-    __slots__ = ("tag", "marks", "parts", "parent", "key", "has_text")
+    __slots__ = ("tag", "marks", "parts", "parent", "key", "has_text", "dropped")
 
     def __init__(self, tag: str, marks: str, parent: Element | None) -> None:
         self.tag, self.marks, self.parent = tag, marks, parent
         self.parts: list[Element | str] = []
-        self.key, self.has_text = 0, False
+        self.key, self.has_text, self.dropped = 0, False, False
 
     def close(self) -> None:
         """Hash the finished subtree: tag, marks, texts and the hashes of its elements."""
@@ -94,25 +97,54 @@ class Element:
                 digest.update(b"\2" + part.key.to_bytes(8, "little", signed=True))
         self.key = int.from_bytes(digest.digest(), "little", signed=True)
 
-    def is_dropped(self) -> bool:
-        if self.tag in DROPPED:
-            return True
-        if self.tag == "header":
-            return not inside_article(self)
+    def is_marked(self) -> bool:
         if not self.marks or self.tag in ("html", "body", "main"):
             return False
-        return not MARKS.isdisjoint(_NAMES.findall(self.marks))
+        return any(m[5:] in ROLES if m.startswith("role=") else m in MARKS for m in self.marks.split())
 
     def is_article(self) -> bool:
-        return self.tag in ("article", "main") and not self.is_dropped()
+        return self.tag in ("article", "main") and not self.dropped
 
 
-def inside_article(element: Element | None) -> bool:
-    while element is not None:
-        if element.is_article():
-            return True
-        element = element.parent
-    return False
+def find_dropped(root: Element) -> None:
+    """Tell which elements of a finished tree never hold main text.
+
+    An element that holds an article is only dropped for its class, id or role if another
+    article stands outside all such elements, as the articles of a comment box do not.
+    """
+    order, stack = [], [(root, False, False)]
+    marked, hidden, inside = set(), set(), set()  # by id: marked itself, in such an element, in an article
+    while stack:
+        element, in_dropped, in_article = stack.pop()
+        order.append(element)
+        if element.is_marked():
+            marked.add(id(element))
+        if in_article:
+            inside.add(id(element))
+        if in_dropped or id(element) in marked or element.tag in DROPPED or (element.tag == "header" and not in_article):
+            in_dropped = True
+            hidden.add(id(element))
+        in_article |= element.tag in ("article", "main") and id(element) not in marked
+        stack += [(p, in_dropped, in_article) for p in element.parts if not isinstance(p, str)]
+    holders, free = set(), False
+    for element in reversed(order):
+        if element.tag in DROPPED:
+            continue
+        holds = id(element) in holders
+        if element.tag in ("article", "main") and id(element) not in marked and element.has_text:
+            free |= not holds and id(element) not in hidden
+            holds = True
+        if holds:
+            holders.add(id(element))
+            if element.parent is not None:
+                holders.add(id(element.parent))
+    for element in order:
+        if element.tag in DROPPED:
+            element.dropped = True
+        elif element.tag == "header":
+            element.dropped = id(element) not in inside
+        if id(element) in marked and not element.dropped:
+            element.dropped = free or id(element) not in holders
 
 
 def parse(html: str) -> Element:
@@ -172,7 +204,7 @@ def parse(html: str) -> Element:
             names, stops = ENDS[tag]
             while (element := nearest(names, stops)) is not None:
                 end(element)
-        marks = " ".join(m.strip("\"'").lower() for m in _MARKED.findall(rest)) if rest else ""
+        marks = " ".join(names_of(*m) for m in _MARKED.findall(rest)) if rest else ""
         element = Element(tag, marks, top)
         top.parts.append(element)
         if tag in VOID:
@@ -192,9 +224,16 @@ def parse(html: str) -> Element:
     while top is not root:
         end(top)
     root.close()
+    find_dropped(root)
     return root
 
 
+def names_of(attribute: str, value: str) -> str:
+    """The names in a class, id or role in lower case; roles are told apart."""
+    names = value.strip("\"'").lower().split()
+    return " ".join(f"role={n}" for n in names) if attribute.lower() == "role" else " ".join(names)
+
+
 def template_candidates(root: Element) -> set[int]:
     """Hashes of the subtrees with text that lie outside articles and hold none."""
     found, stack = set(), [root]
@@ -237,7 +276,7 @@ def article_candidates(root: Element, chosen: list[Element]) -> set[tuple[int, i
     stack = [(element, 0) for element in chosen]
     while stack:
         element, own = stack.pop()
-        if element.is_dropped():
+        if element.dropped:
             continue
         if element.is_article():
             own = digest(text_of(root, [element], set()))
@@ -252,7 +291,7 @@ def articles(root: Element) -> list[Element]:
     found, stack = [], [root]
     while stack:
         element = stack.pop()
-        if element.is_dropped() or not element.has_text:
+        if element.dropped or not element.has_text:
             continue
         if element.is_article():
             found.append(element)
@@ -294,7 +333,7 @@ def text_of(root: Element, chosen: list[Element], template: set[int]) -> str:
                 flush()
             elif isinstance(part, str):
                 line.append(part)
-            elif part.is_dropped() or recurs(part):
+            elif part.dropped or recurs(part):
                 line.append(" ")
             else:
                 if part.tag in BLOCKS:

@@ -102,3 +102,20 @@ def test_copies_of_a_page_without_article_stay(spark):
     got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
     assert got[1] == got[2] == "the content of a page" and got[3] == "only"
     assert all(got[i] == f"page {i}" for i in range(10, 16))
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<div class='layout no-sidebar'><p>t</p></div>", "t"),
+        ("<div class=has-sidebar><article>t</article></div>", "t"),
+        ("<div class='layout sidebar'><article>t</article></div>", "t"),
+        ("<main><h1>H</h1><div class='layout sidebar'><article>t</article></div></main>", "H\nt"),
+        ("<article>a<section class=ad-hoc>b</section><section id=search-methods>c</section><p class=notice>d</p></article>", "a\nb\nc\nd"),
+        ("<article>a</article><div class=sidebar><article>b</article></div>", "a"),
+        ("<main><article>a</article><div class=comments><article>b</article></div></main>", "a"),
+        ("<article>a<div class='x Comments'>b</div><div role='Navigation'>c</div></article>", "a"),
+    ],
+)
+def test_whole_names_and_wrappers(page, text):
+    assert html.main_text(page, set()) == text
