@@ -11,6 +11,8 @@ from tablewright.plans.registry import table
 
 #: A language is taken as found when the runner-up needs at least this share more phrases.
 LEAST_SCORE = 0.02
+#: Two documents are near duplicates from this similarity on, in percent.
+NEAR_PERCENT = 80
 END_ID = 1
 
 #: The stages hold language models learned here and token ids, which SQL cannot express.
@@ -38,7 +40,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return neardup.drop_near_duplicates(docs)
+    return neardup.drop_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

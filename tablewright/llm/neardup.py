@@ -4,7 +4,8 @@ A document's set holds its distinct five-word shingles.  One hash function deals
 shingles to bins; the smallest of each bin is its value, and an empty bin takes the
 value of the bin that comes first in a fixed random order of its own.  Bands of six
 bins make 32 buckets per set.  With a similarity of 0.85 two sets share no bucket
-once in 4 million pairs.
+once in 4 million pairs.  For lower similarities there are 48 bands of five or more:
+at 0.8 two sets share no bucket once in 190 million pairs.
 
 Texts of one set form a class, and only classes are compared.  In each bucket all
 members are compared with one centre, the member that meets most others over all
@@ -29,7 +30,9 @@ from tablewright.llm.common import stored, values_of
 
 SHINGLE_WORDS = 5
 BANDS, BAND_ROWS = 32, 6
-BINS = BANDS * BAND_ROWS
+#: Below 85 percent: the fewest bands, and the share of pairs at the limit that may share no bucket.
+LOW_BANDS, LOW_BAND_ROWS = 48, 5
+MISSED = 3e-7
 #: Members per block of a comparison, and columns of its bit matrix at a time.
 BLOCK_ROWS = 256
 BLOCK_COLUMNS = 8192
@@ -97,42 +100,52 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(found)
 
 
+def bands_for(percent: int) -> tuple[int, int]:
+    """Bands and bins of each band that find pairs of ``percent`` and more."""
+    if percent >= 85:
+        return BANDS, BAND_ROWS
+    shared = (max(percent, 1) / 100) ** LOW_BAND_ROWS
+    return max(LOW_BANDS, int(np.ceil(np.log(MISSED) / np.log1p(-shared)))), LOW_BAND_ROWS
+
+
 @lru_cache(maxsize=1)
-def donors() -> tuple[np.ndarray, np.ndarray]:
-    """For each bin a random order of all bins, and the place of each bin in that order."""
-    order = np.argsort(np.random.default_rng(7).random((BINS, BINS)), axis=1)
+def donors(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``n`` bins a random order of all bins, and the place of each bin in that order."""
+    order = np.argsort(np.random.default_rng(7).random((n, n)), axis=1)
     return order, np.argsort(order, axis=1)
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
+def band_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
     """One bucket key (int64) per band of a non-empty set."""
-    bins = ((hashes >> np.uint64(40)) * np.uint64(BINS) >> np.uint64(24)).astype(np.int64)
+    n = bands * rows
+    bins = ((hashes >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
     first = np.flatnonzero(np.diff(bins, prepend=-1))
-    filled, values = bins[first], np.zeros(BINS, np.uint64)
+    filled, values = bins[first], np.zeros(n, np.uint64)
     values[filled] = hashes[first]
-    if len(filled) < BINS:
-        empty = np.setdiff1d(np.arange(BINS), filled, assume_unique=True)
-        order, places = donors()
+    if len(filled) < n:
+        empty = np.setdiff1d(np.arange(n), filled, assume_unique=True)
+        order, places = donors(n)
         if len(filled) < 48:
             values[empty] = values[filled[np.argmin(places[np.ix_(empty, filled)], axis=1)]]
         else:
-            has, attempt, open_bins = np.zeros(BINS, bool), 0, empty
+            has, attempt, open_bins = np.zeros(n, bool), 0, empty
             has[filled] = True
             while len(open_bins):
                 donor = order[open_bins, attempt]
                 ok = has[donor]
                 values[open_bins[ok]] = values[donor[ok]]
                 open_bins, attempt = open_bins[~ok], attempt + 1
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for row in values.reshape(BANDS, BAND_ROWS).T:
+    keys = np.arange(1, bands + 1, dtype=np.uint64)
+    for row in values.reshape(bands, rows).T:
         keys = mix(keys * _BASE + row)
     return keys.view(np.int64)
 
 
-def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
+def signatures(docs: DataFrame, key: str, text: str, percent: int = 85) -> DataFrame:
     """``id, text_hash, n, s1, s2, bands`` per row; s1 and s2 name the set and are null for an empty one."""
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
+    shape = bands_for(percent)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,7 +157,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                     names = np.frombuffer(blake2b(found, digest_size=16).digest(), np.int64)
                     s1.append(int(names[0]))
                     s2.append(int(names[1]))
-                    bands.append(band_keys(found))
+                    bands.append(band_keys(found, *shape))
                 else:
                     s1.append(None)
                     s2.append(None)
@@ -273,7 +286,7 @@ def group_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "tex
     key.  Repeated rows have one set and so one component.  Other columns are ignored;
     an empty table stays empty.
     """
-    signed = stored(signatures(docs, key, text), "signatures")
+    signed = stored(signatures(docs, key, text, percent), "signatures")
     known = signed.where(F.col("s1").isNotNull())
     classes = stored(
         known.groupBy("s1", "s2")

@@ -127,3 +127,19 @@ def test_curriculum_order(spark):
     due = [r["due"] for r in mixing.training_order(placed).collect()]
     assert due == sorted(due) and 0 <= due[0] and due[-1] <= 1
     assert placed.agg(F.sum("taken")).first()[0] == 1000
+
+
+def test_near_duplicates_from_80_percent(spark):
+    rows = []
+    for group in range(30):
+        words = [f"w{group}x{i}" for i in range(204)]
+        # One changed word changes 5 of 200 shingles: 0.905 for two of them, 0.818 for four, 0.778 for five.
+        for n in (0, 4, 5) if group % 2 else (0, 4):
+            copy = list(words)
+            for k in range(n):
+                copy[20 + 40 * k if n == 4 else 10 + 35 * k] = f"other{group}n{n}k{k}"
+            rows.append((len(rows), " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = sorted({component for _, _, component in brute_force(rows, 80)})
+    assert wanted != sorted({component for _, _, component in brute_force(rows)})
+    assert sorted(r["doc_id"] for r in corpus_pipeline.keep_one_of_each(spark, df, SF).collect()) == wanted
