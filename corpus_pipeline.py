@@ -9,8 +9,6 @@ from tablewright.llm import language, mixing, neardup, packing, quality
 from tablewright.llm.common import count_words, stored, tokenizer_file
 from tablewright.plans.registry import table
 
-#: A language is taken as found when the runner-up needs at least this share more phrases.
-LEAST_SCORE = 0.02
 #: Two documents are near duplicates from this similarity on, in percent.
 NEAR_PERCENT = 80
 END_ID = 1
@@ -31,11 +29,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones teach; texts without letters or between languages go."""
+    """Documents in a language that the labelled ones teach; texts without letters go.
+
+    A text in two languages or between close ones stays with the better of them.  With a
+    score of 0 no language is ahead, as for a text whose script none of them has, and it goes.
+    """
     samples = language.learn(docs.select("doc_id", "text", "lang"))
     found = language.identify(whole_rows(docs).withColumn("text", F.col("row.text")), samples)
-    sure = (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)
-    return found.where(sure).select("row.*")
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") > 0)).select("row.*")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

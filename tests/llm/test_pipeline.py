@@ -1,6 +1,7 @@
 """The pipeline against brute force, stage by stage, and over odd rows."""
 
 import collections
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,3 +144,15 @@ def test_near_duplicates_from_80_percent(spark):
     wanted = sorted({component for _, _, component in brute_force(rows, 80)})
     assert wanted != sorted({component for _, _, component in brute_force(rows)})
     assert sorted(r["doc_id"] for r in corpus_pipeline.keep_one_of_each(spark, df, SF).collect()) == wanted
+
+
+def test_close_languages_stay(spark):
+    english, german = "the dog and the cat of the house", "der Hund und die Katze aus dem Haus"
+    rows = [(1, english, "en"), (2, german, "de"), (4, "12 -- !", "en"), (5, "\u4e2d\u6587 " * 60, None)]
+    rng = random.Random(3)
+    rows += [(10 + n, " ".join(rng.choices(english.split() + german.split(), k=150)), None) for n in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language.identify(df, language.learn(df)).where("doc_id >= 10").collect()
+    close = {r["doc_id"] for r in found if 0 < r["score"] < 0.02}
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_languages(spark, df, SF).collect()}
+    assert close and kept >= close and kept >= {1, 2} and not kept & {4, 5}
