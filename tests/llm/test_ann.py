@@ -90,3 +90,19 @@ def test_odd_rows(spark):
     }
     assert ann.nearest(df.limit(0), every()).count() == 0
     assert ann.nearest(df.where("vec_id = 4"), every()).columns == ["query_id", "rank", "vec_id", "score"]
+
+
+def test_recall_outside_the_sample():
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(300, 64))
+    unit = centres[rng.integers(0, 300, 30000)] + rng.normal(size=(30000, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    router, parts, probes = ann.fit(unit[:6000], len(unit))
+    assert parts == 64 and probes < 64
+    asked = unit[6000:7500]
+    near = asked @ unit.T
+    near[np.arange(len(asked)), np.arange(6000, 7500)] = -1
+    best = np.argpartition(-near, 4, axis=1)[:, :5]
+    place = np.argsort(np.argsort(-router.scores(asked), axis=1), axis=1)
+    home = np.argmax(router.scores(unit), axis=1)
+    assert (place[np.arange(len(asked))[:, None], home[best]] < probes).mean() >= 0.95
