@@ -44,7 +44,7 @@ def test_language(stages):
 
 def test_near_duplicates(stages):
     rows = [(r["doc_id"], r["text"]) for r in stages[2].collect()]
-    groups = {component for _, _, component in brute_force(rows)}
+    groups = {component for _, _, component in brute_force(rows, corpus_pipeline.NEAR_PERCENT)}
     assert sorted(r["doc_id"] for r in stages[3].collect()) == sorted(groups)
 
 
@@ -142,7 +142,7 @@ def test_near_duplicates_from_80_percent(spark):
             rows.append((len(rows), " ".join(copy)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     wanted = sorted({component for _, _, component in brute_force(rows, 80)})
-    assert wanted != sorted({component for _, _, component in brute_force(rows)})
+    assert wanted != sorted({component for _, _, component in brute_force(rows, corpus_pipeline.NEAR_PERCENT)})
     assert sorted(r["doc_id"] for r in corpus_pipeline.keep_one_of_each(spark, df, SF).collect()) == wanted
 
 
