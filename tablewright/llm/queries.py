@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import ann, chat, html, language, mixing, neardup, packing, quality, sharding, wavelet
+from tablewright.llm import (
+    ann,
+    centroids,
+    chat,
+    html,
+    language,
+    mixing,
+    neardup,
+    packing,
+    quality,
+    repair,
+    sharding,
+    wavelet,
+)
 from tablewright.llm.common import count_words, stored, tokenizer_file
 from tablewright.plans.registry import table
 from tablewright.session import scratch_path
@@ -216,6 +229,83 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with rows dropped, emptied, cut, repeated and given to the user, by a checksum of their key."""
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    rows = conversations.select(
+        "conv_id",
+        "turn",
+        F.coalesce("role", F.lit(" ")).alias("role"),
+        F.coalesce("text", F.lit(" ")).alias("text"),
+        (F.crc32(key.cast("binary")) % 20).alias("damage"),
+    ).where("damage != 0")
+    text = F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("damage") == 4, "user").otherwise(F.col("role"))
+    copies = F.when(F.col("damage") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies).alias("copy")).drop("copy")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every damaged conversation."""
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    report, pieces = repair.repair(damaged(conversations))
+    every = conversations.select("conv_id").distinct()
+    digest = repair.digests(pieces).withColumnRenamed("conv", "digest_conv")
+    found = every.join(report, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    found = found.join(digest, F.col("conv_id").eqNullSafe(F.col("digest_conv")), "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return found.select(
+        "conv_id",
+        *[F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
+CENTROIDS, DIMENSIONS, ROUNDS, SALT = 40, 64, 5, "2:"
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector after five rounds."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return centroids.cluster(vectors, "vec_id", "embedding", CENTROIDS, DIMENSIONS, ROUNDS, SALT)
+
+
+def _op13_sql() -> str:
+    """Plain distances to every centroid; one pair of tables per round."""
+    parts = [
+        f"""WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS p
+  FROM embeddings
+  WHERE len(embedding) = {DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {DIMENSIONS}),
+ranked AS (
+  SELECT p, row_number() OVER (ORDER BY sha256('{SALT}' || coalesce(CAST(vec_id AS VARCHAR), '')), p) - 1 AS c FROM kept),
+c0 AS MATERIALIZED (SELECT c, p FROM ranked WHERE c < {CENTROIDS})"""
+    ]
+    for n in range(ROUNDS + 1):
+        parts.append(
+            f"""a{n} AS MATERIALIZED (
+  SELECT r, any_value(vec_id) AS vec_id, any_value(k.p) AS p, min({{'d': CAST(list_sum(list_transform(list_zip(k.p, c{n}.p),
+         lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), 'c': c}}) AS best
+  FROM kept k, c{n} GROUP BY r)"""
+        )
+        if n < ROUNDS:
+            parts.append(
+                f"""s{n} AS (
+  SELECT c, i, sum(x) AS s, count(*) AS n
+  FROM (SELECT best.c AS c, generate_subscripts(p, 1) AS i, unnest(p) AS x FROM a{n}) GROUP BY c, i),
+m{n} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS p FROM s{n} GROUP BY c),
+c{n + 1} AS MATERIALIZED (SELECT c, coalesce(m{n}.p, c{n}.p) AS p FROM c{n} LEFT JOIN m{n} USING (c))"""
+            )
+    return ",\n".join(parts) + f"""
+SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, best.d AS distance,
+       CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(f.p, ',')) AS centroid_sha256
+FROM a{ROUNDS} JOIN c{ROUNDS} f ON f.c = best.c
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_quality_rules": op2_quality_rules,
@@ -227,10 +317,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shards": op8_shards,
     "op9_html_text": op9_html_text,
     "op10_nearest": op10_nearest,
+    "op12_repair": op12_repair,
+    "op13_centroids": op13_centroids,
 }
 
 SQL: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
     "op2_quality_rules": OP2_SQL,
     "op6_mix_sources": OP6_SQL,
+    "op13_centroids": _op13_sql(),
 }
