@@ -18,6 +18,7 @@ from tablewright.llm import (
     packing,
     quality,
     repair,
+    scoring,
     sharding,
     wavelet,
 )
@@ -229,6 +230,15 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
 
+def op11_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's likelihood under counts and under the recurrent model."""
+    documents = table(spark, sf_dir, "documents")
+    checksum = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    docs = documents.select("doc_id", (checksum % 7 == 2).alias("held_out"), "text")
+    found = scoring.score(docs, "text", ~F.col("held_out"))
+    return found.select("row.doc_id", "row.held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def damaged(conversations: DataFrame) -> DataFrame:
     """Conversations with rows dropped, emptied, cut, repeated and given to the user, by a checksum of their key."""
     key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
@@ -317,6 +327,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shards": op8_shards,
     "op9_html_text": op9_html_text,
     "op10_nearest": op10_nearest,
+    "op11_score": op11_score,
     "op12_repair": op12_repair,
     "op13_centroids": op13_centroids,
 }
