@@ -9,6 +9,7 @@ with an unusual blank is encoded whole.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -16,9 +17,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are encoded in groups of about this many bytes.
-GROUP_BYTES = 2 << 20
-#: A Python worker keeps the ids of so many pieces and parts (some 50 MB); further ones are encoded again.
-KEPT_PIECES = 120_000
+GROUP_BYTES = 3 << 20
+#: A Python worker keeps the ids of so many pieces of bounded length, in flat arrays of some 30 MB
+#: in all, and of so many words as a dictionary; further ones are encoded again.
+KEPT_PIECES = 600_000
+KEPT_IDS = 3_000_000
+LONGEST_KEPT = 48
+KEPT_PARTS = 100_000
 CALL_PIECES = 20_000
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -51,9 +56,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.drops_blanks = self.tokenizer.normalizer is not None
-        self.kept: dict[str, bytes] = {}
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Added tokens stand for themselves wherever they are in a text.
+        self.unsure = "|".join([_UNSURE, *[f"(?i:{a})" for a in added]])
+        self.kept = pa.array([], pa.string())
+        self.kept_ids, self.kept_ends = np.zeros(0, "<u4"), np.zeros(0, np.int64)
         self.parts: dict[str, bytes] = {}
         # Characters of a Latin-1 decoded UTF-8 string, byte by byte.
         self.shown = {b: c for b, c in byte_characters().items()}
@@ -61,7 +69,7 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) one after another, and the number of ids of each text; null is empty."""
         texts = pc.fill_null(texts, "")
-        unsure = np.flatnonzero(pc.match_substring_regex(texts, _UNSURE).to_numpy(zero_copy_only=False))
+        unsure = np.flatnonzero(pc.match_substring_regex(texts, self.unsure).to_numpy(zero_copy_only=False))
         if len(unsure) == 0:
             return self._encode_pieces(texts)
         mask = np.zeros(len(texts), bool)
@@ -80,17 +88,15 @@ class Encoder:
         cut = pc.ascii_split_whitespace(texts) if self.drops_blanks else pc.split_pattern(texts, " ")
         pieces_per_text = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = cut.flatten().dictionary_encode()
-        pieces, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        pieces, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         starts = np.cumsum(pieces_per_text) - pieces_per_text
         if not self.drops_blanks:
             # The first piece of a text has no space before it.
             first = starts[pieces_per_text > 0]
             own, own_codes = np.unique(codes[first], return_inverse=True)
             codes[first] = own_codes + len(pieces)
-            pieces = [" " + p for p in pieces] + [pieces[i] for i in own.tolist()]
-        known = self._ids_of(pieces)
-        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        table, places = np.frombuffer(b"".join(known), "<u4"), np.cumsum(lengths) - lengths
+            pieces = pa.concat_arrays([pc.binary_join_element_wise("", pieces, " "), pieces.take(pa.array(own))])
+        table, places, lengths = self._ids_of(pieces)
         per_piece = lengths[codes]
         ends = np.cumsum(per_piece)
         total = int(ends[-1]) if len(ends) else 0
@@ -99,12 +105,35 @@ class Encoder:
         sums = np.concatenate([[0], ends])
         return ids, sums[starts + pieces_per_text] - sums[starts]
 
-    def _ids_of(self, pieces: list[str]) -> list[bytes]:
-        known = [self.kept.get(p) for p in pieces]
-        missing = [i for i, ids in enumerate(known) if ids is None]
-        hard = []
-        for i in missing:
-            piece = pieces[i]
+    def _ids_of(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A table of ids, and where those of each piece start there and how many they are."""
+        found = pc.fill_null(pc.index_in(pieces, value_set=self.kept), -1).to_numpy(zero_copy_only=False)
+        missing = np.flatnonzero(found < 0)
+        new = pieces.take(pa.array(missing))
+        encoded = self._encoded(new.to_pylist())
+        new_lengths = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+        new_ids = np.frombuffer(b"".join(encoded), "<u4")
+        table = np.concatenate([self.kept_ids, new_ids])
+        ends = np.concatenate([self.kept_ends, len(self.kept_ids) + np.cumsum(new_lengths)])
+        place = found.astype(np.int64)
+        place[missing] = len(self.kept) + np.arange(len(missing))
+        begins = np.concatenate([[0], ends])
+        self._keep(new, new_ids, new_lengths)
+        return table, begins[place], begins[place + 1] - begins[place]
+
+    def _keep(self, pieces: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
+        room, id_room = KEPT_PIECES - len(self.kept), KEPT_IDS - len(self.kept_ids)
+        short = pc.less_equal(pc.binary_length(pieces), LONGEST_KEPT).to_numpy(zero_copy_only=False)
+        short &= (np.cumsum(short) <= room) & (np.cumsum(lengths * short) <= id_room)
+        if short.any():
+            self.kept = pa.concat_arrays([self.kept, pieces.filter(pa.array(short))])
+            self.kept_ids = np.concatenate([self.kept_ids, ids[np.repeat(short, lengths)]])
+            self.kept_ends = np.concatenate([self.kept_ends, (self.kept_ends[-1:].sum()) + np.cumsum(lengths[short])])
+
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece as bytes."""
+        known, hard = [b""] * len(pieces), []
+        for i, piece in enumerate(pieces):
             if _PLAIN.fullmatch(piece):
                 known[i] = self._plain(piece)
             else:
@@ -116,8 +145,6 @@ class Encoder:
             bounds = (4 * np.searchsorted(words, np.arange(len(some) + 1))).tolist()
             for place, i in enumerate(some):
                 known[i] = raw[bounds[place] : bounds[place + 1]]
-        for i in missing[: max(0, KEPT_PIECES - len(self.kept))]:
-            self.kept[pieces[i]] = known[i]
         return known
 
     def _plain(self, piece: str) -> bytes:
@@ -125,14 +152,15 @@ class Encoder:
         if self.drops_blanks:
             piece = piece.lower()
         found = []
-        for part in _PART.findall(piece):
+        for part in (piece,) if piece.isalpha() else _PART.findall(piece):
             if self.drops_blanks and part == "\n":
                 continue
             ids = self.parts.get(part)
             if ids is None:
-                shown = part.encode().decode("latin-1").translate(self.shown)
-                ids = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(shown)])
-                if len(self.parts) < KEPT_PIECES:
+                plain = part.isascii() and part.isalpha()
+                shown = part if plain else part.encode().decode("latin-1").translate(self.shown)
+                ids = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+                if len(self.parts) < KEPT_PARTS and len(part) <= LONGEST_KEPT:
                     self.parts[part] = ids
             found.append(ids)
         return b"".join(found)

@@ -20,14 +20,13 @@ ODD = [
     None, "", " ", "\n", "a", " a", "a ", "a  b", "a\n\nb c", " \n x", "don't we'll 'so", "Über Straße, Ça!", "x\t y",
     "a b c", "é ́x", "İstanbul ΣΑΣ ß", "中文 текст 123 4,5", "<|endoftext|> <|startoftext|>", "end. \nNew",
     "a.\nB c.\nD", "\x1c \x1d\x85 z", "word-word (x) [y] {z} ~`", "ÿÿ ﬁ ǅ", "_a_ a_b", "A" * 5000, "x " * 3000, "😀 ok",
+    "a <|endoftext|> b", "<|endoftext|>", "x<|EndOfText|>y <|startoftext|>. z", "<|endoftext |> <|",
 ]
 
 
 @lru_cache
 def loaded(path):
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 def library(path, texts):
@@ -45,6 +44,18 @@ def test_odd_texts_equal_library(path):
     assert ours(path, ODD) == library(path, ODD)
 
 
+def test_pieces_beyond_what_is_kept(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 5)
+    monkeypatch.setattr(tokens, "KEPT_PARTS", 2)
+    monkeypatch.setattr(tokens, "LONGEST_KEPT", 6)
+    for path in (WORD, BYTE):
+        model = tokens.Encoder(path)
+        for low in range(0, len(ODD), 4):
+            ids, counts = model.encode(pa.array(ODD[low : low + 4], pa.string()))
+            assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == library(path, ODD[low : low + 4])
+        assert 0 < len(model.kept) <= 5 and len(model.kept_ids) == model.kept_ends[-1]
+
+
 ALPHABET = st.sampled_from(list("aB\n '’.,!\tßÉİ́ ​中1_|<") + [" ", " ", " "])
 
 
