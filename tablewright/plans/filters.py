@@ -160,6 +160,18 @@ _sql_query(
        FROM customer WHERE c_name LIKE 'Customer%'""",
 )
 
+_sql_query(
+    "f7_sql_with_nested",
+    "orders",
+    """WITH big AS (SELECT * FROM df WHERE o_totalprice > 200000),
+          orders_of AS (
+            WITH big AS (SELECT o_custkey, count(*) AS n FROM big GROUP BY o_custkey)
+            SELECT * FROM big WHERE n > 3)
+       SELECT b.o_orderkey, b.o_custkey, o.n, (SELECT max(n) FROM orders_of) AS most
+       FROM big b JOIN orders_of o ON b.o_custkey = o.o_custkey
+       WHERE b.o_orderpriority IN (WITH df AS (SELECT '1-URGENT' AS p) SELECT p FROM df)""",
+)
+
 CHAIN = [
     ops.DateRange("o_orderdate", date(1996, 1, 1), date(1998, 12, 31)),
     ops.NumericRange("o_totalprice", 50000.0, 400000.0),

@@ -1,13 +1,13 @@
 from datetime import date, datetime
 
 import pytest
-from pyspark.errors import PySparkException
+from pyspark.errors import ParseException, PySparkException
 from pyspark.sql import functions as F
 
 from tablewright import Dataset
 from tablewright.operators import columns, filters
 from tablewright.operators.sqltext import sql_select
-from tests.conftest import SF
+from tests.conftest import SF, rows
 
 
 def ids(df):
@@ -193,3 +193,69 @@ def test_sql_text_reads_the_table_only(spark):
 def test_summary_of_a_chain_with_sql_text(spark):
     got = filters.filter_summary(spark.range(10), [filters.NumericRange("id", 0, 5)], "SELECT * FROM df WHERE id % 2 = 0")
     assert tuple(got.first()) == (10, 3, 30.0)
+
+
+@pytest.fixture
+def secret(spark, tmp_path):
+    spark.createDataFrame([(1, "hidden")], "id int, word string").createOrReplaceTempView("secret")
+    path = f"{tmp_path}/file"
+    spark.table("secret").write.parquet(path)
+    yield path
+    spark.catalog.dropTempView("secret")
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "with secret as (select * from secret) select * from secret",
+        "select '== Analyzed Logical Plan ==' as t, word from parquet.`{path}`",
+        "with a as (select 1 as x), b as (select * from secret) select * from a",
+        "with b as (select * from a), a as (select * from df) select * from b",
+        "select * from (with inner_one as (select * from df) select * from inner_one) q, inner_one",
+        "select id, (select max(word) from secret) as w from df",
+        "select id from df where exists (select 1 from secret s where s.id = df.id)",
+        "select id from df where id in (with df as (select * from secret) select id from df)",
+        "select * from df, lateral (select word from secret)",
+        "select * from identifier('sec' || 'ret')",
+        "select identifier('reflect')('java.lang.System', 'getProperty', 'user.dir') from df",
+        "select reflect('java.lang.System', 'getProperty', 'user.dir') as d from df",
+        "select java_method('java.lang.System', 'getProperty', 'user.dir') as d from df",
+        "select transform(id) using 'cat' as (x) from df",
+        "select * from df version as of 3",
+        "select * from spark_catalog.default.df",
+        "table secret",
+        "with recursive t(n) as (select 1 union all select n + 1 from t, secret where n < 3) select * from t",
+    ],
+)
+def test_sql_reads_df_only(spark, quirks, secret, text):
+    with pytest.raises((ValueError, ParseException)):
+        sql_select(quirks, text.format(path=secret))
+
+
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("""select "'UnresolvedRelation [zz]" as t, id from df where id = 1""", [("'UnresolvedRelation [zz]", 1)]),
+        ("select '== Analyzed Logical Plan ==' as t from df where id < 2", [("== Analyzed Logical Plan ==",)]),
+        ("with secret as (select id + 1 as id from df) select * from secret where id = 3", [(3,)]),
+        ("with df as (select id from df where id > 3) select * from df", [(4,), (5,)]),
+        ("with a as (select id from df), b as (with a as (select id from a where id = 2) select * from a) select * from b", [(2,)]),
+        ("with A as (select id from DF) select count(*) as n from a", [(5,)]),
+        ("select id from df where id in (with a as (select max(id) as m from df) select m from a)", [(5,)]),
+        ("with recursive t(n) as (select 1 union all select n + 1 from t where n < 3) select n from t", [(1,), (2,), (3,)]),
+        ("select k, n from (select k, count(*) as n from df group by k having count(*) > 1) order by k", [("a", 2), ("b", 2)]),
+        ("select id, v from df lateral view explode(array(1, 2)) e as v where id = 1", [(1, 1), (1, 2)]),
+        ("select d.id from df d join (values (2), (3)) v(id) on d.id = v.id", [(2,), (3,)]),
+        ("select '{\"a\": 1}' as j, id from df where id = 5", [('{"a": 1}', 5)]),
+    ],
+)
+def test_sql_scopes_and_texts(quirks, secret, text, wanted):
+    assert rows(sql_select(quirks, text)) == wanted
+
+
+def test_sql_leaves_a_view_called_df_alone(spark, quirks):
+    spark.range(3).createOrReplaceTempView("df")
+    result = sql_select(quirks, "select id from df where id > 3")
+    assert spark.table("df").count() == 3 and rows(result) == [(4,), (5,)]
+    assert [t.name for t in spark.catalog.listTables(pattern="df*")] == ["df"]
+    spark.catalog.dropTempView("df")
