@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.columns import ref
+from tablewright.session import scratch_path
 
 SMALL_ROWS = 100_000
 SMALL_ROW_TEXT = 640  # bytes; with SMALL_ROWS this keeps a small table below 64 MB of text
@@ -41,6 +42,16 @@ def broadcast_rows(df: DataFrame, rows: list[Row]) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once: a few rows as a local table, others written to the shared folder."""
+    rows = small_rows(df)
+    if rows is not None:
+        return df.sparkSession.createDataFrame(rows, df.schema)
+    path = scratch_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def lookup_join(
     big: DataFrame,
     derived: DataFrame,

@@ -7,8 +7,10 @@ is fine for a counted, small table.  Beyond it:
   the range, one scan counts exactly what lies below, in and on its ends, and
   only when few values are left do they meet in one task.  The driver holds two
   numbers per rank, nothing is shuffled, and the sample never decides a result.
-* groups count their values in buckets first.  The counts tell which bucket
-  holds a rank, and only the rows of those buckets are looked at again.
+* groups count their values in cells first.  The counts tell which cell holds a
+  rank.  A cell with few values is sorted in one task; one with many is cut again
+  around its ranks, by values that a sketch of its rows proposes, as often as it
+  takes.  Only rows of cells that hold a rank are looked at again.
 
 Either way equal values are counted, not moved, so a value that fills a third of
 the table costs no more than any other.
@@ -25,15 +27,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import missing, number, ref
-from tablewright.functions.lookup import lookup_join
+from tablewright.functions.lookup import lookup_join, settled
 from tablewright.functions.reports import statistics
 
 IN_TASK_ROWS = 100_000
 SAMPLE_ROWS = 50_000
 SAMPLE_SEED = 42
 SKETCH_ACCURACY = 10_000
-MAX_CELLS = 10_000
-CELL_ROWS = 1_000_000
+FIRST_CELLS = 256  # in which all groups are counted at once
+GRID = 256  # steps of the sketch that cuts one cell again
 
 
 def column_quantiles(
@@ -215,7 +217,7 @@ def quantile_table(
     total = narrow.count()
     if total <= limit:
         return _in_task(narrow, columns, probabilities, by)
-    found = _by_buckets(narrow, columns, probabilities, by, total)
+    found = _by_cells(narrow, columns, probabilities, by, total, max(limit, 1))
     names = F.explode(F.array(*[F.lit(c) for c in columns])).alias("column")
     groups = narrow.select(*[ref(k) for k in by]).distinct().select(*[ref(k) for k in by], names)
     joined = groups.join(found, [*by, "column"], "left")
@@ -240,55 +242,113 @@ def _in_task(narrow: DataFrame, columns: list[str], probabilities: list[float],
     )
 
 
-def _by_buckets(
-    narrow: DataFrame, columns: list[str], probabilities: list[float], by: list[str], total: int
+def _by_cells(
+    narrow: DataFrame, columns: list[str], probabilities: list[float], by: list[str], total: int, limit: int
 ) -> DataFrame:
     keys = [*by, "column"]
-    key_columns = [ref(k) for k in keys]
-    long = _with_cells(narrow, columns, by, total)
-
-    running = Window.partitionBy(*key_columns).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*key_columns)
-    cell_counts = long.groupBy(*key_columns, "cell").agg(F.count("*").alias("in_cell"))
-    target = (
-        cell_counts.withColumn("before", F.sum("in_cell").over(running) - F.col("in_cell"))
-        .withColumn("n", F.sum("in_cell").over(whole))
-        .withColumn("ranks", _needed_ranks(F.col("n"), probabilities))
-        .withColumn("ranks", _ranks_in(F.col("before"), F.col("before") + F.col("in_cell")))
-        .where(F.size("ranks") > 0)
-        .select(*key_columns, "cell", "before", "n", "ranks")
+    rows = _with_cells(narrow, columns, by, total, limit)
+    targets = settled(_first_targets(rows, keys, probabilities))
+    found = []
+    while True:
+        one_value = F.col("__low") == F.col("__high")
+        few = F.col("__in_cell") <= limit
+        ranked = [ref(k) for k in keys] + [F.col("__n"), F.explode("__ranks").alias("__rank")]
+        found.append(targets.where(one_value).select(*ranked, F.col("__low").alias("value")))
+        found.append(_sorted_cells(rows, targets.where(~one_value & few), keys))
+        open_cells = targets.where(~one_value & ~few)
+        if open_cells.isEmpty():
+            break
+        rows = _cut_again(rows, open_cells, keys)
+        targets = settled(_next_targets(rows, keys))
+    at = F.map_from_entries(F.collect_list(F.struct("__rank", "value")))
+    grouped = reduce(DataFrame.unionByName, found).groupBy(*[ref(k) for k in keys], "__n").agg(at.alias("__at"))
+    quantiles = F.array(*[_interpolated(F.col("__at"), F.col("__n"), p) for p in probabilities])
+    return grouped.select(*[ref(k) for k in keys], F.col("__n").alias("n"), quantiles.alias("quantiles"))
+
+
+_CELL = ["__parent", "__digit"]
+
+
+def _cell_counts(rows: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
+    """Size and ends of each cell; two numbers tell whether it holds one value only."""
+    ends = [F.count("*").alias("__in_cell"), F.min("value").alias("__low"), F.max("value").alias("__high")]
+    return rows.groupBy(*[ref(k) for k in keys], *_CELL, *carried).agg(*ends)
+
+
+def _placed(counts: DataFrame, keys: list[str], start: Column) -> DataFrame:
+    """Cells that hold a wanted rank, with the number of smaller values in their group."""
+    earlier = Window.partitionBy(*[ref(k) for k in keys], "__parent").orderBy("__digit")
+    running = F.sum("__in_cell").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
+    return (
+        counts.withColumn("__before", start + F.coalesce(running, F.lit(0)))
+        .withColumn("__ranks", _ranks_in(F.col("__before"), F.col("__before") + F.col("__in_cell")))
+        .where(F.size("__ranks") > 0)
+        .select(*[ref(k) for k in keys], *_CELL, "__before", "__in_cell", "__low", "__high", "__n", "__ranks")
+    )
+
+
+def _first_targets(rows: DataFrame, keys: list[str], probabilities: list[float]) -> DataFrame:
+    whole = Window.partitionBy(*[ref(k) for k in keys])
+    counts = _cell_counts(rows, keys, []).withColumn("__n", F.sum("__in_cell").over(whole))
+    return _placed(counts.withColumn("__ranks", _needed_ranks(F.col("__n"), probabilities)), keys, F.lit(0).cast("long"))
+
+
+def _next_targets(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return _placed(_cell_counts(rows, keys, ["__start", "__n", "__ranks"]), keys, F.col("__start"))
+
+
+def _cut_again(rows: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the cells, in smaller ones around the wanted ranks.
+
+    A value from the sketch is a cell of its own, so every cut makes all other cells smaller
+    than the one before, whatever the values look like.
+    """
+    names = [*keys, *_CELL]
+    grid = [i / GRID for i in range(GRID + 1)]
+    of_cells = lookup_join(rows.select(*[ref(k) for k in names], "value"), cells.select(*[ref(k) for k in names]), names)
+    sketches = of_cells.groupBy(*[ref(k) for k in names]).agg(F.percentile_approx("value", grid, 16 * GRID).alias("__grid"))
+    step = lambda r: F.floor((r - F.col("__before") + 0.5) / F.col("__in_cell") * GRID).cast("int")
+    around = F.flatten(F.transform("__ranks", lambda r: F.slice("__grid", F.greatest(step(r), F.lit(1)), 4)))
+    cuts = lookup_join(cells, sketches, names).select(
+        *[ref(k) for k in names], F.col("__before").alias("__start"), "__n", "__ranks", F.array_distinct(around).alias("__cuts")
     )
-    in_order = (
-        Window.partitionBy(*key_columns, "cell").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    below = F.size(F.filter("__cuts", lambda c: c < F.col("value")))
+    digit = 2 * below + F.array_contains("__cuts", F.col("value")).cast("int")
+    return lookup_join(rows.select(*[ref(k) for k in names], "value"), settled(cuts), names).select(
+        *[ref(k) for k in keys],
+        F.concat_ws(".", "__parent", F.col("__digit").cast("string")).alias("__parent"),
+        digit.alias("__digit"),
+        "__start",
+        "__n",
+        "__ranks",
+        "value",
     )
+
+
+def _sorted_cells(rows: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """The values at the ranks of cells that one task can sort."""
+    names = [*keys, *_CELL]
+    cell = [ref(k) for k in names]
+    in_order = Window.partitionBy(*cell).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     values = (
-        lookup_join(long, target, [*keys, "cell"])
-        .groupBy(*key_columns, "cell", "before", "n", "ranks", "value")
-        .agg(F.count("*").alias("copies"))
-        .withColumn("upto", F.col("before") + F.sum("copies").over(in_order))
-        .withColumn("ranks", _ranks_in(F.col("upto") - F.col("copies"), F.col("upto")))
-        .where(F.size("ranks") > 0)
-    )
-    return (
-        values.select(*key_columns, "n", "value", F.explode("ranks").alias("rank"))
-        .groupBy(*key_columns, "n")
-        .agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
-        .select(
-            *key_columns,
-            "n",
-            F.array(*[_interpolated(F.col("at"), F.col("n"), p) for p in probabilities]).alias("quantiles"),
-        )
+        lookup_join(rows.select(*cell, "value"), cells.select(*cell, "__before", "__n", "__ranks"), names)
+        .groupBy(*cell, "__before", "__n", "__ranks", "value")
+        .agg(F.count("*").alias("__copies"))
+        .withColumn("__upto", F.col("__before") + F.sum("__copies").over(in_order))
+        .withColumn("__ranks", _ranks_in(F.col("__upto") - F.col("__copies"), F.col("__upto")))
+        .where(F.size("__ranks") > 0)
     )
+    return values.select(*[ref(k) for k in keys], "__n", F.explode("__ranks").alias("__rank"), "value")
 
 
-def _with_cells(narrow: DataFrame, columns: list[str], by: list[str], total: int) -> DataFrame:
-    """Long form ``(*by, column, cell, value)``; cells cut each column into pieces of like size.
+def _with_cells(narrow: DataFrame, columns: list[str], by: list[str], total: int, limit: int) -> DataFrame:
+    """Long form ``(*by, column, __parent, __digit, value)``; cells cut each column into pieces of like size.
 
     The cuts come from a sample.  They only set how evenly the work is spread.
     """
-    cells = int(min(MAX_CELLS, max(64, total // CELL_ROWS)))
+    cells = min(FIRST_CELLS, max(64, total // limit))
     grid = [i / cells for i in range(cells + 1)]
-    sample = narrow.sample(min(1.0, 20 * max(cells, SAMPLE_ROWS // 20) / total), SAMPLE_SEED)
+    sample = narrow.sample(min(1.0, SAMPLE_ROWS / total), SAMPLE_SEED)
     proposed = statistics(sample, {c: F.percentile_approx(ref(c), grid, 2 * cells) for c in columns})
     inf = float("inf")
     cuts = [sorted({v for v in (proposed[c] or []) if abs(v) != inf}) or [0.0] for c in columns]
@@ -301,17 +361,17 @@ def _with_cells(narrow: DataFrame, columns: list[str], by: list[str], total: int
     cell = F.array(
         *[
             F.struct(
-                F.lit(c).alias("column"), F.col(f"__cell{i}").cast("int").alias("cell"), ref(c).alias("value")
+                F.lit(c).alias("column"), F.col(f"__cell{i}").cast("int").alias("__digit"), ref(c).alias("value")
             )
             for i, c in enumerate(columns)
         ]
     )
-    bucketed = bucketizer.transform(narrow).select(*[ref(k) for k in by], F.inline(cell))
+    bucketed = bucketizer.transform(narrow).select(*[ref(k) for k in by], F.lit("").alias("__parent"), F.inline(cell))
     return bucketed.where(F.col("value").isNotNull())
 
 
 def _ranks_in(start: Column, end: Column) -> Column:
-    return F.filter("ranks", lambda r: (r >= start) & (r < end))
+    return F.filter("__ranks", lambda r: (r >= start) & (r < end))
 
 
 def _position(n: Column, p: float) -> Column:

@@ -59,6 +59,42 @@ def test_grouped_quantiles_by_buckets(skewed, monkeypatch, lookup_limit):
         np.testing.assert_allclose(values, one.quantile(PROBABILITIES), rtol=1e-12)
 
 
+def test_no_task_sorts_more_than_the_limit(spark, monkeypatch, limit=40):
+    """Values over 600 orders of magnitude, so that one cut is not enough; half of the rows in one group."""
+    monkeypatch.setattr(quantiles, "FIRST_CELLS", 2)
+    monkeypatch.setattr(quantiles, "GRID", 8)
+    rng = np.random.default_rng(9)
+    n = 4000
+    x = np.sign(rng.normal(size=n)) * 10.0 ** rng.uniform(-300, 300, n)
+    x[:40], x[40:60], x[60:1300] = np.inf, -np.inf, 12.5
+    pdf = pd.DataFrame({"n": np.where(np.arange(n) % 2 == 0, "hot", [f"g{i % 5}" for i in range(n)]), "value": x})
+    pdf = pdf.sample(frac=1, random_state=1)
+    df = spark.createDataFrame(pdf.rename(columns={"value": "x"})).repartition(4)
+    largest, levels = [], []
+    plain_sort, plain_cut = quantiles._sorted_cells, quantiles._cut_again
+
+    def sorted_cells(rows, cells, keys):
+        joined = rows.join(cells.select(*keys, *quantiles._CELL), [*keys, *quantiles._CELL])
+        largest.extend(r["count"] for r in joined.groupBy(*keys, *quantiles._CELL).count().collect())
+        return plain_sort(rows, cells, keys)
+
+    monkeypatch.setattr(quantiles, "_sorted_cells", sorted_cells)
+    monkeypatch.setattr(quantiles, "_cut_again", lambda *a: levels.append(1) or plain_cut(*a))
+    shares = [0.0, 0.2, 0.5, 0.9, 1.0]
+    table = quantile_table(df.withColumnRenamed("n", "g"), ["x"], shares, ["g"], in_task_rows=limit)
+    got = {r["g"]: (r["n"], r["quantiles"]) for r in table.collect()}
+    assert max(largest, default=0) <= limit and len(levels) >= 2
+    for group, values in pdf.groupby("n")["value"]:
+        ordered = np.sort(values.to_numpy())
+        assert got[group][0] == len(ordered)
+        for p, value in zip(shares, got[group][1]):
+            place = p * (len(ordered) - 1)
+            low, high = ordered[int(np.floor(place))], ordered[int(np.ceil(place))]
+            part = place - np.floor(place)
+            wanted = low if part == 0 else (1 - part) * low + part * high
+            assert value == wanted or abs(value - wanted) <= 1e-12 * abs(wanted)
+
+
 def test_quantiles_of_awkward_columns(spark):
     inf = float("inf")
     df = spark.createDataFrame(
