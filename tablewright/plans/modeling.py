@@ -401,3 +401,37 @@ def forecast_days(spark, sf):
 @query("x1_forecast_by_key")
 def forecast_by_key(spark, sf):
     return series.forecast(table(spark, sf, "events"), "ts", "value", 14, by=["event_type"])
+
+
+@query("x1_forecast_rows")
+def forecast_rows(spark, sf):
+    """Single events with a season within the day, 14 days ahead."""
+    return series.forecast_rows(table(spark, sf, "events"), "ts", "value", 14, by=["event_type"])
+
+
+@query(
+    "x1_forecast_rows_fit",
+    """
+    SELECT event_type, count(DISTINCT ts) + 14 AS stamps, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_stamp,
+           strftime(max(ts) + INTERVAL 14 DAY, '%Y-%m-%d %H:%M:%S') AS last_stamp, CAST(0 AS BIGINT) AS misplaced,
+           true AS same_mean, true AS smaller_spread
+    FROM events GROUP BY event_type
+    """,
+)
+def forecast_rows_fit(spark, sf):
+    """Stamps of the estimates, and that they keep the mean of the single rows and explain some of their spread."""
+    events = table(spark, sf, "events").select("event_type", "ts", "value")
+    found = series.forecast_rows(events, "ts", "value", 14, by=["event_type"])
+    shape = found.groupBy("event_type").agg(
+        F.count("*").alias("stamps"),
+        F.date_format(F.min("ds"), "yyyy-MM-dd HH:mm:ss").alias("first_stamp"),
+        F.date_format(F.max("ds"), "yyyy-MM-dd HH:mm:ss").alias("last_stamp"),
+        F.count_if(~F.col("yhat").between(F.col("yhat_lower"), F.col("yhat_upper"))).alias("misplaced"),
+    )
+    both = events.join(found, (events["event_type"] == found["event_type"]) & (events["ts"] == found["ds"]))
+    gap = F.col("value") - F.col("yhat")
+    fit = both.groupBy(events["event_type"]).agg(
+        (F.abs(F.avg(gap)) < 0.01 * F.avg("value")).alias("same_mean"),
+        (F.avg(gap * gap) < F.var_pop("value")).alias("smaller_spread"),
+    )
+    return shape.join(fit, "event_type")

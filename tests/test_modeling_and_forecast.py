@@ -189,3 +189,55 @@ def test_boolean_gaps_are_filled(spark):
 
 def test_levels_are_in_value_order(spark):
     assert category_levels(spark.range(3, 12, 4), ["id"]) == {"id": ["3", "7", "11"]}
+
+
+def _dense(stamps, y, periods):
+    """The same model by a design matrix over all rows, each as often as it stands."""
+    at = stamps.to_numpy().astype("datetime64[us]").astype("int64") / 86_400e6
+    first, last = at.min(), at.max()
+    days, span, scale = np.unique(np.floor(at)), max(last - first, 1.0), np.abs(y).max()
+    spots = series._spots(days)
+    x = series._design(at, first, span, spots, len(np.unique(at)) > len(days))
+    target = y / scale
+    around = lambda beta: ((target - x @ beta) ** 2).mean()
+    beta, noise, size = series._solve(x.T @ x, x.T @ target, target.var(), len(spots), around)
+    ahead = np.concatenate([np.unique(at), last + np.arange(1, periods + 1)])
+    timed = len(np.unique(at)) > len(days)
+    yhat = series._design(ahead, first, span, spots, timed) @ beta
+    return yhat * scale, series._half_width(ahead, last, span, noise, size) * scale
+
+
+@pytest.fixture
+def hourly():
+    rng = np.random.default_rng(3)
+    at = pd.to_datetime("2023-01-01") + pd.to_timedelta(rng.integers(0, 40 * 24, 3000), unit="h")
+    hours = (at - at.min()).total_seconds().to_numpy() / 3600
+    y = 50 + 0.02 * hours + 9 * np.sin(2 * np.pi * hours / 24) + 4 * np.cos(2 * np.pi * hours / 168) + rng.normal(0, 1, len(at))
+    return pd.DataFrame({"at": at, "v": y})
+
+
+@pytest.mark.parametrize("per_part", [100_000, 50])
+def test_forecast_of_rows_equals_a_dense_solve(spark, hourly, monkeypatch, per_part):
+    monkeypatch.setattr(series, "STAMPS_PER_PART", per_part)
+    monkeypatch.setattr(series, "MERGED_AT_ONCE", 4)
+    df = spark.createDataFrame(hourly).withColumn("at", F.col("at").cast("timestamp_ntz")).repartition(3)
+    got = series.forecast_rows(df, "at", "v", 5).toPandas().sort_values("ds").reset_index(drop=True)
+    yhat, half = _dense(hourly["at"], hourly["v"].to_numpy(), 5)
+    assert len(got) == hourly["at"].nunique() + 5 and got["ds"].iloc[-1] == hourly["at"].max() + pd.Timedelta(days=5)
+    np.testing.assert_allclose(got["yhat"], yhat, rtol=1e-7)
+    np.testing.assert_allclose(got["yhat_upper"] - got["yhat"], half, rtol=1e-5)
+    noon, night = (got[got["ds"].dt.hour == h]["yhat"].mean() for h in (6, 18))
+    assert noon - night > 12  # the season within the day
+
+
+def test_forecast_of_rows_by_key_and_odd_rows(spark, hourly):
+    days = [(k, f"2024-01-{1 + d:02d}", float(d)) for k in ("a", None) for d in range(20)]
+    odd = [("b", "2024-01-05", 7.0), ("c", None, 1.0), ("c", "2024-01-01", None), ("z", "2024-01-01", 0.0)]
+    df = spark.createDataFrame(days + odd, "k string, day string, v double").withColumn("day", F.col("day").cast("date"))
+    got = series.forecast_rows(df, "day", "v", 3, by=["k"]).toPandas()
+    sizes = {k: len(v) for k, v in got.groupby("k", dropna=False)}
+    assert {("" if pd.isna(k) else k): n for k, n in sizes.items()} == {"a": 23, "": 23, "b": 4, "z": 4}
+    a = got[got["k"] == "a"].sort_values("ds")["yhat"].to_numpy()
+    assert abs(a[-1] - 22) < 1.5 and set(got["ds"].dt.hour) == {0}
+    assert series.forecast_rows(df.where("k = 'c'"), "day", "v", 3, by=["k"]).count() == 0
+    assert series.forecast_rows(df.where("k = 'c'"), "day", "v", 3).count() == 0
