@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import (
     check_names,
+    is_float,
     is_integer,
     is_nested,
     missing,
@@ -16,12 +17,14 @@ from tablewright.functions.columns import (
     present,
     ref,
 )
+from tablewright.functions.lookup import lookup_join, settled
 from tablewright.functions.quantiles import column_quantiles
 from tablewright.functions.reports import row_report, statistics
 from tablewright.functions.values import most_frequent
 
 STRATEGIES = ("mean", "median", "mode", "constant", "drop")
 COPIES_PER_TASK_ROW = 100_000
+_PRINT = ["__print_a", "__print_b"]
 
 
 def missing_summary(df: DataFrame) -> DataFrame:
@@ -132,27 +135,57 @@ def fill_constant(df: DataFrame, value: object) -> DataFrame:
     return df.withColumns(filled) if filled else df
 
 
-def duplicate_groups(df: DataFrame) -> DataFrame:
+def duplicate_groups(df: DataFrame, by_fingerprint: bool = False) -> DataFrame:
     """Every row that occurs more than once, with ``copies``.  Missing equals missing.
 
     Copies are counted before the shuffle, so a row repeated any number of times
-    stays cheap.
+    stays cheap.  ``by_fingerprint`` is for wide tables of mostly different rows: a
+    first scan shuffles 128-bit fingerprints only, and whole rows meet only where a
+    fingerprint occurs twice; there they decide.
     """
     check_names(df.columns, ["copies"])
-    return _repeated(df).withColumnRenamed("__copies", "copies")
+    return _repeated(df, by_fingerprint).withColumnRenamed("__copies", "copies")
 
 
-def _repeated(df: DataFrame) -> DataFrame:
-    counted = normalise_missing(df).groupBy(*[ref(c) for c in df.columns]).agg(F.count("*").alias("__copies"))
+def _repeated(df: DataFrame, by_fingerprint: bool = False) -> DataFrame:
+    marked = _marked(df) if by_fingerprint else None
+    rows = normalise_missing(df) if marked is None else marked.where("__again")
+    counted = rows.groupBy(*[ref(c) for c in df.columns]).agg(F.count("*").alias("__copies"))
     return counted.where("__copies > 1")
 
 
-def duplicate_count(df: DataFrame) -> DataFrame:
+def _fingerprint(df: DataFrame) -> list[Column]:
+    """Two hashes over all columns that agree wherever the rows do."""
+    # Zero has two signs, which compare as equal but hash apart.
+    whole = [ref(f.name) + F.lit(0.0).cast(f.dataType) if is_float(f.dataType) else ref(f.name) for f in df.schema.fields]
+    # A NULL leaves a hash as it was: where they stand is hashed, too.
+    gaps = [ref(f.name).isNull() for f in df.schema.fields]
+    return [F.xxhash64(*whole, *gaps), F.xxhash64(F.lit("second"), *gaps, *reversed(whole))]
+
+
+def _marked(df: DataFrame) -> DataFrame | None:
+    """The rows with ``__again``: whether their fingerprint occurs more than once.
+
+    None where whole rows are the better key: nested ones, or most rows repeated.
+    """
+    if any(is_nested(f.dataType) for f in df.schema.fields):
+        return None
+    plain = normalise_missing(df)
+    printed = plain.withColumns(dict(zip(_PRINT, _fingerprint(plain))))
+    counted = printed.groupBy(*_PRINT).agg(F.count("*").alias("__n")).where("__n > 1")
+    again = settled(counted)
+    if 2 * (again.agg(F.sum("__n")).first()[0] or 0) > df.count():
+        return None
+    joined = lookup_join(printed, again.select(*_PRINT, F.lit(True).alias("__again")), _PRINT, "left")
+    return joined.withColumn("__again", F.coalesce("__again", F.lit(False)))
+
+
+def duplicate_count(df: DataFrame, by_fingerprint: bool = False) -> DataFrame:
     """Number of rows that have at least one equal row, all members counted."""
-    return _repeated(df).agg(F.coalesce(F.sum("__copies"), F.lit(0)).cast("bigint").alias("duplicates"))
+    return _repeated(df, by_fingerprint).agg(F.coalesce(F.sum("__copies"), F.lit(0)).cast("bigint").alias("duplicates"))
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
+def duplicate_rows(df: DataFrame, by_fingerprint: bool = False) -> DataFrame:
     """All members of the duplicate groups.
 
     The copies of one row are written out in portions that are spread over the
@@ -164,7 +197,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
         F.lit(COPIES_PER_TASK_ROW).cast("bigint"), F.col("__copies") - F.col("__portion") * COPIES_PER_TASK_ROW
     )
     return (
-        _repeated(df)
+        _repeated(df, by_fingerprint)
         .withColumn("__portion", F.explode(F.sequence(F.lit(0).cast("bigint"), portions - 1)))
         .repartition(*names, "__portion")
         .withColumn("__member", F.explode(F.sequence(F.lit(1).cast("bigint"), portion)))
@@ -172,9 +205,14 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def drop_duplicates(df: DataFrame) -> DataFrame:
+def drop_duplicates(df: DataFrame, by_fingerprint: bool = False) -> DataFrame:
     """One row of each group of equal rows; as all columns agree, any will do.
 
-    Missing equals missing: NaN comes out as NULL.
+    Missing equals missing: NaN comes out as NULL.  ``by_fingerprint`` leaves rows whose
+    fingerprint occurs once where they are.
     """
-    return normalise_missing(df).dropDuplicates()
+    marked = _marked(df) if by_fingerprint else None
+    if marked is None:
+        return normalise_missing(df).dropDuplicates()
+    names = [ref(c) for c in df.columns]
+    return marked.where("NOT __again").select(*names).unionByName(marked.where("__again").select(*names).dropDuplicates())

@@ -132,6 +132,31 @@ def drop_duplicates(spark, sf):
     return ops.drop_duplicates(order_days(spark, sf))
 
 
+def line_copies(spark, sf):
+    """All columns of the lines, those of every fortieth order twice."""
+    lines = table(spark, sf, "lineitem").withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd"))
+    return lines.unionByName(lines.where("l_orderkey % 40 = 0"))
+
+
+COPIES_SQL = """
+WITH one AS (SELECT * REPLACE (strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate) FROM lineitem),
+     copied AS (SELECT * FROM one UNION ALL SELECT * FROM one WHERE l_orderkey % 40 = 0)
+"""
+
+
+@query(
+    "c7_duplicates_wide",
+    COPIES_SQL + "SELECT *, count(*) AS copies FROM copied GROUP BY ALL HAVING count(*) > 1",
+)
+def duplicates_wide(spark, sf):
+    return ops.duplicate_groups(line_copies(spark, sf), by_fingerprint=True)
+
+
+@query("c8_drop_duplicates_wide", COPIES_SQL + "SELECT DISTINCT * FROM copied")
+def drop_duplicates_wide(spark, sf):
+    return ops.drop_duplicates(line_copies(spark, sf), by_fingerprint=True)
+
+
 def _outlier_sql(source, column):
     return f"""
     SELECT '{column}' AS "column", count(*) FILTER (WHERE {column} < lo OR {column} > hi) AS num_outliers,

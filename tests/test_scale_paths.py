@@ -234,3 +234,37 @@ def test_several_statements_are_refused(spark):
     assert sql_select(spark.range(3), "SELECT * FROM df WHERE id > 0;").count() == 2
     with pytest.raises((ValueError, PySparkException)):
         sql_select(spark.range(3), "SELECT 1; DROP TABLE x")
+
+
+@pytest.mark.parametrize("collide", [False, True])
+@pytest.mark.parametrize("lookup_limit", [lookup.SMALL_ROWS, 0])
+def test_duplicates_by_fingerprint(spark, monkeypatch, collide, lookup_limit):
+    from tablewright.operators import cleaning
+
+    monkeypatch.setattr(lookup, "SMALL_ROWS", lookup_limit)
+    if collide:  # four fingerprints for all rows: whole rows have to decide
+        few = lambda df: [F.pmod(F.col("id"), F.lit(40)), F.lit(0).cast("long")]
+        monkeypatch.setattr(cleaning, "_fingerprint", few)
+    nan = float("nan")
+    plain = [(i, float(i), f"k{i}", None) for i in range(60)]
+    twice = [(100, 0.0, None, "x"), (100, -0.0, None, "x"), (101, nan, "a", None), (101, None, "a", None)] + [(102, 1.5, "b", "c")] * 9
+    apart = [(103, None, "a", "b"), (103, None, "b", "a"), (104, None, None, "a"), (104, None, "a", None)]
+    df = spark.createDataFrame(plain + twice + apart, "id long, x double, k string, l string").repartition(5)
+    assert rows(cleaning.duplicate_groups(df, True)) == rows(cleaning.duplicate_groups(df))
+    assert cleaning.duplicate_count(df, True).first()[0] == 13
+    assert rows(cleaning.duplicate_rows(df, True)) == rows(cleaning.duplicate_rows(df))
+    assert rows(cleaning.drop_duplicates(df, True)) == rows(cleaning.drop_duplicates(df)) and cleaning.drop_duplicates(df, True).count() == 67
+    mostly = df.where("id > 99")  # most rows are repeated
+    assert rows(cleaning.duplicate_groups(mostly, True)) == rows(cleaning.duplicate_groups(mostly))
+    assert cleaning.drop_duplicates(df.limit(0), True).count() == 0
+
+
+def test_fingerprints_keep_whole_rows_out_of_the_shuffle(spark, capsys):
+    from tablewright.operators import cleaning
+
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    capsys.readouterr()
+    cleaning.drop_duplicates(lines.unionByName(lines.limit(5)), True).explain("formatted")
+    text = capsys.readouterr().out
+    stays = text[: text.index("BroadcastHashJoin") if "BroadcastHashJoin" in text else 0]
+    assert "Union" in text and stays.count("Exchange hashpartitioning") == 0
