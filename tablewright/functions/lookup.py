@@ -28,15 +28,19 @@ def small_rows(df: DataFrame, limit: int | None = None) -> list[Row] | None:
     text than that arrives as NULL and makes the table count as not small.
     """
     limit = SMALL_ROWS if limit is None else limit
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
     whole = F.struct(*[ref(c) for c in df.columns])
-    if texts:
-        length = reduce(Column.__add__, [F.coalesce(F.octet_length(ref(c)), F.lit(0)).cast("long") for c in texts])
-        whole = F.when(length <= SMALL_ROW_TEXT, whole)
+    whole = F.when(little_text(df, df.columns), whole)
     rows = [r["row"] for r in df.select(whole.alias("row")).limit(limit + 1).collect()]
     return rows if len(rows) <= limit and all(r is not None for r in rows) else None
 
 
+def little_text(df: DataFrame, columns: list[str]) -> Column:
+    """Whether the texts of a row's ``columns`` have few enough bytes for a broadcast."""
+    kinds = (T.StringType, T.BinaryType)
+    sizes = [F.coalesce(F.octet_length(ref(c)), F.lit(0)).cast("long") for c in columns if isinstance(df.schema[c].dataType, kinds)]
+    return reduce(Column.__add__, sizes) <= SMALL_ROW_TEXT if sizes else F.lit(True)
+
+
 def broadcast_rows(df: DataFrame, rows: list[Row]) -> DataFrame:
     """A broadcast table of already counted rows with the schema of ``df``."""
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
@@ -94,7 +98,11 @@ def skewed_join(
 
 
 def _hot_keys(keyed: DataFrame, keys: list[str]) -> list[Row]:
-    """Keys with more than one ``HOT_SHARE``-th of the rows: fewer than ``HOT_SHARE``."""
+    """Keys with more than one ``HOT_SHARE``-th of the rows: fewer than ``HOT_SHARE``.
+
+    Keys of long texts are not among them; they shuffle like all others.
+    """
     total = keyed.count()
     counts = keyed.groupBy(*[ref(k) for k in keys]).agg(F.count("*").alias("__n"))
-    return counts.where(F.col("__n") * HOT_SHARE > total).select(*[ref(k) for k in keys]).collect()
+    hot = (F.col("__n") * HOT_SHARE > total) & little_text(keyed, keys)
+    return counts.where(hot).select(*[ref(k) for k in keys]).collect()

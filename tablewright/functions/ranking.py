@@ -66,5 +66,6 @@ def dense_codes(values: DataFrame, column: str, code: str, limit: int | None = N
     starts = F.broadcast(spark.createDataFrame(offsets, "__part long, __start long"))
     place = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
     numbered = stored.withColumn("__part", part).join(starts, "__part")
-    hot = stored.where(F.col("__copies") * lookup.HOT_SHARE > total).select(ref(column)).collect()
+    often = F.col("__copies") * lookup.HOT_SHARE > total
+    hot = stored.where(often & lookup.little_text(stored, [column])).select(ref(column)).collect()
     return DenseCodes(numbered.select(ref(column), (F.col("__start") + place).alias(code)), False, hot)

@@ -268,3 +268,13 @@ def test_fingerprints_keep_whole_rows_out_of_the_shuffle(spark, capsys):
     text = capsys.readouterr().out
     stays = text[: text.index("BroadcastHashJoin") if "BroadcastHashJoin" in text else 0]
     assert "Union" in text and stays.count("Exchange hashpartitioning") == 0
+
+
+def test_hot_keys_of_long_text_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "SMALL_ROWS", 0)
+    long_key = "k" * 5000
+    big = spark.createDataFrame([(long_key, i) for i in range(30)] + [("short", i) for i in range(30)] + [(None, 1)], "k string, v int")
+    derived = spark.createDataFrame([(long_key, 1), ("short", 2)], "k string, w int")
+    assert [r["k"] for r in lookup._hot_keys(big.where("k is not null"), ["k"])] == ["short"]
+    joined = lookup.lookup_join(big, derived, ["k"], "left")
+    assert {(r["w"], r["count"]) for r in joined.groupBy("w").count().collect()} == {(1, 30), (2, 30), (None, 1)}
