@@ -272,6 +272,77 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP12_SQL = r"""
+WITH RECURSIVE source AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+  FROM conversations),
+summed AS (
+  SELECT *, xor(4294967295::BIGINT, list_reduce(
+           list_concat([4294967295::BIGINT], list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT)),
+           lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                                    lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1))))) % 20 AS damage
+  FROM source),
+damaged AS (
+  SELECT conv_id, turn, CASE damage WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE damage WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM summed WHERE damage <> 0),
+ordered AS (
+  SELECT *, coalesce(CAST(conv_id AS VARCHAR), 'null') AS conv,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged),
+judged AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS fault,
+         lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1:1] AS pair
+  FROM ordered),
+counted AS (
+  SELECT conv, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+         count(*) FILTER (WHERE fault = 't') AS truncated,
+         count(*) FILTER (WHERE pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv),
+inserts(state, after, audit, lines) AS (
+  VALUES ('', '', '', []::VARCHAR[]), ('', 'u', 'I', ['user:']), ('', 'a', 'II', ['user:', 'assistant:']),
+         ('s', 's', '', []), ('s', 'u', 'I', ['user:']), ('s', 'a', 'II', ['user:', 'assistant:']),
+         ('u', 'u', '', []), ('u', 'a', 'I', ['assistant:']), ('u', 'u', 'II', ['assistant:', 'user:']),
+         ('a', 'a', '', []), ('a', 'u', 'I', ['user:']), ('a', 'a', 'II', ['user:', 'assistant:'])),
+paths AS (
+  SELECT conv, 0::BIGINT AS i, '' AS state, {'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]} AS best
+  FROM counted
+  UNION ALL
+  SELECT conv, i, state, min(best) AS best FROM (
+    SELECT conv, i, o.state AS state,
+           {'cost': cost + o.cost, 'audit': audit || o.audit,
+            'lines': CASE WHEN o.line IS NULL THEN lines ELSE list_append(lines, o.line) END} AS best
+    FROM (
+      SELECT p.conv, r.i, r.role, r.text, r.fault, t.after,
+             p.best.cost + 2 * length(t.audit) AS cost, p.best.audit || t.audit AS audit,
+             list_concat(p.best.lines, t.lines) AS lines,
+             CASE WHEN t.after = 'u' THEN 'assistant' ELSE 'user' END AS next_role
+      FROM paths p JOIN inserts t ON t.state = p.state JOIN judged r ON r.conv = p.conv AND r.i = p.i + 1) s,
+      LATERAL (SELECT unnest([
+        {'state': after, 'cost': 3::BIGINT, 'audit': 'D', 'line': NULL::VARCHAR, 'ok': true},
+        {'state': next_role[1:1], 'cost': 2::BIGINT + (fault = 't')::BIGINT, 'audit': 'R',
+         'line': next_role || ':' || text, 'ok': fault NOT IN ('b', 'd')},
+        {'state': role[1:1], 'cost': (fault = 't')::BIGINT, 'audit': 'K', 'line': role || ':' || text,
+         'ok': fault NOT IN ('b', 'd') AND (role[1:1] = next_role[1:1] OR (role[1:1] = 's' AND after = ''))}]) AS o) e
+    WHERE o.ok) GROUP BY conv, i, state),
+ends AS (
+  SELECT p.conv, min({'cost': p.best.cost + 2 * length(t.audit), 'audit': p.best.audit || t.audit,
+                      'lines': list_concat(p.best.lines, t.lines)}) AS best
+  FROM paths p JOIN counted c ON c.conv = p.conv AND c.n = p.i JOIN inserts t ON t.state = p.state
+  WHERE t.after IN ('', 'a') GROUP BY p.conv)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost,
+       coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e
+LEFT JOIN counted c ON c.conv = coalesce(CAST(e.conv_id AS VARCHAR), 'null')
+LEFT JOIN ends ON ends.conv = c.conv
+"""
+
+
 CENTROIDS, DIMENSIONS, ROUNDS, SALT = 40, 64, 5, "2:"
 
 
@@ -336,5 +407,6 @@ SQL: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
     "op2_quality_rules": OP2_SQL,
     "op6_mix_sources": OP6_SQL,
+    "op12_repair": OP12_SQL,
     "op13_centroids": _op13_sql(),
 }

@@ -12,6 +12,7 @@ import __spark_entry__ as entry
 import pytest
 from tablewright.llm import queries, repair
 from tests.conftest import SF
+from tests.oracle import difference, duck
 
 NEXT = {"": "u", "s": "u", "u": "a", "a": "u"}
 FULL = {"u": "user", "a": "assistant"}
@@ -137,6 +138,11 @@ def test_odd_rows_and_long_conversations(spark, tmp_path, monkeypatch, segment_r
     assert query_rows(spark, str(tmp_path)) == brute_force(damaged(rows), {r[0] for r in rows})
 
 
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
+def test_given_conversations_against_sql(spark, sf):
+    assert difference(entry.queries()["op12_repair"](spark, sf), duck(sf), entry.oracle_sql()["op12_repair"]) is None
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert query_rows(spark, str(tmp_path)) == {}
