@@ -23,7 +23,7 @@ _LEADING_COMMENTS = re.compile(r"\A(?:\s+|--[^\n]*(?:\n|\Z)|/\*.*?\*/)*", re.DOT
 #: up at run time, other versions of a table, rows piped through a program.
 _PLAIN_NODES = frozenset(
     """Aggregate CTERelationDef Deduplicate Distinct Except Filter Generate GlobalLimit Intersect Join LateralJoin
-    LocalLimit LocalRelation Offset OneRowRelation PipeOperator Pivot Project Repartition RepartitionByExpression
+    LimitAll LocalLimit LocalRelation Offset OneRowRelation PipeOperator Pivot Project Repartition RepartitionByExpression
     Sample Sort SubqueryAlias Tail Union UnresolvedHaving UnresolvedHint UnresolvedInlineTable UnresolvedOrdinal
     UnresolvedSubqueryColumnAliases UnresolvedTVFAliases UnresolvedTableValuedFunction Unpivot Window
     WithWindowDefinition""".split()

@@ -246,6 +246,10 @@ def test_sql_reads_df_only(spark, quirks, secret, text):
         ("select k, n from (select k, count(*) as n from df group by k having count(*) > 1) order by k", [("a", 2), ("b", 2)]),
         ("select id, v from df lateral view explode(array(1, 2)) e as v where id = 1", [(1, 1), (1, 2)]),
         ("select d.id from df d join (values (2), (3)) v(id) on d.id = v.id", [(2,), (3,)]),
+        ("select id from df where id > 3 limit all", [(4,), (5,)]),
+        ("select * from df |> where id > 3 |> select id |> order by id", [(4,), (5,)]),
+        ("select k, id from df group by grouping sets ((k), (id)) having k = 'a' or id = 1", [("a", None), (None, 1)]),
+        ("select id, v from df unpivot (v for n in (x, x as y)) where id = 1", [(1, 1.0), (1, 1.0)]),
         ("select '{\"a\": 1}' as j, id from df where id = 5", [('{"a": 1}', 5)]),
     ],
 )
