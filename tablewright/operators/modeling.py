@@ -6,9 +6,10 @@ import json
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import (
     Imputer,
+    ImputerModel,
     IndexToString,
     OneHotEncoder,
     SQLTransformer,
@@ -17,7 +18,7 @@ from pyspark.ml.feature import (
     VectorAssembler,
     VectorSlicer,
 )
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,10 +26,10 @@ from pyspark.sql import types as T
 from tablewright.functions.columns import is_boolean, is_datetime, is_nested, is_numeric, missing, number, present, ref
 from tablewright.functions.reports import statistics
 from tablewright.functions.values import most_frequent
+from tablewright.operators.boosting import BoostedTreesModel, boost
 from tablewright.operators.columns import epoch_nanos, epoch_nanos_sql
 from tablewright.operators.features import one_hot
 from tablewright.operators.metrics import classification_metrics, regression_metrics
-from tablewright.session import ensure_checkpoint_dir
 
 # Names of the algorithms and the parameters they are trained with.
 ALGORITHMS = ("Linear Regression", "Logistic Regression", "Random Forest", "XGBoost")
@@ -39,8 +40,8 @@ SEED = 42
 TEST_SIZE = 0.2
 FEW_VALUES = 10
 
-# Shape of the trees: depth and bins as in Spark's own defaults; classes fitted at a time.
-TREES = {"max_depth": 5, "max_bins": 32, "parallelism": 4}
+# Shape of the trees: of a forest as in Spark's own defaults, of boosted trees as usual for them.
+TREES = {"Random Forest": {"max_depth": 5, "max_bins": 32}, "XGBoost": {"max_depth": 6, "max_bins": 256}}
 
 SPLIT_STEPS = 10_000
 _FIRST_LOOK = 100_000
@@ -156,7 +157,7 @@ def train(
     """Split, fit on one part and evaluate on the other.
 
     Encoders and means come from the training part only.  ``trees`` overrides
-    entries of ``TREES``: ``max_depth`` (Spark allows 30), ``max_bins``, ``parallelism``.
+    entries of ``TREES``: ``max_depth`` (a forest allows 30, boosting 12) and ``max_bins``.
     """
     problem = _checked_problem(df, target, algorithm)
     rows = df.where(~missing(df.schema[target]))
@@ -202,18 +203,20 @@ def _fit(
     features: list[str] | None,
     trees: dict[str, int] | None,
 ) -> TrainedModel:
-    shape = TREES | (trees or {})
-    if set(shape) != set(TREES):
-        raise ValueError(f"unknown tree options: {sorted(set(shape) - set(TREES))}")
+    known = TREES.get(algorithm, {})
+    if set(trees or {}) - {"max_depth", "max_bins"}:
+        raise ValueError(f"unknown tree options: {sorted(set(trees) - {'max_depth', 'max_bins'})}")
+    shape = known | (trees or {}) if known else {}
     usable = [f for f in rows.schema.fields if f.name != target and not is_nested(f.dataType)]
     if features is not None:
         usable = [f for f in usable if f.name in features]
     if not usable:
         raise ValueError("no usable feature column")
-    if algorithm == "XGBoost":
-        ensure_checkpoint_dir(rows.sparkSession)  # boosting cuts its lineage there
     stages, names = _feature_stages(rows, usable)
     prepared = PipelineModel(stages).transform(rows)
+    if algorithm == "XGBoost":
+        numbers = [c for s in stages if isinstance(s, ImputerModel) for c in s.getOutputCols()]
+        shape = shape | {"numbers": numbers, "names": len(names)}
     fitter = _fit_classifier if problem == "classification" else _fit_regressor
     return TrainedModel(
         pipeline=PipelineModel([*stages, *fitter(prepared, target, algorithm, seed, rounds, shape)]),
@@ -224,7 +227,7 @@ def _fit(
         metrics={},
         features=names,
         inputs={f.name: f.dataType.simpleString() for f in usable},
-        trees=shape if algorithm in ("Random Forest", "XGBoost") else {},
+        trees={k: shape[k] for k in known},
     )
 
 
@@ -297,43 +300,48 @@ def _fit_classifier(
     classes = text_target.groupBy("__target").count().collect()  # one row per class
     labels = sorted(r["__target"] for r in classes)
     indexer = StringIndexerModel.from_labels(labels, inputCol="__target", outputCol="__label")
-    labelled = indexer.transform(text_target).select("__features", "__label")
+    labelled = indexer.transform(text_target).select("__features", "__label", *shape.get("numbers", []))
     common = {"featuresCol": "__features", "labelCol": "__label", "predictionCol": "__raw_prediction"}
-    grown = {"maxDepth": shape["max_depth"], "maxBins": shape["max_bins"], "seed": seed}
+    back = IndexToString(inputCol="__raw_prediction", outputCol="__predicted_class", labels=labels)
+    if algorithm == "XGBoost":
+        return [_boosted(labelled, len(labels), rounds, shape), back]
     if algorithm == "Logistic Regression":
         # Penalty of a unit-strength L2 term, expressed per training row.
         strength = 1.0 / sum(r["count"] for r in classes)
         estimator = LogisticRegression(maxIter=MAX_ITERATIONS, regParam=strength, standardization=False, **common)
-    elif algorithm == "Random Forest":
-        estimator = RandomForestClassifier(numTrees=rounds, **grown, **common)
     else:
-        boosted = GBTClassifier(maxIter=rounds, stepSize=LEARNING_RATE, **grown, **common)
-        estimator = boosted if len(labels) == 2 else OneVsRest(classifier=boosted, parallelism=shape["parallelism"], **common)
-    back = IndexToString(inputCol="__raw_prediction", outputCol="__predicted_class", labels=labels)
+        grown = {"maxDepth": shape["max_depth"], "maxBins": shape["max_bins"], "seed": seed}
+        estimator = RandomForestClassifier(numTrees=rounds, **grown, **common)
     return [estimator.fit(labelled), back]
 
 
 def _fit_regressor(
     prepared: DataFrame, target: str, algorithm: str, seed: int, rounds: int, shape: dict[str, int]
 ) -> list:
-    labelled = prepared.select("__features", number(prepared, target).alias("__label"))
+    own = shape.get("numbers", [])
+    labelled = prepared.select("__features", number(prepared, target).alias("__label"), *own)
+    if algorithm == "XGBoost":
+        return [_boosted(labelled, None, rounds, shape)]
     common = {"featuresCol": "__features", "labelCol": "__label", "predictionCol": "__raw_prediction"}
-    grown = {"maxDepth": shape["max_depth"], "maxBins": shape["max_bins"], "seed": seed}
     if algorithm == "Linear Regression":
         estimator = LinearRegression(regParam=0.0, **common)
-    elif algorithm == "Random Forest":
-        estimator = RandomForestRegressor(numTrees=rounds, **grown, **common)
     else:
-        estimator = GBTRegressor(maxIter=rounds, stepSize=LEARNING_RATE, **grown, **common)
+        grown = {"maxDepth": shape["max_depth"], "maxBins": shape["max_bins"], "seed": seed}
+        estimator = RandomForestRegressor(numTrees=rounds, **grown, **common)
     return [estimator.fit(labelled)]
 
 
+def _boosted(labelled: DataFrame, classes: int | None, rounds: int, shape: dict) -> BoostedTreesModel:
+    """Boosted trees over the prepared features, all classes in one model."""
+    return boost(
+        labelled, "__features", "__label", shape["numbers"], shape["names"], classes,
+        rounds, LEARNING_RATE, shape["max_depth"], shape["max_bins"],
+    )
+
+
 def _importances(stage) -> list[float] | None:
     if hasattr(stage, "featureImportances"):
         return stage.featureImportances.toArray().tolist()
-    if hasattr(stage, "models"):  # one model per class: sum over the classes
-        parts = [_importances(m) for m in stage.models]
-        return [sum(column) for column in zip(*parts)] if all(parts) else None
     if hasattr(stage, "coefficientMatrix"):
         return abs(stage.coefficientMatrix.toArray()).sum(axis=0).tolist()
     if hasattr(stage, "coefficients"):

@@ -165,6 +165,58 @@ _classifier_query("m7_gbt_many_classes", "XGBoost", 3)
 _scores_query("m5_logistic_scores", "Logistic Regression", 3)
 _scores_query("m6_forest_scores", "Random Forest", 3)
 _scores_query("m7_gbt_scores", "XGBoost", 2)
+_scores_query("m7_gbt_many_scores", "XGBoost", 3)
+
+
+# The first tree of a boosted regression with one split: of all limits between quantities the one with
+# the largest gain, where a leaf of n rows is worth its sum of gaps to the mean, shrunk by n + 1.
+_STUMP_SQL = """
+    WITH mean AS (SELECT avg(l_extendedprice) AS m FROM lineitem),
+    per AS (SELECT l_quantity AS q, count(*) AS n, sum(l_extendedprice - m) AS g FROM lineitem, mean GROUP BY 1),
+    sides AS (SELECT q, coalesce(sum(n) OVER below, 0) AS ln, coalesce(sum(g) OVER below, 0) AS lg,
+                     sum(n) OVER () AS n, sum(g) OVER () AS g
+              FROM per WINDOW below AS (ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    best AS (SELECT q, 0.1 * lg / (ln + 1) AS low, 0.1 * (g - lg) / (n - ln + 1) AS high
+             FROM sides WHERE ln > 0
+             ORDER BY lg * lg / (ln + 1) + (g - lg) * (g - lg) / (n - ln + 1) DESC, q LIMIT 1),
+    scored AS (SELECT l_quantity, l_extendedprice, m + CASE WHEN l_quantity < q THEN low ELSE high END AS prediction
+               FROM lineitem, mean, best)
+"""
+
+
+def _stump(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice")
+    return lines, ops.fit(lines, "l_extendedprice", "XGBoost", rounds=1, trees={"max_depth": 1})
+
+
+@query(
+    "m7_gbt_first_split",
+    _STUMP_SQL
+    + "SELECT l_quantity, count(*) AS n, round(any_value(prediction), 4) AS prediction FROM scored GROUP BY l_quantity",
+)
+def gbt_first_split(spark, sf):
+    """One round with one split, as its sums give it."""
+    lines, model = _stump(spark, sf)
+    return (
+        model.score(lines)
+        .groupBy("l_quantity")
+        .agg(F.count("*").alias("n"), F.round(F.max("prediction"), 4).alias("prediction"))
+    )
+
+
+@query(
+    "m7_gbt_first_split_metrics",
+    _STUMP_SQL
+    + """
+    SELECT round(sqrt(avg(pow(l_extendedprice - prediction, 2))), 3) AS rmse,
+           round(1 - avg(pow(l_extendedprice - prediction, 2)) / var_pop(l_extendedprice), 6) AS r2
+    FROM scored
+    """,
+)
+def gbt_first_split_metrics(spark, sf):
+    lines, model = _stump(spark, sf)
+    found = ops.evaluate(model, lines)
+    return spark.createDataFrame([(round(found["rmse"], 3), round(found["r2"], 6))], "rmse double, r2 double")
 
 
 @query(

@@ -57,3 +57,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``scratch_path`` named, once nothing reads it any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
