@@ -123,6 +123,18 @@ class WaveletMatrix:
             at = left
         return at
 
+    def places(self, symbol: int) -> np.ndarray:
+        """All places of an id in ascending order: its range below the last plane, carried up."""
+        low, high = self._range(symbol, 0, self.n)
+        at = np.arange(low, high)
+        for level in range(len(self.zeros) - 1, -1, -1):
+            if not len(at):
+                break
+            bits = np.unpackbits(self.planes[level], count=self.n).view(bool)
+            one = symbol >> (len(self.zeros) - 1 - level) & 1
+            at = np.flatnonzero(bits)[at - self.zeros[level]] if one else np.flatnonzero(~bits)[at]
+        return at
+
     def decode(self) -> np.ndarray:
         """All ids in order: the planes are undone from the lowest bit up."""
         values = np.zeros(self.n, np.uint16 if len(self.zeros) <= 16 else np.uint32)
@@ -201,3 +213,105 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
     return docs.join(stored(starts, "starts"), "shard").select(
         "doc_id", (F.col("before") + F.col("shard_start")).cast("long").alias("start"), "n_tokens", "ids_crc32", "shard"
     )
+
+
+#: Places of one shard that one task looks up together.
+PORTION_BITS = 16
+
+
+def _shard_starts(spark: SparkSession, path: str) -> DataFrame:
+    """``shard, n_tokens, before``: the ids of all shards before each, from the small columns alone."""
+    sizes = spark.read.schema(SHARD_SCHEMA).parquet(path).select("shard", "n_tokens")
+    return stored(add_starts(sizes, [], "shard", "n_tokens", "before", _MOST_SHARDS * 1024), "starts")
+
+
+def _matrix(batch: pa.RecordBatch, at: int) -> WaveletMatrix:
+    return WaveletMatrix(*[batch.column(name)[at].as_py() for name in ("n_tokens", "zeros", "planes", "ranks")])
+
+
+def tokens_at(places: DataFrame, path: str, place: str = "place") -> DataFrame:
+    """``place, token``: the ids at places of the whole sequence, read from stored shards.
+
+    ``places`` has a column of places from 0, over all shards in order.  A place asked for
+    twice comes once; null, negative places and those behind the end give no row, as do all
+    places of an empty folder.  Places meet their shard by blocks of ids that it covers;
+    each shard is asked in portions, so that no task holds more than 65,536 places.
+    """
+    spark = places.sparkSession
+    block = SHARD_TOKENS
+    starts = _shard_starts(spark, path).where("n_tokens > 0")
+    covered = F.sequence(F.floor(F.col("before") / block), F.floor((F.col("before") + F.col("n_tokens") - 1) / block))
+    blocks = starts.select("shard", "before", F.col("n_tokens").alias("length"), F.explode(covered).alias("block"))
+    wanted = places.select(F.col(f"`{place}`").cast("long").alias("place")).where("place >= 0").distinct()
+    met = wanted.withColumn("block", F.floor(F.col("place") / block)).join(blocks, "block")
+    met = met.where("place >= before AND place < before + length").withColumn("inner", F.col("place") - F.col("before"))
+    portions = met.groupBy("shard", "before", F.shiftright("inner", PORTION_BITS).alias("portion")).agg(
+        F.collect_list("inner").alias("inner")
+    )
+    shards = spark.read.schema(SHARD_SCHEMA).parquet(path).select("shard", "n_tokens", "zeros", "planes", "ranks")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                matrix, inner, before = _matrix(batch, at), batch.column("inner")[at].as_py(), batch.column("before")[at].as_py()
+                columns = [[before + i for i in inner], [matrix.access(i) for i in inner]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["place", "token"])
+
+    return portions.drop("portion").join(shards, "shard").mapInArrow(look, "place long, token long")
+
+
+def count_tokens(spark: SparkSession, path: str, tokens: list[int], low: int = 0, high: int | None = None) -> DataFrame:
+    """``token, n``: how often each of a few ids stands at the places from ``low`` to before ``high``.
+
+    Every shard answers with two ranks per plane and id; nothing is decoded.  An id that
+    does not occur has 0; without ``high`` all places from ``low`` on count.
+    """
+    asked = sorted(set(tokens))
+    end = F.lit(high).cast("long") if high is not None else F.lit(None).cast("long")
+    inside = _shard_starts(spark, path).select(
+        "shard",
+        F.greatest(F.lit(low) - F.col("before"), F.lit(0)).cast("long").alias("low"),
+        F.least(F.coalesce(end - F.col("before"), F.col("n_tokens")), F.col("n_tokens")).alias("high"),
+    )
+    shards = spark.read.schema(SHARD_SCHEMA).parquet(path).select("shard", "n_tokens", "zeros", "planes", "ranks")
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                matrix, a, b = _matrix(batch, at), batch.column("low")[at].as_py(), batch.column("high")[at].as_py()
+                found = [matrix.count(t, a, b) for t in asked]
+                yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array(found, pa.int64())], ["token", "n"])
+
+    met = inside.where("low < high").join(shards, "shard")
+    counts = met.mapInArrow(tally, "token long, n long")
+    every = spark.createDataFrame([(t, 0) for t in asked], "token long, n long")
+    return counts.unionByName(every).groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def occurrences(spark: SparkSession, path: str, token: int) -> DataFrame:
+    """``place, doc_id, offset``: every place of an id, its document and the ids before it there.
+
+    A shard without the id is left after one rank per plane; the others undo the planes
+    for the places of this id only.  Documents of no ids are never met.
+    """
+    shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
+    names = ["place", "doc_id", "offset"]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                inner = _matrix(batch, at).places(token)
+                if not len(inner):
+                    continue
+                ends = np.cumsum(batch.column("doc_tokens")[at].as_py())
+                doc = np.searchsorted(ends, inner, side="right")
+                begins = np.concatenate([[0], ends])[doc]
+                columns = [
+                    pa.array(inner + batch.column("before")[at].as_py(), pa.int64()),
+                    batch.column("doc_ids")[at].values.take(pa.array(doc, pa.int64())),
+                    pa.array(inner - begins, pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    kept = shards.join(_shard_starts(spark, path).select("shard", "before"), "shard")
+    return kept.mapInArrow(find, "place long, doc_id long, offset long")

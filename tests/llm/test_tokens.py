@@ -179,3 +179,38 @@ def test_open_windows_stay_few():
         assert len(windows.room) <= 4
     sequences = [p[3] for p in windows.done + windows.close()]
     assert len(sequences) == 8
+
+
+@pytest.mark.parametrize("bits", [3, 16])
+def test_lookups_on_stored_shards(spark, tmp_path, monkeypatch, bits):
+    monkeypatch.setattr(wavelet, "SHARD_TOKENS", 700)
+    monkeypatch.setattr(wavelet, "PORTION_BITS", bits)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = [(i, t) for i, t in sorted(texts.items())[:40]] + [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "the the the")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    path = str(tmp_path / "a")
+    wavelet.write_token_shards(df, "doc_id", "text", WORD, 1, path)
+    library = Tokenizer.from_file(WORD)
+    per_doc = [(i, [*library.encode(t or "", add_special_tokens=False).ids, 1]) for i, t in rows]
+    ids = [t for _, doc in per_doc for t in doc]
+    wanted = [0, 1, len(ids) - 1, *range(0, len(ids), 97)]
+    asked = spark.createDataFrame([(p,) for p in [*wanted, 0, -1, len(ids), None]], "p long")
+    got = {tuple(r) for r in wavelet.tokens_at(asked, path, "p").collect()}
+    assert got == {(p, ids[p]) for p in wanted}
+    some = [1, ids[5], ids[len(ids) // 2], 49_000]
+    for low, high in ((0, None), (300, len(ids) - 500), (5, 6), (9, 9)):
+        part = ids[low:high]
+        counted = {r["token"]: r["n"] for r in wavelet.count_tokens(spark, path, some, low, high).collect()}
+        assert counted == {t: part.count(t) for t in some}
+    for token in some:
+        found = sorted(tuple(r) for r in wavelet.occurrences(spark, path, token).collect())
+        flat = [(doc, at) for doc, own in per_doc for at in range(len(own))]
+        assert found == [(p, *flat[p]) for p in range(len(ids)) if ids[p] == token]
+
+
+def test_lookups_without_shards(spark, tmp_path):
+    path = str(tmp_path / "none")
+    wavelet.write_token_shards(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text", WORD, 1, path)
+    assert wavelet.tokens_at(spark.range(3), path, "id").count() == 0
+    assert [tuple(r) for r in wavelet.count_tokens(spark, path, [4]).collect()] == [(4, 0)]
+    assert wavelet.occurrences(spark, path, 4).count() == 0
