@@ -9,7 +9,6 @@ take each step together.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,12 +20,12 @@ from pyspark.sql.window import Window
 
 from tablewright.llm.common import values_of
 
-#: Bounds of the fitted sample: languages (those with most rows), rows of each, characters of a row.
-MOST_LANGUAGES = 256
+#: Bounds of the fitted sample: rows in all (each language has one at least), rows of a language, characters of a row.
+SAMPLE_ROWS = 20_480
 ROWS_PER_LANGUAGE = 80
 CHARS_PER_ROW = 250
-#: Letters that the automata tell apart; rarer ones match nothing.
-MOST_LETTERS = 250
+#: Entries of all full tables of transitions together; automata beyond are searched by key, with equal results.
+FULL_ENTRIES = 1 << 25
 #: A text is parsed in segments of this many characters, all languages alike.
 SEGMENT = 256
 GROUP_CHARS = 1 << 20
@@ -41,11 +40,13 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
 
     Rows are drawn by a hash of key and text, so reruns agree, and an excerpt is taken
     from the middle of each.  Copies count once.  Rows without text or language are
-    passed over; no rows give no languages.
+    passed over; no rows give no languages.  Up to ``SAMPLE_ROWS`` languages (those with
+    most rows) share that many rows, at most ``ROWS_PER_LANGUAGE`` each.
     """
     present = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = present.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    counts = present.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(SAMPLE_ROWS)
     names = sorted(r["lang"] for r in counts.collect())
+    rows_each = min(ROWS_PER_LANGUAGE, SAMPLE_ROWS // max(1, len(names)))
     start = F.greatest(F.floor(F.char_length(text) / 2) - CHARS_PER_ROW // 2, F.lit(1)).cast("int")
     drawn = present.where(F.col(lang).isin(names)).select(
         F.col(lang).alias("lang"),
@@ -53,33 +54,37 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
         F.xxhash64(key, text).alias("draw"),
     )
     best = Window.partitionBy("lang").orderBy("draw", "excerpt")
-    rows = drawn.withColumn("n", F.row_number().over(best)).where(F.col("n") <= ROWS_PER_LANGUAGE).collect()
+    rows = drawn.withColumn("n", F.row_number().over(best)).where(F.col("n") <= rows_each).collect()
     rows.sort(key=lambda r: r["n"])
     found = {name: "\n".join(dict.fromkeys(r["excerpt"] for r in rows if r["lang"] == name)) for name in names}
     return tuple((name, sample) for name, sample in found.items())
 
 
 class Parser:
-    """The automata of all languages as one table of transitions."""
+    """The automata of all languages, each over the letters of its own sample."""
 
     def __init__(self, samples: Samples) -> None:
         self.names = [name for name, _ in samples]
         lowered = [sample.lower() for _, sample in samples]
-        letters = Counter(c for sample in lowered for c in sample if c.isalpha())
-        kept = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:MOST_LETTERS]]
-        self.codes = np.full(0x110000, BLANK, np.uint8)
+        kept = sorted({c for sample in lowered for c in sample if c.isalpha()})
+        kind = np.uint8 if len(kept) <= 250 else np.int32
+        self.codes = np.full(0x110000, BLANK, kind)
         self.codes[[c for c in range(0x110000) if chr(c).isalpha()]] = UNKNOWN
-        for code, letter in enumerate(kept, UNKNOWN + 1):
-            self.codes[ord(letter)] = code
-        width = len(kept) + UNKNOWN + 1
-        tables, self.roots, size = [], [], 0
+        self.codes[[ord(c) for c in kept]] = np.arange(UNKNOWN + 1, UNKNOWN + 1 + len(kept))
+        self.automata: list[FullTable | KeyedTable] = []
+        left = FULL_ENTRIES
         for sample in lowered:
-            table = transitions(self.encode([sample])[0], width)
-            moved = np.where(table >= 0, table * width + size, ~((~table) * width + size))
-            tables.append(moved.astype(np.int32).ravel())
-            self.roots.append(size)
-            size += table.size
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+            codes = self.encode([sample])[0]
+            own, local = np.unique(codes[codes > UNKNOWN], return_inverse=True)
+            codes = codes.astype(np.int64)
+            codes[codes > UNKNOWN] = UNKNOWN + 1 + local
+            to_local = np.full(UNKNOWN + 1 + len(kept), UNKNOWN, np.int32)
+            to_local[[PAD, BLANK]] = PAD, BLANK
+            to_local[own] = np.arange(UNKNOWN + 1, UNKNOWN + 1 + len(own))
+            edges, width = automaton(codes), UNKNOWN + 1 + len(own)
+            full = (len(edges) + 1) * width <= left
+            left -= (len(edges) + 1) * width if full else 0
+            self.automata.append((FullTable if full else KeyedTable)(edges, width, to_local))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of lower-case texts, runs of anything but letters as one blank; codes per text."""
@@ -101,31 +106,21 @@ class Parser:
         segments = -(-lengths // SEGMENT)
         first = np.cumsum(segments) - segments
         n = int(segments.sum())
-        grid = np.zeros((n, SEGMENT), np.uint8)
+        grid = np.zeros((n, SEGMENT), self.codes.dtype)
         place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         grid.ravel()[np.repeat(first * SEGMENT, lengths) + place] = codes
         steps = np.ascontiguousarray(grid.T)
         count = np.zeros((len(texts), len(self.names)))
         segment_owner = np.repeat(np.arange(len(texts)), segments)
-        for language, root in enumerate(self.roots):
-            state, found = np.full(n, root, np.int32), np.zeros(n, np.int32)
-            for step in steps:
-                state = self.table[state + step]
-                ended = state >> 31  # -1 where a phrase ends before this character
-                found -= ended
-                state ^= ended
+        for language, table in enumerate(self.automata):
+            found = table.ended(steps)
             # The phrase that is open at the end of a segment counts as well.
             count[:, language] = np.bincount(segment_owner, found + 1, len(texts))
         return count, lengths, letters
 
 
-def transitions(codes: np.ndarray, width: int) -> np.ndarray:
-    """A suffix automaton as ``table[state, code]``.
-
-    A negative entry ``~s`` says that no substring goes on this way: the phrase ends
-    and the next one starts in state ``s``.  A code that the sample lacks is a phrase
-    of its own, in the last state.  Padding keeps the state.
-    """
+def automaton(codes: np.ndarray) -> list[dict[int, int]]:
+    """The edges of a suffix automaton, state by state; state 0 is its root."""
     edges: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for code in codes.tolist():
@@ -151,16 +146,65 @@ def transitions(codes: np.ndarray, width: int) -> np.ndarray:
                     at = link[at]
                 link[target] = link[new] = copy
         last = new
-    lacking = len(edges)
-    restart = np.full(width, lacking, np.int64)
-    restart[list(edges[0])] = list(edges[0].values())
-    table = np.empty((lacking + 1, width), np.int64)
-    table[:] = ~restart
-    table[0] = restart
-    for state, out in enumerate(edges):
-        table[state, list(out)] = list(out.values())
-    table[:, PAD] = np.arange(lacking + 1)
-    return table
+    return edges
+
+
+def restarts(edges: list[dict[int, int]], width: int) -> np.ndarray:
+    """The state after the first code of a phrase; one that the sample lacks leads to a state behind the last."""
+    states = np.full(width, len(edges), np.int64)
+    states[list(edges[0])] = list(edges[0].values())
+    return states
+
+
+class FullTable:
+    """Transitions as ``table[state, code]``.
+
+    A negative entry ``~s`` says that no substring goes on this way: the phrase ends
+    and the next one starts in state ``s``.  A code that the sample lacks is a phrase
+    of its own.  Padding keeps the state.
+    """
+
+    def __init__(self, edges: list[dict[int, int]], width: int, to_local: np.ndarray) -> None:
+        restart = restarts(edges, width)
+        table = np.empty((len(edges) + 1, width), np.int64)
+        table[:] = ~restart
+        table[0] = restart
+        for state, out in enumerate(edges):
+            table[state, list(out)] = list(out.values())
+        table[:, PAD] = np.arange(len(edges) + 1)
+        self.table = np.where(table >= 0, table * width, ~((~table) * width)).astype(np.int32).ravel()
+        self.to_local = to_local
+
+    def ended(self, steps: np.ndarray) -> np.ndarray:
+        """Phrases that end within each segment; ``steps`` has one row per place in the segments."""
+        state, found = np.zeros(steps.shape[1], np.int32), np.zeros(steps.shape[1], np.int32)
+        for step in steps:
+            state = self.table[state + self.to_local[step]]
+            over = state >> 31  # -1 where a phrase ends before this character
+            found -= over
+            state ^= over
+        return found
+
+
+class KeyedTable:
+    """The same transitions as a sorted list of the edges that there are, for samples of many letters."""
+
+    def __init__(self, edges: list[dict[int, int]], width: int, to_local: np.ndarray) -> None:
+        pairs = sorted((state * width + code, to) for state, out in enumerate(edges) for code, to in out.items())
+        self.keys = np.array([k for k, _ in pairs] + [len(edges) * width + width], np.int64)
+        self.targets = np.array([t for _, t in pairs] + [0], np.int64)
+        self.restart, self.width, self.to_local = restarts(edges, width), width, to_local
+
+    def ended(self, steps: np.ndarray) -> np.ndarray:
+        state, found = np.zeros(steps.shape[1], np.int64), np.zeros(steps.shape[1], np.int32)
+        for step in steps:
+            code = self.to_local[step]
+            key = state * self.width + code
+            place = np.searchsorted(self.keys, key)
+            goes_on, padding = self.keys[place] == key, code == PAD
+            found += ~goes_on & ~padding & (state != 0)
+            state = np.where(padding, state, np.where(goes_on, self.targets[place], self.restart[code]))
+        return found
 
 
 @lru_cache(maxsize=2)
@@ -176,7 +220,8 @@ def identify(docs: DataFrame, samples: Samples, text: str = "text") -> DataFrame
     the fewest phrases and the characters, if there is one language only).  Equal
     counts go to the language first in code-point order, with score 0.  A text that is
     null or has no letter, or any text if nothing was learned, gives ``und`` and 0.
-    Columns named ``lang_pred`` or ``score`` are replaced, all others stay.
+    Columns named ``lang_pred`` or ``score`` are replaced, all others stay.  Texts of any
+    length are read whole, in segments; an empty table gives an empty result.
     """
     kept = [c for c in docs.columns if c.lower() not in (text.lower(), "lang_pred", "score")]
     rows = docs.select(F.col(text).alias(text), *[F.col(f"`{c}`") for c in kept])

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import __spark_entry__ as entry
 from tablewright.llm import language
 from tests.conftest import SF
@@ -29,8 +31,10 @@ def phrases(sample, text):
     return count
 
 
-def test_parse_equals_plain_search(monkeypatch):
+@pytest.mark.parametrize("full", [1 << 25, 0])
+def test_parse_equals_plain_search(monkeypatch, full):
     monkeypatch.setattr(language, "SEGMENT", 16)
+    monkeypatch.setattr(language, "FULL_ENTRIES", full)
     rng = random.Random(5)
     sample = "".join(rng.choices("abc", k=60)) + "d"
     model = language.Parser((("x", sample), ("y", "abab")))
@@ -67,3 +71,27 @@ def test_one_language(spark):
     df = spark.createDataFrame([(1, "the cat sat", "en")], "doc_id long, text string, lang string")
     row = language.identify(df, language.learn(df)).first()
     assert row["lang_pred"] == "en" and row["score"] > 0.5
+
+
+@pytest.mark.parametrize("full", [1 << 25, 0])
+def test_two_languages_of_one_script_with_thousands_of_letters(monkeypatch, full):
+    monkeypatch.setattr(language, "FULL_ENTRIES", full)
+    rng = random.Random(9)
+    script = [chr(0x4E00 + i) for i in range(2000)]
+    words = [["".join(rng.sample(script, 2)) for _ in range(1500)] for _ in range(2)]
+    samples = tuple((name, " ".join(rng.choices(own, k=5000))) for name, own in zip("ab", words))
+    texts = ["".join(rng.choices(words[i % 2], k=20)) for i in range(400)]
+    names, scores = [], []
+    language.answer(language.Parser(samples), texts, names, scores)
+    assert names == ["a", "b"] * 200 and min(scores) > 0
+
+
+def test_hundreds_of_languages(spark):
+    rng = random.Random(4)
+    own = {f"l{i:03d}": ["".join(rng.choices("abcdefghij", k=5)) for _ in range(12)] for i in range(300)}
+    rows = [(i, " ".join(words * 2), name) for i, (name, words) in enumerate(own.items())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = language.learn(df)
+    assert len(samples) == 300
+    got = language.identify(df, samples).collect()
+    assert all(r["lang"] == r["lang_pred"] for r in got)
