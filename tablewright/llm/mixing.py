@@ -103,6 +103,11 @@ def due_time(share: Column, tilt: Column) -> Column:
     return F.coalesce(F.try_divide(2 * share, 1 + tilt + root), F.lit(0.0))
 
 
+#: Columns that ``place`` reads, and those that it adds.
+GIVEN = ("source", "size", "order")
+ADDED = ("source_size", "target", "start", "goal", "tilt", "taken", "position")
+
+
 def place(rows: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
     """``rows`` (``source, size, order`` and anything else) with what the mix takes of each.
 
@@ -115,8 +120,12 @@ def place(rows: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
 
     A hot source is split by the leading digits of the digest: sums per bucket come
     first, then each bucket of about 2,000 rows is numbered on its own.  A null
-    size counts as 0; an empty table gives an empty result.
+    size counts as 0; an empty table gives an empty result.  Columns named like the added
+    ones are replaced, all others stay whatever their names.
     """
+    kept = [c for c in rows.columns if c.lower() not in (*GIVEN, *ADDED)]
+    rest = F.struct(*([F.col(f"`{c}`") for c in kept] or [F.lit(1)]))
+    rows = rows.select(*GIVEN, rest.alias("rest"))
     rows = rows.withColumn("size", F.coalesce(F.col("size"), F.lit(0)).cast("long"))
     targets = stored(source_targets(rows, rules), "targets")
     keyed = lookup_join(rows.withColumn("source_key", source_key(F.col("source"))), targets, ["source_key"])
@@ -136,11 +145,8 @@ def place(rows: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
     taken = reduce(Column.__add__, [words_in_pass(p) for p in range(rules.cap)])
     first = F.least(F.col("size"), F.col("goal") - F.col("start"))
     share = (F.col("start") + first / 2) / F.col("goal")
-    return (
-        placed.withColumn("taken", taken)
-        .withColumn("position", F.when(F.col("taken") > 0, due_time(share, F.col("tilt"))))
-        .drop("source_key", "bucket", "n_rows", "bucket_start", "within")
-    )
+    placed = placed.withColumn("taken", taken).withColumn("position", F.when(F.col("taken") > 0, due_time(share, F.col("tilt"))))
+    return placed.select(*GIVEN, *[F.col(f"rest.`{c}`") for c in kept], *ADDED)
 
 
 def words_in_pass(number: int) -> Column:
@@ -153,7 +159,8 @@ def training_order(placed: DataFrame, rules: MixRules = MixRules()) -> DataFrame
     """One row per copy that the mix takes, sorted by due time.
 
     Every pass gives a row for each document of which it takes at least half of the
-    words; the document is then whole.  Adds ``copy`` (from 0) and ``due``.
+    words; the document is then whole.  Adds ``copy`` (from 0) and ``due``; columns of
+    these names are replaced, all others stay.
     """
     copies = F.filter(
         F.array(
@@ -170,6 +177,9 @@ def training_order(placed: DataFrame, rules: MixRules = MixRules()) -> DataFrame
         ),
         lambda c: c.isNotNull(),
     )
-    exploded = placed.withColumn("one", F.explode(copies))
-    due = exploded.withColumn("copy", F.col("one.copy")).withColumn("due", due_time(F.col("one.at"), F.col("tilt")))
-    return due.drop("one").orderBy("due", "order", "copy")
+    kept = [c for c in placed.columns if c.lower() not in ("copy", "due")]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept])
+    exploded = placed.select(row.alias("row"), F.explode(copies).alias("one"))
+    due = due_time(F.col("one.at"), F.col("row.tilt"))
+    named = exploded.select(*[F.col(f"row.`{c}`") for c in kept], F.col("one.copy").alias("copy"), due.alias("due"))
+    return named.orderBy("due", "order", "copy")

@@ -148,3 +148,22 @@ def test_mix_of_odd_rows(spark, monkeypatch):
             at += size
     assert sorted(map(str, got)) == sorted(map(str, mixing.place(df.repartition(7)).collect()))
     assert mixing.place(df.limit(0)).count() == 0
+
+
+def test_mixing_with_columns_of_its_own_names(spark):
+    own = [*mixing.ADDED, "n_rows", "source_key", "bucket", "bucket_start", "within", "rest", "row", "one", "copy", "due", "rank"]
+    rows = [(f"s{i % 3}" if i % 7 else None, i % 50, f"{i * 2654435761 % 2**32:08x}", *[f"{c}{i}" for c in own]) for i in range(200)]
+    schema = "source string, size long, `order` string, " + ", ".join(f"`{c}` string" for c in own)
+    df = spark.createDataFrame(rows, schema)
+    plain = mixing.place(df.select("source", "size", "order"))
+    found = mixing.place(df)
+    stays = [c for c in own if c not in mixing.ADDED]
+    assert sorted(found.columns) == sorted([*mixing.GIVEN, *stays, *mixing.ADDED])
+    assert sorted(found.select(plain.columns).collect(), key=str) == sorted(plain.collect(), key=str)
+    by_order = {r[2]: dict(zip(own, r[3:])) for r in rows}
+    assert all(r[c] == by_order[r["order"]][c] for r in found.collect() for c in stays)
+    order = mixing.training_order(found)
+    assert [tuple(r) for r in order.select("order", "copy", "due").collect()] == [
+        tuple(r) for r in mixing.training_order(plain).select("order", "copy", "due").collect()
+    ]
+    assert order.first()["one"].startswith("one") and mixing.place(df.limit(0)).count() == 0
