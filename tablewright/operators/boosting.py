@@ -2,11 +2,12 @@
 
 The features are cut into bins once.  Rows with the same bins and the same label
 become one row with a count, so a table with few different rows stays small however
-long it is.  From then on every level of every tree needs one sum per (class, node,
-feature, bin): tasks add up their rows, Spark adds up the tasks, and only the chosen
-splits, one per class and node, come back.  All classes of a round grow in the same
-pass.  A table that is small after the first step is boosted by one task with the
-same functions.
+long it is.  Flags of one text column share a code, so sums take one step per column.
+From then on every level of every tree needs one sum per (class, node, column, code):
+tasks add up their rows, Spark adds up the tasks, and only the chosen splits, one per
+class and node, come back.  All classes of a round grow in the same pass, and the rows
+stay in the executors with their margins.  A table that is small after the first step is
+boosted by one task with the same functions.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import base64
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -24,10 +26,12 @@ from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasPredictionCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.rdd import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
-from tablewright.functions.reports import statistics
+from tablewright.operators.treebins import Columns, bin_limits, coded
 from tablewright.session import delete_path, scratch_path
 
 # Penalty of large leaves, least weight of a child, least gain of a split.
@@ -38,35 +42,14 @@ LEAST_GAIN = 1e-6
 #: Trees are kept as complete ones, so that depth is bounded.
 MOST_DEPTH = 12
 MOST_BINS = 256
-#: Different rows times features that one task boosts by itself.
+#: Different rows times columns that one task boosts by itself.
 LOCAL_CELLS = 2_000_000
-#: Sums (nodes times bins) that a task holds at a time; further classes take another pass.
+#: Sums (nodes times codes) that a task holds at a time; further classes take another pass.
 HELD_SUMS = 4_000_000
-#: Rounds after which the rows are written again with their margins.
+#: Rounds after which the rows are written with their margins, so that no long chain of steps hangs on them.
 REWRITE = 20
-#: Rank error of the bin limits is one in this many rows.
-CUT_ACCURACY = 10_000
-_CHUNK = 1_000_000
-
-
-def bin_limits(df: DataFrame, numbers: list[str], flags: int, max_bins: int) -> list[np.ndarray]:
-    """Ascending limits per feature: quantiles of the number columns, then 0.5 for each flag.
-
-    The bin of a value is the number of limits that are not above it.  A column with few
-    values, each in a fair share of the rows, has a bin for each of them.
-    """
-    ranks = [i / (max_bins - 1) for i in range(max_bins)]
-    found = statistics(df, {c: F.percentile_approx(c, ranks, CUT_ACCURACY) for c in numbers}) if numbers else {}
-    limits = [np.unique(np.array(found[c] or [], dtype="float64"))[1:] for c in numbers]
-    return limits + [np.array([0.5])] * flags
-
-
-def to_bins(values: np.ndarray, limits: list[np.ndarray]) -> np.ndarray:
-    """Bin of each value; one row per row of ``values``, one column per feature."""
-    bins = np.empty(values.shape, dtype="uint8")
-    for i, cuts in enumerate(limits):
-        bins[:, i] = np.searchsorted(cuts, values[:, i], side="right")
-    return bins
+#: Rows of a task, at most, when the table is boosted in Spark.
+TASK_ROWS = 1_000_000
 
 
 @dataclass
@@ -81,18 +64,20 @@ class Forest:
     limit: np.ndarray
     gain: np.ndarray
     leaf: np.ndarray
+    groups: tuple[int, ...] = ()
 
     @classmethod
-    def empty(cls, kind: str, start: np.ndarray, limits: list[np.ndarray], depth: int) -> "Forest":
+    def empty(
+        cls, kind: str, start: np.ndarray, limits: list[np.ndarray], depth: int, groups: tuple[int, ...] = ()
+    ) -> "Forest":
         inner, leaves = (0, len(start), 2**depth - 1), (0, len(start), 2**depth)
         return cls(
-            kind, start, limits, depth, np.empty(inner, "int32"), np.empty(inner, "uint8"), np.empty(inner), np.empty(leaves)
+            kind, start, limits, depth, np.empty(inner, "int32"), np.empty(inner, "uint8"), np.empty(inner), np.empty(leaves), groups
         )
 
-    @property
-    def offsets(self) -> np.ndarray:
-        """Where the bins of each feature begin in a row of sums; the last is their number."""
-        return np.concatenate([[0], np.cumsum([len(c) + 1 for c in self.limits])]).astype("int64")
+    @cached_property
+    def columns(self) -> Columns:
+        return Columns(self.limits, self.groups)
 
     def add_round(self) -> None:
         """A round of trees without splits, whose leaves are 0."""
@@ -103,35 +88,35 @@ class Forest:
     def since(self, first: int) -> "Forest":
         """The same with the trees from round ``first`` on."""
         parts = [getattr(self, name)[first:] for name in ("feature", "limit", "gain", "leaf")]
-        return Forest(self.kind, self.start, self.limits, self.depth, *parts)
+        return Forest(self.kind, self.start, self.limits, self.depth, *parts, self.groups)
 
-    def node(self, bins: np.ndarray, turn: int, label: int, levels: int) -> np.ndarray:
+    def node(self, codes: np.ndarray, turn: int, label: int, levels: int) -> np.ndarray:
         """The node of each row after ``levels`` levels of one tree."""
-        rows, node = np.arange(len(bins)), np.zeros(len(bins), dtype="int64")
-        for level in range(levels):
-            place = node + 2**level - 1
-            feature = self.feature[turn, label][place]
-            above = (feature >= 0) & (bins[rows, np.maximum(feature, 0)] > self.limit[turn, label][place])
-            node = 2 * node + above
-        return node
-
-    def raise_margins(self, bins: np.ndarray, margins: np.ndarray, rounds: int | None = None) -> np.ndarray:
-        """``margins`` plus the leaves of the first ``rounds`` rounds (all by default)."""
+        return self.columns.walk(codes, self.feature[turn, label], self.limit[turn, label], levels)
+
+    def raise_margins(self, codes: np.ndarray, margins: np.ndarray) -> np.ndarray:
+        """``margins`` plus the leaves of all rounds."""
         margins = margins.copy()
-        for turn in range(len(self.leaf) if rounds is None else rounds):
+        for turn in range(len(self.leaf)):
             for label in range(len(self.start)):
-                margins[:, label] += self.leaf[turn, label][self.node(bins, turn, label, self.depth)]
+                margins[:, label] += self.leaf[turn, label][self.node(codes, turn, label, self.depth)]
         return margins
 
     def predict(self, values: np.ndarray) -> np.ndarray:
-        """Value of a regression, else the index of the class; ties to the smaller index."""
-        margins = self.raise_margins(to_bins(values, self.limits), np.tile(self.start, (len(values), 1)))
+        """Value of a regression, else the index of the class; ties to the smaller index.
+
+        Rows with the same codes go down the trees as one.
+        """
+        codes = self.columns.encode(values)
+        different, same = self.columns.distinct(codes)
+        margins = self.raise_margins(codes[different], np.tile(self.start, (len(different), 1)))[same]
         if self.kind == "regression":
             return margins[:, 0]
         return (margins[:, 0] > 0).astype("float64") if self.kind == "binary" else margins.argmax(axis=1).astype("float64")
 
     def to_json(self) -> str:
         about = {"kind": self.kind, "depth": self.depth, "start": self.start.tolist(), "limits": [c.tolist() for c in self.limits]}
+        about["groups"] = list(self.groups)
         for name in ("feature", "limit", "gain", "leaf"):
             array = getattr(self, name)
             about[name] = [str(array.dtype), list(array.shape), base64.b64encode(array.tobytes()).decode()]
@@ -145,7 +130,7 @@ class Forest:
             for dtype, shape, data in (about[name] for name in ("feature", "limit", "gain", "leaf"))
         ]
         limits = [np.array(c, dtype="float64") for c in about["limits"]]
-        return cls(about["kind"], np.array(about["start"], dtype="float64"), limits, about["depth"], *arrays)
+        return cls(about["kind"], np.array(about["start"], dtype="float64"), limits, about["depth"], *arrays, tuple(about.get("groups", ())))
 
 
 def gradients(kind: str, margins: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,21 +152,6 @@ def gradients(kind: str, margins: np.ndarray, label: np.ndarray, weight: np.ndar
     return weight[:, None] * first, weight[:, None] * np.maximum(second, 1e-16)
 
 
-def add_up(
-    bins: np.ndarray, offsets: np.ndarray, node: np.ndarray, nodes: int, first: np.ndarray, second: np.ndarray
-) -> np.ndarray:
-    """Sums of both derivatives as ``[2, node, bin of all features]``."""
-    total, width = int(offsets[-1]), bins.shape[1]
-    sums = np.zeros((2, nodes * total))
-    step = max(1, _CHUNK // max(1, width))
-    for begin in range(0, len(bins), step):
-        part = slice(begin, begin + step)
-        place = (bins[part] + offsets[:-1] + (node[part] * total)[:, None]).ravel()
-        for i, values in enumerate((first, second)):
-            sums[i] += np.bincount(place, np.repeat(values[part], width), nodes * total)
-    return sums.reshape(2, nodes, total)
-
-
 def best_splits(sums: np.ndarray, offsets: np.ndarray) -> pd.DataFrame:
     """The best split per node: feature (-1: none), limit, gain, and the sums left of it and in all.
 
@@ -235,117 +205,121 @@ def _apply(forest: Forest, label: int, level: int, splits: pd.DataFrame, rate: f
             forest.leaf[-1, label, 2 * splits["node"].to_numpy() + side] = -rate * first / (second + LEAF_PENALTY)
 
 
-def _boost_here(forest: Forest, rounds: int, rate: float, bins: np.ndarray, label: np.ndarray, weight: np.ndarray) -> None:
+def _boost_here(forest: Forest, rounds: int, rate: float, codes: np.ndarray, label: np.ndarray, weight: np.ndarray) -> None:
     """All rounds over rows that one task holds."""
-    margins = np.tile(forest.start, (len(bins), 1))
+    columns = forest.columns
+    margins = np.tile(forest.start, (len(codes), 1))
     for _ in range(rounds):
         forest.add_round()
         first, second = gradients(forest.kind, margins, label, weight)
         for c in range(len(forest.start)):
-            node = np.zeros(len(bins), dtype="int64")
+            node = np.zeros(len(codes), dtype="int64")
             for level in range(forest.depth):
-                sums = add_up(bins, forest.offsets, node, 2**level, first[:, c], second[:, c])
-                _apply(forest, c, level, best_splits(sums, forest.offsets), rate)
-                node = forest.node(bins, -1, c, level + 1)
+                sums = columns.add_up(codes, node, 2**level, [first[:, c], second[:, c]])
+                _apply(forest, c, level, best_splits(columns.by_feature(sums), columns.offsets), rate)
+                node = forest.node(codes, -1, c, level + 1)
             margins[:, c] += forest.leaf[-1, c][node]
 
 
-def _arrays(batch: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    bins = np.frombuffer(b"".join(batch["bins"]), dtype="uint8").reshape(len(batch), width)
-    return bins, batch["label"].to_numpy(dtype="float64"), batch["weight"].to_numpy(dtype="float64")
+def _arrays(batch: pd.DataFrame, columns: Columns) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    codes = columns.read(b"".join(batch["bins"]))
+    return codes, batch["label"].to_numpy(dtype="float64"), batch["weight"].to_numpy(dtype="float64")
 
 
-def _binned_rows(df: DataFrame, features: str, label: str, limits: list[np.ndarray], kind: str) -> DataFrame:
+def _binned_rows(
+    df: DataFrame, features: str, label: str, limits: list[np.ndarray], kind: str, groups: tuple[int, ...] = ()
+) -> DataFrame:
     """``(bins, label, weight)``: one row per different bins, and class unless it is a regression."""
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                codes = to_bins(np.stack(batch["values"].to_numpy()), limits)
-                yield pd.DataFrame({"bins": [row.tobytes() for row in codes], "label": batch["label"]})
-
-    arrays = df.select(vector_to_array(features).alias("values"), F.col(label).cast("double").alias("label"))
-    cuts = arrays.mapInPandas(cut, "bins binary, label double")
+    cuts = coded(df, features, Columns(limits, groups), F.col(label).cast("double").alias("label"))
     if kind == "regression":
         return cuts.groupBy("bins").agg(F.sum("label").alias("label"), F.count("*").alias("weight"))
     return cuts.groupBy("bins", "label").agg(F.count("*").alias("weight"))
 
 
-def _level_splits(table: DataFrame, forest: Forest, level: int, classes: list[int]) -> pd.DataFrame:
-    """The best splits of one level for some classes: one row per class and node."""
-    offsets, total, nodes, width = forest.offsets, int(forest.offsets[-1]), 2**level, len(forest.limits)
-    done = len(forest.leaf) - 1  # rounds before the one that grows
+def _level_splits(rows: RDD, forest: Forest, level: int, classes: list[int]) -> list[tuple[int, pd.DataFrame]]:
+    """The best splits of one level of the newest trees for some classes: ``(class, splits of a node)``."""
+    grown, nodes, columns = forest.since(len(forest.leaf) - 1), 2**level, forest.columns
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = {c: np.zeros((2, nodes, total)) for c in classes}
-        for batch in batches:
-            bins, label, weight = _arrays(batch, width)
-            if not len(bins):
-                continue
-            margins = forest.raise_margins(bins, np.stack(batch["margins"].to_numpy()), done)
-            first, second = gradients(forest.kind, margins, label, weight)
+    def sums(parts: Iterator[tuple]) -> Iterator[tuple]:
+        held = {c: np.zeros((2, nodes, int(columns.starts[-1]))) for c in classes}
+        for codes, label, weight, margins in parts:
+            first, second = gradients(grown.kind, margins, label, weight)
             for c in classes:
-                held[c] += add_up(bins, offsets, forest.node(bins, done, c, level), nodes, first[:, c], second[:, c])
+                held[c] += columns.add_up(codes, grown.node(codes, 0, c, level), nodes, [first[:, c], second[:, c]])
         for c, found in held.items():
-            node, position = np.nonzero(found.any(axis=0))
-            yield pd.DataFrame(
-                {"label": c, "node": node, "position": position, "first": found[0][node, position], "second": found[1][node, position]}
-            )
-
-    def choose(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        dense = np.zeros((2, 1, total))
-        dense[0, 0, group["position"]], dense[1, 0, group["position"]] = group["first"], group["second"]
-        return best_splits(dense, offsets).assign(label=key[0], node=key[1])
-
-    parts = table.mapInPandas(sums, "label int, node int, position int, first double, second double")
-    merged = parts.groupBy("label", "node", "position").agg(F.sum("first").alias("first"), F.sum("second").alias("second"))
-    chosen = merged.groupBy("label", "node").applyInPandas(
-        choose,
-        "label int, node int, feature int, limit int, gain double, "
-        "left_first double, left_second double, first double, second double",
-    )
-    return chosen.toPandas()  # one row per class and node
+            for node in np.flatnonzero(found[1].any(axis=1)).tolist():
+                yield (c, node), found[:, node]
+
+    def choose(found: tuple) -> tuple[int, pd.DataFrame]:
+        (c, node), whole = found
+        return c, best_splits(columns.by_feature(whole[:, None]), columns.offsets).assign(node=node)
 
+    tasks = min(rows.getNumPartitions(), nodes * len(classes))
+    return rows.mapPartitions(sums).reduceByKey(np.add, tasks).map(choose).collect()  # one per class and node
 
-def _boost_in_spark(table: DataFrame, path: str, forest: Forest, rounds: int, rate: float) -> None:
-    """All rounds as Spark jobs, one per level; margins are written again every few rounds."""
-    spark, width = table.sparkSession, len(forest.limits)
-    start = F.array(*[F.lit(float(v)) for v in forest.start])
-    rows, written = table.withColumn("margins", start), 0
-    most = max(1, HELD_SUMS // max(1, int(forest.offsets[-1]) * 2 ** (forest.depth - 1)))
+
+def _boost_in_spark(table: DataFrame, path: str, forest: Forest, rounds: int, rate: float, size: int) -> None:
+    """All rounds as Spark jobs, one per level, over rows that stay in the executors."""
+    spark, columns, start = table.sparkSession, forest.columns, forest.start
+    context, kept = spark.sparkContext, StorageLevel.MEMORY_AND_DISK
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                codes, label, weight = _arrays(batch, columns)
+                parts = [np.ascontiguousarray(codes), label, weight]
+                yield pd.DataFrame({n: [p.tobytes()] for n, p in zip(("bins", "label", "weight"), parts)})
+
+    def opened(row) -> tuple[np.ndarray, ...]:
+        codes, label, weight = columns.read(row["bins"]), np.frombuffer(row["label"]), np.frombuffer(row["weight"])
+        return codes, label, weight, np.tile(start, (len(label), 1))
+
+    tasks = max(context.defaultParallelism, -(-size // TASK_ROWS))
+    chunks = table.repartition(tasks).mapInPandas(packed, "bins binary, label binary, weight binary")
+    rows, older = chunks.rdd.map(opened).persist(kept), None
+    most = max(1, HELD_SUMS // max(1, int(columns.starts[-1]) * 2 ** (forest.depth - 1)))
     every = list(range(len(forest.start)))
     groups = [every[i : i + most] for i in range(0, len(every), most)]
     for turn in range(rounds):
-        if turn - written == REWRITE:
-            grown = forest.since(written)
-
-            def raised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for batch in batches:
-                    if len(batch):
-                        bins, _, _ = _arrays(batch, width)
-                        margins = grown.raise_margins(bins, np.stack(batch["margins"].to_numpy()))
-                        yield batch.assign(margins=list(margins))
-
+        if turn:
+            older, rows = rows, rows.map(_raised(forest.since(turn - 1))).persist(kept)
+        if turn and turn % REWRITE == 0:
             fresh = scratch_path(spark, "boosting")
-            rows.mapInPandas(raised, rows.schema).write.parquet(fresh)
+            rows.saveAsPickleFile(fresh)
+            older.unpersist()
+            rows.unpersist()
             delete_path(spark, path)
-            rows, path, written = spark.read.parquet(fresh), fresh, turn
+            rows, path, older = context.pickleFile(fresh).persist(kept), fresh, None
         forest.add_round()
         for level in range(forest.depth):
             for classes in groups:
-                found = _level_splits(rows, forest.since(written), level, classes)
-                for c, splits in found.groupby("label"):
+                for c, splits in _level_splits(rows, forest, level, classes):
                     _apply(forest, c, level, splits, rate)
+            if older is not None:  # the first level has filled what comes after it
+                older.unpersist()
+                older = None
+    rows.unpersist()
     delete_path(spark, path)
 
 
+def _raised(newest: Forest):
+    """Adds the newest trees to the margins of a chunk of rows."""
+
+    def raised(chunk: tuple) -> tuple:
+        codes, label, weight, margins = chunk
+        return codes, label, weight, newest.raise_margins(codes, margins)
+
+    return raised
+
+
 def boost(
     df: DataFrame, features: str, label: str, numbers: list[str], names: int, classes: int | None,
-    rounds: int, rate: float, depth: int, max_bins: int,
+    rounds: int, rate: float, depth: int, max_bins: int, groups: tuple[int, ...] = (),
 ) -> "BoostedTreesModel":
     """Fit boosted trees to ``label`` (a number, or the index of one of ``classes`` classes).
 
-    ``features`` is a vector of ``names`` slots, the columns ``numbers`` first and flags behind.
+    ``features`` is a vector of ``names`` slots, the columns ``numbers`` first and flags behind;
+    ``groups`` are the sizes of the last sets of flags of which at most one is set.
     An empty table gives a model that answers 0.
     """
     if not 1 <= depth <= MOST_DEPTH:
@@ -356,7 +330,7 @@ def boost(
     kind = "regression" if classes is None else "binary" if classes == 2 else "classes"
     limits = bin_limits(df, numbers, names - len(numbers), max_bins)
     path = scratch_path(spark, "boosting")
-    _binned_rows(df, features, label, limits, kind).write.parquet(path)
+    _binned_rows(df, features, label, limits, kind, groups).write.parquet(path)
     table = spark.read.parquet(path)
     of_one = F.col("label") if kind == "regression" else F.col("label") * F.col("weight")
     seen = table.agg(F.count("*"), F.sum("weight"), F.sum(of_one)).first()
@@ -366,19 +340,19 @@ def boost(
         start = np.array([np.log(share / (1 - share))]) if seen[1] else np.zeros(1)
     else:
         start = np.array([mean]) if kind == "regression" else np.zeros(max(1, classes))
-    forest = Forest.empty(kind, start, limits, depth)
-    if seen[0] and seen[0] * len(limits) <= LOCAL_CELLS:
+    forest = Forest.empty(kind, start, limits, depth, groups)
+    if seen[0] and seen[0] * len(forest.columns.sizes) <= LOCAL_CELLS:
 
         def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows = pd.concat(list(batches), ignore_index=True)
-            _boost_here(forest, rounds, rate, *_arrays(rows, len(limits)))
+            _boost_here(forest, rounds, rate, *_arrays(rows, forest.columns))
             yield pd.DataFrame({"forest": [forest.to_json()]})
 
         fitted = table.coalesce(1).mapInPandas(whole, "forest string").first()["forest"]
         delete_path(spark, path)
     else:
         if seen[0]:
-            _boost_in_spark(table, path, forest, rounds, rate)
+            _boost_in_spark(table, path, forest, rounds, rate, seen[0])
         fitted = forest.to_json()
     return BoostedTreesModel.of(fitted, features)
 

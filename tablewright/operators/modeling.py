@@ -216,7 +216,8 @@ def _fit(
     prepared = PipelineModel(stages).transform(rows)
     if algorithm == "XGBoost":
         numbers = [c for s in stages if isinstance(s, ImputerModel) for c in s.getOutputCols()]
-        shape = shape | {"numbers": numbers, "names": len(names)}
+        flags = tuple(len(s.getIndices()) for s in stages if isinstance(s, VectorSlicer))
+        shape = shape | {"numbers": numbers, "names": len(names), "flags": flags}
     fitter = _fit_classifier if problem == "classification" else _fit_regressor
     return TrainedModel(
         pipeline=PipelineModel([*stages, *fitter(prepared, target, algorithm, seed, rounds, shape)]),
@@ -335,7 +336,7 @@ def _boosted(labelled: DataFrame, classes: int | None, rounds: int, shape: dict)
     """Boosted trees over the prepared features, all classes in one model."""
     return boost(
         labelled, "__features", "__label", shape["numbers"], shape["names"], classes,
-        rounds, LEARNING_RATE, shape["max_depth"], shape["max_bins"],
+        rounds, LEARNING_RATE, shape["max_depth"], shape["max_bins"], shape["flags"],
     )
 
 
