@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,14 +19,16 @@ from tablewright.functions.columns import (
     present,
     ref,
 )
-from tablewright.functions.lookup import lookup_join, settled
 from tablewright.functions.quantiles import column_quantiles
 from tablewright.functions.reports import row_report, statistics
 from tablewright.functions.values import most_frequent
+from tablewright.session import delete_path, scratch_path
 
 STRATEGIES = ("mean", "median", "mode", "constant", "drop")
 COPIES_PER_TASK_ROW = 100_000
 _PRINT = ["__print_a", "__print_b"]
+#: Bits of the map of repeated fingerprints: for each of them, and at most (16 MB).
+BITS_PER_PRINT, MOST_BITS = 32, 1 << 27
 
 
 def missing_summary(df: DataFrame) -> DataFrame:
@@ -141,7 +145,7 @@ def duplicate_groups(df: DataFrame, by_fingerprint: bool = False) -> DataFrame:
     Copies are counted before the shuffle, so a row repeated any number of times
     stays cheap.  ``by_fingerprint`` is for wide tables of mostly different rows: a
     first scan shuffles 128-bit fingerprints only, and whole rows meet only where a
-    fingerprint occurs twice; there they decide.
+    fingerprint may occur twice; there they decide.
     """
     check_names(df.columns, ["copies"])
     return _repeated(df, by_fingerprint).withColumnRenamed("__copies", "copies")
@@ -164,20 +168,48 @@ def _fingerprint(df: DataFrame) -> list[Column]:
 
 
 def _marked(df: DataFrame) -> DataFrame | None:
-    """The rows with ``__again``: whether their fingerprint occurs more than once.
+    """The rows with ``__again``: whether their fingerprint may occur more than once.
 
-    None where whole rows are the better key: nested ones, or most rows repeated.
+    It is true for every such row and for a few others, as places of a bit map stand for
+    the fingerprints; whole rows decide among them.  None where whole rows are the better
+    key: nested ones, or most rows repeated.
     """
     if any(is_nested(f.dataType) for f in df.schema.fields):
         return None
     plain = normalise_missing(df)
     printed = plain.withColumns(dict(zip(_PRINT, _fingerprint(plain))))
-    counted = printed.groupBy(*_PRINT).agg(F.count("*").alias("__n")).where("__n > 1")
-    again = settled(counted)
-    if 2 * (again.agg(F.sum("__n")).first()[0] or 0) > df.count():
+    counted = printed.groupBy(*_PRINT).agg(F.count("*").alias("__n"))
+    path = scratch_path(df.sparkSession, "fingerprints")
+    counted.where("__n > 1").write.parquet(path)
+    again = df.sparkSession.read.parquet(path)
+    sizes = again.agg(F.count("*").alias("prints"), F.sum("__n").alias("rows")).first()
+    if 2 * (sizes["rows"] or 0) > df.count():
         return None
-    joined = lookup_join(printed, again.select(*_PRINT, F.lit(True).alias("__again")), _PRINT, "left")
-    return joined.withColumn("__again", F.coalesce("__again", F.lit(False)))
+    bits = _bit_map(again, sizes["prints"])
+    delete_path(df.sparkSession, path)
+    sent = df.sparkSession.sparkContext.broadcast(bits)
+
+    def marked(first: pd.Series) -> pd.Series:
+        place = _place(first.to_numpy(), sent.value)
+        return pd.Series((sent.value[place >> 3] >> (place & 7).astype("uint8")) & 1 == 1)
+
+    return printed.withColumn("__again", F.pandas_udf(marked, "boolean")(_PRINT[0]))
+
+
+def _place(prints: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return np.mod(prints, 8 * len(bits))
+
+
+def _bit_map(prints: DataFrame, count: int) -> np.ndarray:
+    """One bit for each place that a fingerprint falls on; its size is bounded, so many may share one."""
+    size = 1 << max(10, min(MOST_BITS, int(BITS_PER_PRINT * count)).bit_length() - 1)
+    place = F.pmod(F.col(_PRINT[0]), F.lit(size))
+    words = prints.select(F.shiftright(place, 5).alias("word"), F.pow(F.lit(2.0), place % 32).cast("long").alias("bit"))
+    words = words.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    found = words.toPandas()
+    bits = np.zeros(size // 32, dtype="<u4")
+    bits[found["word"].to_numpy(dtype="int64")] = found["bits"].to_numpy(dtype="int64")
+    return bits.view("uint8")
 
 
 def duplicate_count(df: DataFrame, by_fingerprint: bool = False) -> DataFrame:

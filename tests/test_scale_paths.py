@@ -278,3 +278,20 @@ def test_hot_keys_of_long_text_are_not_broadcast(spark, monkeypatch):
     assert [r["k"] for r in lookup._hot_keys(big.where("k is not null"), ["k"])] == ["short"]
     joined = lookup.lookup_join(big, derived, ["k"], "left")
     assert {(r["w"], r["count"]) for r in joined.groupBy("w").count().collect()} == {(1, 30), (2, 30), (None, 1)}
+
+
+def test_many_repeated_rows_shuffle_no_whole_rows(spark, monkeypatch, capsys):
+    """However many fingerprints occur twice, and however many of them share a bit."""
+    from tablewright.operators import cleaning
+
+    monkeypatch.setattr(lookup, "SMALL_ROWS", 10)
+    df = spark.range(3000).selectExpr("id", "concat('k', id) AS k").repartition(4)
+    df = df.unionByName(df.where("id % 10 = 0"))
+    for most in (cleaning.MOST_BITS, 1 << 10):
+        monkeypatch.setattr(cleaning, "MOST_BITS", most)
+        assert cleaning.duplicate_groups(df, True).count() == 300
+        found = cleaning.drop_duplicates(df, True)
+        assert found.count() == 3000 and found.distinct().count() == 3000
+        capsys.readouterr()
+        cleaning.duplicate_groups(df, True).explain()
+        assert "Join" not in capsys.readouterr().out
