@@ -29,6 +29,7 @@ from tablewright.functions.values import most_frequent
 from tablewright.operators.boosting import BoostedTreesModel, boost
 from tablewright.operators.columns import epoch_nanos, epoch_nanos_sql
 from tablewright.operators.features import one_hot
+from tablewright.operators.forest import MOST_DEPTH, GrownForestModel, grow
 from tablewright.operators.metrics import classification_metrics, regression_metrics
 
 # Names of the algorithms and the parameters they are trained with.
@@ -214,7 +215,7 @@ def _fit(
         raise ValueError("no usable feature column")
     stages, names = _feature_stages(rows, usable)
     prepared = PipelineModel(stages).transform(rows)
-    if algorithm == "XGBoost":
+    if known:
         numbers = [c for s in stages if isinstance(s, ImputerModel) for c in s.getOutputCols()]
         flags = tuple(len(s.getIndices()) for s in stages if isinstance(s, VectorSlicer))
         shape = shape | {"numbers": numbers, "names": len(names), "flags": flags}
@@ -306,6 +307,8 @@ def _fit_classifier(
     back = IndexToString(inputCol="__raw_prediction", outputCol="__predicted_class", labels=labels)
     if algorithm == "XGBoost":
         return [_boosted(labelled, len(labels), rounds, shape), back]
+    if algorithm == "Random Forest" and shape["max_depth"] <= MOST_DEPTH:
+        return [_grown(labelled, len(labels), rounds, shape, seed), back]
     if algorithm == "Logistic Regression":
         # Penalty of a unit-strength L2 term, expressed per training row.
         strength = 1.0 / sum(r["count"] for r in classes)
@@ -323,6 +326,8 @@ def _fit_regressor(
     labelled = prepared.select("__features", number(prepared, target).alias("__label"), *own)
     if algorithm == "XGBoost":
         return [_boosted(labelled, None, rounds, shape)]
+    if algorithm == "Random Forest" and shape["max_depth"] <= MOST_DEPTH:
+        return [_grown(labelled, None, rounds, shape, seed)]
     common = {"featuresCol": "__features", "labelCol": "__label", "predictionCol": "__raw_prediction"}
     if algorithm == "Linear Regression":
         estimator = LinearRegression(regParam=0.0, **common)
@@ -340,6 +345,14 @@ def _boosted(labelled: DataFrame, classes: int | None, rounds: int, shape: dict)
     )
 
 
+def _grown(labelled: DataFrame, classes: int | None, rounds: int, shape: dict, seed: int) -> GrownForestModel:
+    """A forest over the prepared features."""
+    return grow(
+        labelled, "__features", "__label", shape["numbers"], shape["names"], classes,
+        rounds, shape["max_depth"], shape["max_bins"], shape["flags"], seed,
+    )
+
+
 def _importances(stage) -> list[float] | None:
     if hasattr(stage, "featureImportances"):
         return stage.featureImportances.toArray().tolist()
