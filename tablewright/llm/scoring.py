@@ -32,8 +32,8 @@ LONGEST_WORD = 64
 #: Words with a softmax of their own, and classes that share the others of the dictionary.
 FREQUENT_WORDS = 4096
 RARE_CLASSES = 31
-#: Gradients are computed on so many parts in ``SHARE`` of the texts, one per round.
-ROUNDS, SHARE = 2, 8
+#: All texts learned from are dealt to so many rounds; each text gives its gradients once.
+ROUNDS = 2
 #: Tasks that train side by side, at most; each sends the parameters once a round.
 TRAINERS = 64
 #: A task counts so many distinct words or bytes before it hands over.
@@ -256,12 +256,12 @@ def _train_round(texts: DataFrame, sent: _Sent, parameters: gru.Arrays) -> gru.A
 
 
 def train(texts: DataFrame, vocabulary: Vocabulary, sent: _Sent) -> gru.Arrays:
-    """Parameters after ``ROUNDS`` rounds, each on one part in ``SHARE`` of the texts.
+    """Parameters after ``ROUNDS`` rounds, which together take every text once.
 
-    The parts grow with the table.  A text's part follows from its bytes alone.
+    A text's round follows from its bytes alone.
     """
     parameters = gru.initial(vocabulary.layout, vocabulary.weights)
-    part = F.pmod(F.xxhash64("text"), F.lit(SHARE))
+    part = F.pmod(F.xxhash64("text"), F.lit(ROUNDS))
     for number in range(ROUNDS):
         parameters = _train_round(texts.where(part == number), sent, parameters) or parameters
     return parameters
