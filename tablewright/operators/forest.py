@@ -88,9 +88,24 @@ class Trees:
         return cls(about["classes"], limits, tuple(about["groups"]), about["depth"], *arrays)
 
 
+def _poisson_table() -> tuple[np.ndarray, np.ndarray]:
+    """Chances of at most 0, 1, ... draws, and the draws of each 65536th of the chances; -1 where it holds a limit."""
+    most = np.cumsum(np.exp(-1.0) / np.concatenate([[1.0], np.cumprod(np.arange(1.0, 18.0))]))
+    low, high = (np.searchsorted(most, np.arange(1 << 16) / 65536 + d, side="right") for d in (0.0, 1 / 65536))
+    return most, np.where(low == high, low, -1).astype("float64")
+
+
+_MOST, _DRAWN = _poisson_table()
+
+
 def draws(seed: list[int], tree: int, rows: int) -> np.ndarray:
     """How often a tree takes each row: Poisson numbers of mean 1 that follow from the seed."""
-    return np.random.default_rng([*seed, tree]).poisson(1.0, rows).astype("float64")
+    rng = np.random.default_rng([*seed, tree])
+    place = rng.integers(0, 1 << 16, rows, dtype="uint16")
+    drawn = _DRAWN[place]
+    open_ = np.flatnonzero(drawn < 0)
+    drawn[open_] = np.searchsorted(_MOST, (place[open_] + rng.random(len(open_))) / 65536, side="right")
+    return drawn
 
 
 @dataclass

@@ -199,3 +199,11 @@ def test_nothing_to_learn_from_and_empty(spark):
     assert plain == {1: (3, 0, 0, 0.0), 2: (1, 0, 0, 0.0)}
     assert all(abs(r["score"]) < 1e-6 for r in found.values())
     assert scoring.score(df.where("doc_id > 5"), "text", F.lit(True)).collect() == []
+
+
+def test_every_text_learned_from_gives_gradients(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(scoring, "_train_round", lambda texts, sent, parameters: seen.extend(r["text"] for r in texts.collect()))
+    df = spark.createDataFrame([(i, f"text {i} of some") for i in range(80)], "i int, text string")
+    scoring.score(df, "text", F.col("i") < 60)
+    assert sorted(bytes(t).decode() for t in seen) == sorted(f"text {i} of some" for i in range(60))
