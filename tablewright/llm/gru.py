@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 
@@ -119,28 +120,37 @@ class Model:
         self.layout, self.p = layout, parameters
 
     def states(self, tokens: np.ndarray, goes_on: np.ndarray, state: np.ndarray, keep_parts: bool = False):
-        """States after each step of a window, and what the way back needs."""
+        """States after each step of a window, and what the way back needs.
+
+        Each gate has an array of its own, so that no step works on rows with gaps.
+        """
         h, steps, lanes = HIDDEN, *tokens.shape
-        given = self.p["inputs"].take(tokens.ravel(), axis=0).reshape(steps, lanes, 3 * h)
-        given += self.p["gates"][0]
+        inputs = self.p["inputs"] + self.p["gates"][0]
+        by_gate = np.stack([inputs[:, low : low + h] for low in range(0, 3 * h, h)])
+        given = by_gate.take(tokens.ravel(), axis=1).reshape(3, steps, lanes, h)
         recurrent = self.p["recurrent"]
         result = np.empty((steps, lanes, h), np.float32)
         parts = []
-        for t in range(steps):
-            before = state * goes_on[t][:, None]
-            pulled = before @ recurrent
-            gates = given[t, :, : 2 * h] + pulled[:, : 2 * h]
+        for t, stops in enumerate(_stops(goes_on)):
+            before = state.copy()
+            before[stops] = 0
+            pulled = (before @ recurrent).reshape(lanes, 3, h).swapaxes(0, 1)
+            gates = np.add(pulled[:2], given[:2, t], order="C")
             gates *= 0.5
             np.tanh(gates, out=gates)
             gates += 1
             gates *= 0.5
-            update, reset = gates[:, :h], gates[:, h:]
-            candidate = np.tanh(given[t, :, 2 * h :] + reset * pulled[:, 2 * h :])
+            update, reset = gates
+            own = np.ascontiguousarray(pulled[2])
+            candidate = reset * own
+            candidate += given[2, t]
+            np.tanh(candidate, out=candidate)
             change = candidate - before
-            state = before + update * change
+            state = update * change
+            state += before
             result[t] = state
             if keep_parts:
-                parts.append((before, pulled[:, 2 * h :], update, reset, candidate, change))
+                parts.append((before, own, update, reset, candidate, change))
         return result, parts
 
     def class_scores(self, hidden: np.ndarray) -> np.ndarray:
@@ -153,23 +163,39 @@ class Model:
         scores += self.p["token_bias"][of_class, 0]
         return scores
 
+    def _far(self, longest: np.float32, kind: str) -> bool:
+        """Whether a score of states up to this length could lie beyond ``FARTHEST``."""
+        most = np.sqrt(_squares(self.p[f"to_{kind}"])) * longest + np.abs(self.p[f"{kind}_bias"][:, 0])
+        return not most.max(initial=0) < FARTHEST - 1
+
     def log_probabilities(self, hidden: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural logarithms; for tokens of rarer classes that of the class."""
         classes = self.layout.class_of(targets)
         result = np.empty(len(targets), np.float64)
+        longest = np.sqrt(_squares(hidden).max(initial=0))
+        far = self._far(longest, "class")
         for rows in _portions(len(targets)):
-            result[rows] = _log_softmax_at(self.class_scores(hidden[rows]), classes[rows])
-        for of_class, rows in self._by_class(classes):
-            result[rows] += _log_softmax_at(self.token_scores(hidden[rows], of_class), targets[rows] - of_class.start)
+            wanted, sums = _wanted_and_sums(self.class_scores(hidden[rows]), classes[rows], far)
+            result[rows] = wanted - np.log(sums)
+        far = self._far(longest, "token")
+        order, parts = self._by_class(classes)
+        hidden, columns = hidden.take(order, axis=0), targets.take(order) % CLASS_TOKENS
+        wanted, sums = np.empty((2, len(order)), hidden.dtype)
+        for of_class, rows in parts:
+            wanted[rows], sums[rows] = _wanted_and_sums(self.token_scores(hidden[rows], of_class), columns[rows], far)
+        result[order] += wanted - np.log(sums)
         return result
 
-    def _by_class(self, classes: np.ndarray):
+    def _by_class(self, classes: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, slice]]]:
+        """The rows of frequent tokens in the order of their classes; the tokens of each class and its rows there."""
         order = np.argsort(classes.astype(np.int16), kind="stable")
-        ends = np.searchsorted(classes[order], np.arange(self.layout.own_classes + 1))
+        ends = np.searchsorted(classes.take(order), np.arange(self.layout.own_classes + 1)).tolist()
+        parts = []
         for own in range(self.layout.own_classes):
             if ends[own] < ends[own + 1]:
                 low = own * CLASS_TOKENS
-                yield slice(low, min(low + CLASS_TOKENS, self.layout.frequent)), order[ends[own] : ends[own + 1]]
+                parts.append((slice(low, min(low + CLASS_TOKENS, self.layout.frequent)), slice(ends[own], ends[own + 1])))
+        return order[: ends[-1]], parts
 
     def score(self, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Sum of the natural logarithms of each text's tokens; ``tokens`` holds the texts one by one."""
@@ -178,10 +204,10 @@ class Model:
         before, goes_on = _inputs(ordered, place)
         state = np.zeros((len(lanes.lengths), HIDDEN), np.float32)
         for at, valid in lanes.windows(SCORED_WINDOW):
-            hidden, _ = self.states(before[at], goes_on[at], state[: at.shape[1]])
+            hidden, _ = self.states(before.take(at), goes_on.take(at), state[: at.shape[1]])
             state = hidden[-1]
-            some = at[valid]
-            logs[some] = self.log_probabilities(hidden[valid], ordered[some])
+            some = _where(at, valid)
+            logs[some] = self.log_probabilities(_where(hidden, valid), ordered.take(some))
         sums = np.add.reduceat(logs, place) if len(place) else np.zeros(0)
         result = np.empty(len(lengths))
         result[lanes.order] = sums
@@ -193,6 +219,8 @@ class Trainer(Model):
 
     def __init__(self, layout: Layout, parameters: Arrays) -> None:
         super().__init__(layout, {k: v.copy() for k, v in parameters.items()})
+        # Short numbers are sorted by counting.
+        self.short = np.uint16 if layout.inputs <= 1 << 16 else np.int64
         self.squares = {k: np.full(len(v), 1e-8, np.float32) for k, v in parameters.items()}
         self.seen = 0
 
@@ -208,74 +236,128 @@ class Trainer(Model):
         for at, valid in lanes.windows(WINDOW):
             hidden, parts = self.states(before[at], goes_on[at], state[: at.shape[1]], keep_parts=True)
             state = hidden[-1]
-            self._step(before[at], ordered[at], goes_on[at], valid, hidden, parts)
+            self._step(before.take(at), ordered.take(at), goes_on.take(at), valid, hidden, parts)
         self.seen += len(tokens)
 
     def _step(self, given, targets, goes_on, valid, hidden, parts) -> None:
         h, steps, lanes = HIDDEN, *given.shape
-        rows, goal = hidden[valid], targets[valid]
+        rows, goal = _where(hidden, valid), _where(targets, valid)
         # A window of few lanes, as at the end of the longest texts, moves less than a full one.
         share = np.float32(1 / (steps * self.lanes))
         classes = self.layout.class_of(goal)
         pull = np.empty_like(rows)
         grown = {name: np.zeros_like(self.p[name]) for name in ("to_class", "class_bias", "to_token", "token_bias")}
+        longest = np.sqrt(_squares(rows).max(initial=0))
+        far = self._far(longest, "class")
         for some in _portions(len(goal)):
-            off = _softmax(self.class_scores(rows[some]))
-            off[np.arange(len(off)), classes[some]] -= 1
+            off = _softmax(self.class_scores(rows[some]), far)
+            off.ravel()[_places(off, classes[some])] -= 1
             pull[some] = off @ self.p["to_class"]
             grown["to_class"] += off.T @ rows[some]
-            grown["class_bias"][:, 0] += np.ones(len(off), np.float32) @ off
-        for of_class, members in self._by_class(classes):
-            mine = rows[members]
-            among = _softmax(self.token_scores(mine, of_class))
-            among[np.arange(len(members)), goal[members] - of_class.start] -= 1
-            pull[members] += among @ self.p["to_token"][of_class]
-            grown["to_token"][of_class] = among.T @ mine
-            grown["token_bias"][of_class, 0] = np.ones(len(mine), np.float32) @ among
+            grown["class_bias"][:, 0] += _ones(len(off)) @ off
+        far = self._far(longest, "token")
+        order, parts_of = self._by_class(classes)
+        ordered, columns = rows.take(order, axis=0), goal.take(order) % CLASS_TOKENS
+        pulls = np.empty_like(ordered)
+        for of_class, members in parts_of:
+            mine = ordered[members]
+            among = _softmax(self.token_scores(mine, of_class), far)
+            among.ravel()[_places(among, columns[members])] -= 1
+            np.matmul(among, self.p["to_token"][of_class], out=pulls[members])
+            np.matmul(among.T, mine, out=grown["to_token"][of_class])
+            grown["token_bias"][of_class, 0] = _ones(len(mine)) @ among
+        pull[order] = pull.take(order, axis=0) + pulls
         every = slice(None)
         moves = [(name, every, gradient * share) for name, gradient in grown.items()]
         pull *= share
 
-        outer = np.zeros((steps, lanes, h), np.float32)
-        outer[valid] = pull
+        if len(goal) == valid.size:
+            outer = pull.reshape(steps, lanes, h)
+        else:
+            outer = np.zeros((steps, lanes, h), np.float32)
+            outer[valid] = pull
         on_given = np.empty((steps, lanes, 3 * h), np.float32)
         on_pulled = np.empty((steps, lanes, 3 * h), np.float32)
         befores = np.empty((steps, lanes, h), np.float32)
         recurrent, later = self.p["recurrent"], np.zeros((lanes, h), np.float32)
+        stops = _stops(goes_on)
         for t in range(steps - 1, -1, -1):
             before, pulled, update, reset, candidate, change = parts[t]
-            later = later + outer[t]
-            on_candidate = later * update * (1 - candidate * candidate)
-            on_given[t, :, :h] = later * change * update * (1 - update)
-            on_given[t, :, h : 2 * h] = on_candidate * pulled * reset * (1 - reset)
-            on_given[t, :, 2 * h :] = on_candidate
-            on_pulled[t] = on_given[t]
-            on_pulled[t, :, 2 * h :] *= reset
+            later += outer[t]
+            on_candidate = later * update
+            on_candidate *= 1 - candidate * candidate
+            on_update = later * change
+            on_update *= update
+            still = 1 - update
+            on_update *= still
+            on_reset = on_candidate * pulled
+            on_reset *= reset
+            on_reset *= 1 - reset
+            np.concatenate([on_update, on_reset, on_candidate], axis=1, out=on_given[t])
+            on_candidate *= reset
+            np.concatenate([on_update, on_reset, on_candidate], axis=1, out=on_pulled[t])
             befores[t] = before
-            later = (later * (1 - update) + on_pulled[t] @ recurrent.T) * goes_on[t][:, None]
+            later *= still
+            later += on_pulled[t] @ recurrent.T
+            later[stops[t]] = 0
         flat_given = on_given.reshape(-1, 3 * h)
         moves.append(("recurrent", every, befores.reshape(-1, h).T @ on_pulled.reshape(-1, 3 * h)))
         moves.append(("gates", every, flat_given.sum(axis=0)[None]))
-        order = np.argsort(given.ravel(), kind="stable")
+        order = np.argsort(given.ravel().astype(self.short), kind="stable")
         names, first = np.unique(given.ravel()[order], return_index=True)
-        moves.append(("inputs", names, np.add.reduceat(flat_given[order], first, axis=0)))
+        moves.append(("inputs", names, np.add.reduceat(flat_given.take(order, axis=0), first, axis=0)))
         for name, of, gradient in moves:
             self._move(name, of, np.clip(gradient, -CLIP, CLIP))
 
 
-def _softmax(scores: np.ndarray) -> np.ndarray:
+def _softmax(scores: np.ndarray, far: bool) -> np.ndarray:
     """Shares in place; scores count up to ``FARTHEST``, so that no share leaves the range of a float."""
-    np.clip(scores, -FARTHEST, FARTHEST, out=scores)
+    if far:
+        np.clip(scores, -FARTHEST, FARTHEST, out=scores)
     np.exp(scores, out=scores)
-    scores /= (scores @ np.ones(scores.shape[1], np.float32))[:, None]
+    scores /= (scores @ _ones(scores.shape[1]))[:, None]
     return scores
 
 
-def _log_softmax_at(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-    np.clip(scores, -FARTHEST, FARTHEST, out=scores)
-    wanted = scores[np.arange(len(at)), at]
+def _wanted_and_sums(scores: np.ndarray, at: np.ndarray, far: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The score at column ``at`` of each row, and the sum of the powers of all its scores."""
+    if far:
+        np.clip(scores, -FARTHEST, FARTHEST, out=scores)
+    wanted = scores.ravel().take(_places(scores, at))
     np.exp(scores, out=scores)
-    return wanted - np.log(scores @ np.ones(scores.shape[1], np.float32))
+    return wanted, scores @ _ones(scores.shape[1])
+
+
+@cache
+def _row_starts(width: int) -> np.ndarray:
+    return np.arange(WINDOW * LANES) * width
+
+
+def _places(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the column ``at`` of each row stands in the flat array."""
+    n, width = scores.shape
+    return (_row_starts(width)[:n] if n <= WINDOW * LANES else np.arange(n) * width) + at
+
+
+_ONES = np.ones(WINDOW * LANES, np.float32)
+
+
+def _ones(n: int) -> np.ndarray:
+    return _ONES[:n] if n <= len(_ONES) else np.ones(n, np.float32)
+
+
+def _squares(rows: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", rows, rows)
+
+
+def _stops(goes_on: np.ndarray) -> list[np.ndarray]:
+    """The lanes whose state starts anew, for each step."""
+    return [np.flatnonzero(row) for row in goes_on == 0]
+
+
+def _where(values: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """``values[valid]``, without a copy where all are."""
+    return values.reshape(valid.size, *values.shape[2:]) if valid.all() else values[valid]
 
 
 def _portions(n: int) -> Iterator[slice]:

@@ -16,13 +16,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.lookup import skewed_join
 from tablewright.llm import gru
-from tablewright.llm.common import stored, values_of
+from tablewright.llm.common import stored
 
 #: No word is empty, so this stands for the end of a text.
 END = b""
@@ -38,37 +39,85 @@ ROUNDS = 2
 TRAINERS = 64
 #: A task counts so many distinct words or bytes before it hands over.
 COUNTED_WORDS, COUNTED_BYTES = 300_000, 64 << 20
-#: Tokens of the texts that go through the lanes together.
-GROUP_TOKENS = 1 << 21
+#: Bytes of the texts that go through the lanes together, of about two million tokens.
+GROUP_BYTES = 6 << 21
 BLOCK_VALUES = 1 << 16
 BUCKETS_PER_OCTAVE = 8
 
 
-def tokens_of(text: bytes) -> list[bytes]:
-    """Words in lower case (A-Z only), then the end.  Bytes know ASCII letters and blanks only."""
-    return [*text.lower().split(), END]
+@dataclass(frozen=True)
+class Tokens:
+    """The words of many texts in lower case (A-Z only); each text has an end behind its words.
+
+    Arrow cuts all texts at once; its ASCII functions leave all other bytes as they are.
+    """
+
+    words: pa.Array
+    lengths: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Tokens:
+        kind = pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string()
+        pieces = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(kind)))
+        words = pieces.flatten().view(texts.type)
+        # Blanks at the ends of a text leave empty pieces.
+        full = pc.not_equal(pc.binary_length(words), 0)
+        ends = np.cumsum(pc.list_value_length(pieces).to_numpy(), dtype=np.int64)
+        before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])[ends]
+        return cls(words.filter(full), np.diff(before, prepend=0) + 1)
+
+    def with_ends(self, values: np.ndarray, end: int) -> np.ndarray:
+        """``values`` of the words, with ``end`` for the end of each text."""
+        result = np.full(int(self.lengths.sum()), end, values.dtype)
+        words = np.ones(len(result), bool)
+        words[np.cumsum(self.lengths) - 1] = False
+        result[words] = values
+        return result
 
 
 def _bytes(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
+def _sizes(texts: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)
+
+
+def _groups(batch: pa.RecordBatch, column: int | str, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch, cut where its texts hold about ``size`` bytes."""
+    sizes = np.cumsum(_sizes(batch.column(column)))
+    low = 0
+    while low < len(batch):
+        done = sizes[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(sizes, done + size, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
+_COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
-    read = 0
+    parts: list[pa.Table] = []
+    words = read = 0
 
     def handed_over() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"]
-        )
+        merged = pa.concat_tables([_COUNTS.empty_table(), *parts])
+        if len(parts) > 1:
+            merged = merged.group_by("word", use_threads=False).aggregate([("n", "sum")])
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in merged.columns], schema=_COUNTS)
 
     for batch in batches:
-        for text in values_of(batch.column(0)):
-            counts.update(tokens_of(text))
-            read += len(text)
-            if len(counts) > COUNTED_WORDS or read > COUNTED_BYTES:
+        for part in _groups(batch, 0, COUNTED_BYTES // 4):
+            texts = part.column(0)
+            found = pc.value_counts(Tokens.of(texts).words)
+            met = pa.concat_arrays([found.field(0).cast(pa.binary()), pa.array([END], pa.binary())])
+            parts.append(pa.table({"word": met, "n": np.append(found.field(1).to_numpy(), len(texts))}))
+            words += len(met)
+            read += _sizes(texts).sum()
+            if words > COUNTED_WORDS or read > COUNTED_BYTES:
                 yield handed_over()
-                counts, read = Counter(), 0
+                parts, words, read = [], 0, 0
     yield handed_over()
 
 
@@ -163,15 +212,6 @@ def learn_vocabulary(counts: DataFrame) -> tuple[Vocabulary, DataFrame]:
     return vocabulary, counts.where(~_in_dictionary(least))
 
 
-class _Numbers(dict):
-    def __init__(self, words: list[bytes], outside: int) -> None:
-        super().__init__(zip(words, range(len(words))))
-        self.outside = outside
-
-    def __missing__(self, word: bytes) -> int:
-        return self.outside
-
-
 class _Task:
     """What a Python worker makes once of the parts that the driver sent."""
 
@@ -180,7 +220,8 @@ class _Task:
     def __init__(self, words: bytes, counts: np.ndarray, *sizes: int) -> None:
         tokens, distinct, frequent = sizes
         self.vocabulary = v = Vocabulary(tokens, distinct, words.split(b" ") if len(counts) else [], counts, frequent)
-        self.ranks = _Numbers(v.words, len(v.words))
+        self.words = pa.array(v.words, pa.binary())
+        self.end = v.words.index(END) if END in v.words else len(v.words)
         self.number_of = np.append(v.numbers, v.outside).astype(np.int32)
         self.layout = v.layout
 
@@ -191,8 +232,10 @@ class _Task:
             cls.made[sent.id] = cls(*sent.value)
         return cls.made[sent.id]
 
-    def ranks_of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.ranks.__getitem__, words), np.int32, len(words))
+    def ranks_of(self, tokens: Tokens) -> np.ndarray:
+        """The rank of each token; those outside the dictionary have the rank behind its last."""
+        found = pc.index_in(tokens.words, value_set=self.words.cast(tokens.words.type))
+        return tokens.with_ends(pc.fill_null(found, len(self.words)).to_numpy(), self.end)
 
 
 class _Sent:
@@ -210,28 +253,19 @@ class _Sent:
         return self.broadcast.value
 
 
-def _groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Batches with the bytes of their texts, cut where they hold about ``GROUP_TOKENS`` words."""
-    for batch in batches:
-        sizes = np.cumsum([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(column)])
-        low = 0
-        while low < len(batch):
-            done = sizes[low - 1] if low else 0
-            high = max(low + 1, int(np.searchsorted(sizes, done + 6 * GROUP_TOKENS, "right")))
-            part = batch.slice(low, high - low)
-            yield part, part.column(column).to_pylist()
-            low = high
-
-
 def _train_round(texts: DataFrame, sent: _Sent, parameters: gru.Arrays) -> gru.Arrays | None:
     """The mean of the parameters of all tasks, weighed by their tokens; None without texts."""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = _Task.of(sent)
         trainer = gru.Trainer(task.layout, parameters)
-        for _, data in _groups(batches, "text"):
-            tokens = [task.number_of[task.ranks_of(tokens_of(t))] for t in data]
-            trainer.train(np.concatenate(tokens), np.array([len(t) for t in tokens]))
+        for batch in batches:
+            for part in _groups(batch, "text", GROUP_BYTES):
+                tokens = Tokens.of(part.column("text"))
+                numbers, lengths = task.number_of[task.ranks_of(tokens)], tokens.lengths
+                del tokens
+                pa.default_memory_pool().release_unused()
+                trainer.train(numbers, lengths)
         if trainer.seen:
             values = gru.flat(trainer.p)
             blocks = [values[low : low + BLOCK_VALUES].tobytes() for low in range(0, len(values), BLOCK_VALUES)]
@@ -270,6 +304,21 @@ def train(texts: DataFrame, vocabulary: Vocabulary, sent: _Sent) -> gru.Arrays:
 _SCORED = "row long, n_tokens long, n_inside long, log_counts double, log_model double, outside array<struct<word: binary, n: long>>"
 
 
+def _beyond(tokens: Tokens, outside: np.ndarray) -> pa.Array:
+    """For each text, its different words among those ``outside`` and how often each stands there."""
+    places = np.flatnonzero(outside)
+    number = tokens.with_ends(np.arange(len(tokens.words)), len(tokens.words))[places]
+    every = pa.concat_arrays([tokens.words.cast(pa.binary()), pa.array([END], pa.binary())])
+    found = pc.dictionary_encode(every.take(pa.array(number)))
+    kinds = max(1, len(found.dictionary))
+    texts = np.searchsorted(np.cumsum(tokens.lengths), places, "right")
+    pairs, times = np.unique(texts * kinds + found.indices.to_numpy(), return_counts=True)
+    starts = np.searchsorted(pairs, np.arange(len(tokens.lengths) + 1) * kinds)
+    words = found.dictionary.take(pa.array(pairs % kinds))
+    structs = pa.StructArray.from_arrays([words, pa.array(times, pa.int64())], ["word", "n"])
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), structs)
+
+
 def _score(columns: list[str], sent: _Sent, parameters: gru.Arrays, names: list[str]):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = _Task.of(sent)
@@ -278,29 +327,24 @@ def _score(columns: list[str], sent: _Sent, parameters: gru.Arrays, names: list[
         log_counts = np.append(np.log10(v.counts + 1.0), 0.0)
         in_class = np.append(v.log_in_class, 0.0)
         row = TaskContext.get().partitionId() << 33
-        outside_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-        for batch, data in _groups(batches, "__text"):
-            ranks, outside = [], []
-            for text in data:
-                words = tokens_of(text)
-                mine = task.ranks_of(words)
-                ranks.append(mine)
-                beyond = Counter(words[i] for i in np.flatnonzero(mine == len(v.words)).tolist())
-                outside.append([{"word": w, "n": n} for w, n in beyond.items()])
-            lengths = np.array([len(r) for r in ranks])
-            together = np.concatenate(ranks)
+        for batch in (part for batch in batches for part in _groups(batch, "__text", GROUP_BYTES)):
+            tokens = Tokens.of(batch.column("__text"))
+            together, lengths = task.ranks_of(tokens), tokens.lengths
+            beyond = _beyond(tokens, together == len(v.words))
+            del tokens
+            pa.default_memory_pool().release_unused()
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             inside = np.add.reduceat((together < len(v.words)).astype(np.int64), starts)
             logs = model.score(task.number_of[together], lengths) + np.add.reduceat(in_class[together], starts)
             found = [
-                pa.array(row + np.arange(len(data))),
+                pa.array(row + np.arange(len(batch))),
                 pa.array(lengths.astype(np.int64)),
                 pa.array(inside),
                 pa.array(np.add.reduceat(log_counts[together], starts)),
                 pa.array(logs / np.log(10)),
-                pa.array(outside, outside_type),
+                beyond,
             ]
-            row += len(data)
+            row += len(batch)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *found], names)
 
     return score

@@ -207,3 +207,38 @@ def test_every_text_learned_from_gives_gradients(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"text {i} of some") for i in range(80)], "i int, text string")
     scoring.score(df, "text", F.col("i") < 60)
     assert sorted(bytes(t).decode() for t in seen) == sorted(f"text {i} of some" for i in range(60))
+
+
+def test_tokens_of_many_texts_at_once():
+    """Arrow cuts whole columns; words, ends, ranks and words outside are those of each text by itself."""
+    texts = ["", " ", " a  B\x0bc\x0c\x1cd \x85 É\r\n", "İ x y   z", "a\0b \0 a a", "w0 w1 W0 new new"]
+    data = [*[t.encode() for t in texts], b"\xff\xfe Q \xc3"]
+    wanted = [[*t.lower().split(), b""] for t in data]
+    assert [[w.decode() for w in words] for words in wanted[: len(texts)]] == [words_of(t) for t in texts]
+    dictionary = [b"", b"a", b"w0", "É".encode()]
+    for known in (dictionary, []):
+        task = scoring._Task(b" ".join(known), np.arange(len(known), 0, -1), 20, 9, 4)
+        for kind in (scoring.pa.binary(), scoring.pa.large_binary()):
+            tokens = scoring.Tokens.of(scoring.pa.array([b"not mine", *data], kind).slice(1))
+            ranks = task.ranks_of(tokens)
+            places = [known.index(w) if w in known else len(known) for words in wanted for w in words]
+            assert tokens.lengths.tolist() == [len(words) for words in wanted] and ranks.tolist() == places
+            beyond = scoring._beyond(tokens, ranks == len(known)).to_pylist()
+            counts = [collections.Counter(w for w in words if w not in known) for words in wanted]
+            assert [{r["word"]: r["n"] for r in row} for row in beyond] == counts
+
+
+def test_far_scores_are_cut_and_near_ones_left(monkeypatch):
+    """The cut at ``FARTHEST`` is left out only where no score can reach it; results do not depend on that."""
+    layout, p, rng = small_model()
+    every = np.arange(layout.inputs)
+    for size in (1, 30):
+        q = p | {name: p[name] * np.float32(size) for name in ("to_class", "to_token")}
+        hidden = np.repeat(np.tanh(rng.normal(size=(1, gru.HIDDEN))).astype(np.float32), len(every), axis=0)
+        model = gru.Model(layout, q)
+        found = model.log_probabilities(hidden, every)
+        assert model._far(np.float32(np.linalg.norm(hidden[0])), "token") == (size == 30)
+        with monkeypatch.context() as m:
+            m.setattr(gru.Model, "_far", lambda *_: True)
+            assert np.array_equal(found, model.log_probabilities(hidden, every))
+        assert abs(np.exp(found).sum() - 1) < 1e-4
